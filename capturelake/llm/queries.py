@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import licenses, media, packing, secrets
+from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets
 from capturelake.llm.text import read
 
 
@@ -24,5 +24,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op5_secrets, op9_transport_streams, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(lines.dedup_lines(read(spark, sf_dir, "documents")))
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(read(spark, sf_dir, "documents")).drop("proportions")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op9_transport_streams,
+        op10_best_fit_packing,
+    )
+}
+ORACLES = {"op3_line_windows": lines.ORACLE}

@@ -169,3 +169,28 @@ def blocks(raws: list[bytes], most: int = 1 << 20) -> Iterator[range]:
         held += len(raw) + 1
     if first < len(raws):
         yield range(first, len(raws))
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """Rows of ``df``, all columns as they are, for which ``make()``'s function of a list of values says true."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                mask = keep(part.column(part.schema.get_field_index(column)).to_pylist())
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def joined_words(raws: list[bytes], fold: bool, separators: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Word hashes of several texts at once: (hash, text number, first word of each text and the count of all)."""
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
+    if separators is not None:
+        raw = np.where(separators[raw], np.uint8(32), raw)
+    h, starts, _ = word_hashes(raw, fold)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    first = np.concatenate([[0], np.searchsorted(starts, ends)])
+    return h, np.repeat(np.arange(len(raws)), np.diff(first)), first
