@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets
+from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, suffixes
 from capturelake.llm.text import read
 
 
+def op1_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.repeats(read(spark, sf_dir, "documents")))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(licenses.scan_licenses(read(spark, sf_dir, "documents")))
 
@@ -39,7 +43,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op9_transport_streams,
+        op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op9_transport_streams,
         op10_best_fit_packing,
     )
 }

@@ -194,3 +194,32 @@ def joined_words(raws: list[bytes], fold: bool, separators: np.ndarray | None =
     ends = np.cumsum([len(r) + 1 for r in raws])
     first = np.concatenate([[0], np.searchsorted(starts, ends)])
     return h, np.repeat(np.arange(len(raws)), np.diff(first)), first
+
+
+def map_columns(df: DataFrame, make: Callable[[], Callable], schema: str | StructType, most: int = 4 << 20) -> DataFrame:
+    """Arrow map in whole columns. ``make()`` runs once a task and returns a function that takes a batch's columns as
+    Python lists and yields tuples of output columns; ``most`` bounds the text bytes of a call."""
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+
+        def sent(columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            step = max(1, min(1024, most * max(1, batch.num_rows) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                for columns in each(*(c.to_pylist() for c in batch.slice(at, step).columns)):
+                    yield sent(columns)
+        for columns in getattr(each, "rest", tuple)():
+            yield sent(columns)
+
+    return df.mapInArrow(run, kind)
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(*, id_a, id_b): a row's key as a long that is never null, and a hash of its text. Rows that repeat both are one
+    document."""
+    return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"), F.xxhash64(text).alias("id_b"))
