@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, suffixes
+from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, substrings, suffixes
 from capturelake.llm.text import read
 
 
@@ -20,6 +20,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.repeats(read(spark, sf_dir, "documents")))
+
+
 def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(read(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op9_transport_streams,
+        op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op7_block_anchors, op9_transport_streams,
         op10_best_fit_packing,
     )
 }

@@ -75,6 +75,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the steps just finished
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -223,3 +224,55 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(*, id_a, id_b): a row's key as a long that is never null, and a hash of its text. Rows that repeat both are one
     document."""
     return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"), F.xxhash64(text).alias("id_b"))
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Rising 32-bit places as gaps, byte plane by byte plane (zeros then compress well)."""
+    gaps = np.diff(places, prepend=0).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Even deal of 64-bit hashes by their upper half."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def cut_by(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of each run of equal keys."""
+    if not len(keys):
+        return []
+    edges = np.flatnonzero(np.diff(keys)) + 1
+    first = np.concatenate([[0], edges])
+    return list(zip(keys[first].tolist(), first.tolist(), [*edges.tolist(), len(keys)], strict=True))
+
+
+def by_bucket(df: DataFrame, column: str, make: Callable[[], Callable], schema: str) -> DataFrame:
+    """Deal rows by ``column`` and call ``make()``'s function with the rows (as tuples) of one value at a time; it yields
+    tuples of output columns."""
+
+    def each_group():
+        work = make()
+        held: list[tuple] = []
+
+        def each(*columns):
+            for row in zip(*columns, strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield from work(held)
+                    held.clear()
+                held.append(row)
+
+        def rest():
+            if held:
+                yield from work(held)
+
+        each.rest = rest
+        return each
+
+    others = [c for c in df.columns if c != column]
+    dealt = df.select(column, *others).repartition(partitions(df.sparkSession), column).sortWithinPartitions(column)
+    return map_columns(dealt, each_group, schema)
