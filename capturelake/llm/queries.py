@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, substrings, suffixes
+from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, similar, substrings, suffixes
 from capturelake.llm.text import read
 
 
@@ -24,6 +24,10 @@ def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.repeats(read(spark, sf_dir, "documents")))
 
 
+def op8_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.class_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(read(spark, sf_dir, "documents")))
 
@@ -47,7 +51,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op7_block_anchors, op9_transport_streams,
+        op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op7_block_anchors, op8_token_groups, op9_transport_streams,
         op10_best_fit_packing,
     )
 }
