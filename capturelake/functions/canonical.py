@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GENESIS = "0" * 64
 
@@ -57,7 +58,7 @@ def canonical_text(text: str) -> str:
     return out(json.loads(text), "$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda x: None if x is None else canonical_text(x))

@@ -105,7 +105,7 @@ def rgb8_to_rgb(c: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def clamp_rgb01(rgb: Triple) -> Triple:

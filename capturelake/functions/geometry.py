@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 FLAT = 1e-12
 SINGULAR = 1e-14
@@ -42,7 +43,7 @@ def fit_one(source: np.ndarray, target: np.ndarray) -> list[float] | None:
     return (h / h[2, 2]).ravel().tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _fit(source_x: pd.Series, source_y: pd.Series, target_x: pd.Series, target_y: pd.Series) -> pd.Series:
     columns = (source_x, source_y, target_x, target_y)
     return pd.Series([fit_one(np.column_stack([a, b]), np.column_stack([c, d])) for a, b, c, d in zip(*columns, strict=True)])

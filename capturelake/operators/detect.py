@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from capturelake.functions.card import MARKERS
 from capturelake.functions.geometry import apply_homography, fit_homography, invert_homography, is_convex_quad, polygon_signed_area
@@ -59,7 +60,7 @@ def dark_blobs(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(capture_id, x, y, blob_id): 8-connected parts of the pixels no brighter than their capture's threshold. One
     capture's dark pixels are a group, bounded by the frame; blob ids count from the top row."""
     dark = pixels.join(thresholds, KEY).filter("luma <= threshold").select(KEY, "x", "y")
-    schema = dark.schema.add("blob_id", "long")
+    schema = StructType([*dark.schema, StructField("blob_id", LongType())])
     return dark.groupBy(KEY).applyInPandas(lambda f: f.assign(blob_id=_components(f)), schema)
 
 

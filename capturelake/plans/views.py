@@ -118,7 +118,7 @@ def v_row_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Homographies made from line items: (quad_id, h array of nine)."""
+    """Homographies made from line items: (quad_id, part, h array of nine); lines of a part share theirs."""
     p, k = F.col("l_partkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
     h = [5.0 + p % 7, 0.1 * (p % 5), 20.0 + p % 11, 0.05 * (p % 3), 5.5 + p % 5, 30.0 + p % 13, 0.0004 * (p % 4), 0.0003 * (p % 6), F.lit(1.0)]
-    return table(spark, sf_dir, "lineitem").select(k.alias("quad_id"), F.array(*(F.lit(x) if isinstance(x, float) else x.cast("double") for x in h)).alias("h"))
+    return table(spark, sf_dir, "lineitem").select(k.alias("quad_id"), p.alias("part"), F.array(*(F.lit(x) if isinstance(x, float) else x.cast("double") for x in h)).alias("h"))

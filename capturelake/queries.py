@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.functions import canonical, card, colour, geometry, panels
+from capturelake.functions import canonical, card, colour, geometry, panels, signature
 from capturelake.operators import analyse, calibrate, chain, classify, correction, detect, log, pixels, quality
 from capturelake.plans import sql, views
+from capturelake.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -528,12 +529,12 @@ def upsert_and_pending(spark, sf_dir):
 
 @query("""
 with d as (select distinct cast(ts as date) as day from events)
-select day, strftime(day + interval 5 hour, '%Y-%m-%dT%H:%M:%S.000Z') as since, strftime(day + interval 29 hour - interval 1 second, '%Y-%m-%dT%H:%M:%S') || '.999Z' as until from d
+select strftime(day, '%Y-%m-%d') as day, strftime(day + interval 5 hour, '%Y-%m-%dT%H:%M:%S.000Z') as since, strftime(day + interval 29 hour - interval 1 second, '%Y-%m-%dT%H:%M:%S') || '.999Z' as until from d
 """)
 def day_bounds(spark, sf_dir):
     days = views.table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
     since, until = log.day_bounds(F.col("day"), "-05:00")
-    return days.select("day", since.alias("since"), until.alias("until"))
+    return days.select(F.col("day").cast("string").alias("day"), since.alias("since"), until.alias("until"))
 
 
 # Pixels
@@ -639,7 +640,7 @@ def rectified_cards(spark, sf_dir):
 
 # Geometry
 
-QUADS = """quads as (select l_orderkey*8+l_linenumber as quad_id, (5.0+l_partkey%7)::double as a, (0.1*(l_partkey%5))::double as b, (20.0+l_partkey%11)::double as c, (0.05*(l_partkey%3))::double as d, (5.5+l_partkey%5)::double as e,
+QUADS = """quads as (select l_orderkey*8+l_linenumber as quad_id, l_partkey as part, (5.0+l_partkey%7)::double as a, (0.1*(l_partkey%5))::double as b, (20.0+l_partkey%11)::double as c, (0.05*(l_partkey%3))::double as d, (5.5+l_partkey%5)::double as e,
     (30.0+l_partkey%13)::double as f, (0.0004*(l_partkey%4))::double as g, (0.0003*(l_partkey%6))::double as h from lineitem)"""
 
 
@@ -660,16 +661,16 @@ def quad_geometry(spark, sf_dir):
     return df.select("quad_id", r6(third["x"], "x"), r6(third["y"], "y"), r6(geometry.polygon_signed_area(F.col("points")), "area"), geometry.is_convex_quad(F.col("points")).alias("convex"), home.alias("returns"), r6(F.get("inverse", F.lit(0)), "inverse_first"))
 
 
-@query(f"with {QUADS} select quad_id, round(a, 4) + 0.0 as h0, round(c, 4) + 0.0 as h2, round(f, 4) + 0.0 as h5, round(g, 4) + 0.0 as h6, true as exact from quads")
+@query(f"with {QUADS} select distinct part, round(a, 4) + 0.0 as h0, round(c, 4) + 0.0 as h2, round(f, 4) + 0.0 as h5, round(g, 4) + 0.0 as h6, true as exact from quads")
 def fitted_homographies(spark, sf_dir):
-    df = views.v_quads(spark, sf_dir)
+    df = views.v_quads(spark, sf_dir).select("part", "h").distinct()
     spots = F.array(*(F.struct(F.lit(x).alias("sx"), F.lit(y).alias("sy")) for x, y in card.MARKERS))
-    rows = df.select(F.col("quad_id").alias("set_id"), "h", F.explode(spots).alias("p"))
+    rows = df.select(F.col("part").alias("set_id"), "h", F.explode(spots).alias("p"))
     x, y = geometry.apply_homography(F.col("h"), F.col("p.sx"), F.col("p.sy"))
     pairs = rows.select("set_id", "p.sx", "p.sy", x.alias("dx"), y.alias("dy"))
     fits = geometry.fit_homography(pairs)
     done = fits.join(geometry.reprojection_error(pairs, fits), "set_id")
-    return done.select(F.col("set_id").alias("quad_id"), *((F.round(F.get("h", F.lit(i)), 4) + F.lit(0.0)).alias(f"h{i}") for i in (0, 2, 5, 6)), (F.col("error") < 1e-6).alias("exact"))
+    return done.select(F.col("set_id").alias("part"), *((F.round(F.get("h", F.lit(i)), 4) + F.lit(0.0)).alias(f"h{i}") for i in (0, 2, 5, 6)), (F.col("error") < 1e-6).alias("exact"))
 
 
 @query(f"""
@@ -681,3 +682,51 @@ def calibration_worksheet(spark, sf_dir):
     counts = views.v_readings(spark, sf_dir).groupBy("patch_id").agg(F.count("*").alias("readings"))
     done = card.calibration_worksheet(card.card_patches(spark)).join(counts, "patch_id")
     return done.select("index", "patch_id", "role", "row", "nominal_hex", F.col("nominal_L").alias("nominal_l"), "nominal_a", "nominal_b", "readings")
+
+
+# Signatures and streams
+
+
+@query()
+def verify_signatures(spark, sf_dir):
+    """Every record against a public key: keys of the given coordinates are malformed or off the curve, so all refuse. One
+    in fifty has the curve's base point as key and a signature that does not hold."""
+    g = [canonical.to_base64url(F.unhex(F.lit(f"{v:064x}"))) for v in signature.G]
+    e = F.col("event_id")
+    own = canonical.to_base64url(F.sha2(e.cast("string"), 256).cast("binary"))
+    rows = views.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"id":'), e.cast("string"), F.lit("}")).alias("core"), F.when(e % 50 == 0, g[0]).otherwise(own).alias("x"), F.when(e % 50 == 0, g[1]).otherwise(own).alias("y"), canonical.to_base64url(F.unhex(F.concat(F.sha2(e.cast("string"), 256), F.sha2(F.lit("s"), 256)))).alias("sig"))
+    checked = rows.repartition(8, "event_id").withColumn("v", signature.verify_signature(F.col("x"), F.col("y"), F.col("core"), F.col("sig")))
+    return checked.select("event_id", "v.key_ok", "v.signature_ok")
+
+
+def _streamed(spark: SparkSession, batch: DataFrame, make) -> DataFrame:
+    """Write ``batch`` to the shared folder, run ``make`` over it as a stream until it is used up, and read the result."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    at = f"{root}/stream-{uuid.uuid4().hex}"
+    batch.write.parquet(f"{at}/in")
+    source = spark.readStream.schema(batch.schema).parquet(f"{at}/in")
+    job = make(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(f"""
+with recursive {LINKS}, gap as (select device_id, min(chain_index) as g from links where event_id%53=0 group by 1)
+select l.device_id, l.record_id, l.chain_index, l.chain_index < coalesce(g.g, 1000000000) as accepted from links l left join gap g using (device_id) where l.event_id%53 <> 0
+""")
+def stream_append(spark, sf_dir):
+    records = _chained(views.v_records(spark, sf_dir)).filter("event_id % 53 != 0").select("device_id", "chain_index", "captured_at", "record_id", "previous_hash", "record_hash")
+    return _streamed(spark, records, stream.stream_append).select("device_id", "record_id", "chain_index", "accepted")
+
+
+@query(f"with {sql.RANKED} select event_id, case when reason is null then c1 else 'inconclusive' end as category, {sql.r6('match_delta_e', 'match_delta_e')} from verdicts")
+def stream_classify(spark, sf_dir):
+    outcomes = panels.panel_outcomes(spark)
+    done = _streamed(spark, views.v_samples(spark, sf_dir), lambda s: stream.stream_classify(s, outcomes).select("event_id", "category", r6(F.col("match_delta_e"), "match_delta_e")))
+    return done
