@@ -3,9 +3,9 @@
 A text's set is its distinct word shingles; two texts link when the Jaccard similarity of their sets reaches a
 threshold. Equal sets are one. Sets in one order of shingles (commonest last) can only link when they share a shingle
 of their prefixes, so prefixes give candidate lists. Each list's sets are first tried against one of them, which
-settles groups of copies in linear work. Lists that still hold several groups go to token-group matrices: each group
-stores the union of its sets' shingles, a query's overlap with the union bounds its overlap with every member, and only
-groups that may qualify are opened.
+settles groups of copies in linear work. Lists that still hold several groups go to token-group matrices: a matrix row is
+the union of a group's shingles as a bitmap, a query's bits outside it bound its overlap with every member, and only
+groups that may qualify are opened. Pairs that pass the members' own bounds are checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -77,6 +77,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (n + m - same)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Bitmap of a set, of about two bits a shingle; its length is a power of two, so longer ones fold."""
+    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    marks = np.zeros(bits, np.uint8)
+    marks[(mix(tokens) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (or rows of them) at a smaller length."""
+    return np.bitwise_or.reduce(bitmap.reshape(*bitmap.shape[:-1], -1, size), axis=-2)
+
+
+def may_link(n: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sets may link with one. Each bit that only one of two sets has is a shingle that the other lacks.
+    With sizes of 0, ``others`` are unions of sets, and only the one set's own bits count."""
+    mine = n - np.bitwise_count(bits & ~others).sum(-1, dtype=np.int64)
+    if not sizes.any():
+        return 100 * mine >= percent * n
+    theirs = sizes - np.bitwise_count(others & ~bits).sum(-1, dtype=np.int64)
+    return (100 + percent) * np.minimum(mine, theirs) >= percent * (n + sizes)
+
+
 def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Shingles that many different texts of some task have. They only come last in the order of shingles: any
     choice gives the same links, so the commonest are kept up to a fixed number."""
@@ -116,13 +139,13 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def _prefixes(named: DataFrame, text: str, width: int, percent: int, common) -> DataFrame:
-    """(id_a, id_b, n, s, prefix): size and name of each row's set, and the shingles of its prefix."""
+    """(id_a, id_b, n, s, prefix, bits): size and name of each row's set, the shingles of its prefix, and its bitmap."""
 
     def make():
         rare_last = common.value
 
         def each(a, b, texts):
-            sizes, names, out = [], [], []
+            sizes, names, out, bits = [], [], [], []
             for tokens in _sets(texts, width):
                 n = len(tokens)
                 last = np.isin(tokens, rare_last, assume_unique=True) if len(rare_last) else np.zeros(n, bool)
@@ -130,11 +153,12 @@ def _prefixes(named: DataFrame, text: str, width: int, percent: int, common) ->
                 sizes.append(n)
                 names.append(set_name(tokens))
                 out.append(np.concatenate([tokens[~last], tokens[last]])[:most].tobytes())
-            yield a, b, sizes, names, out
+                bits.append(sketch(tokens))
+            yield a, b, sizes, names, out, bits
 
         return each
 
-    return map_columns(named.select("id_a", "id_b", text), make, "id_a long, id_b long, n long, s long, prefix binary")
+    return map_columns(named.select("id_a", "id_b", text), make, "id_a long, id_b long, n long, s long, prefix binary, bits binary")
 
 
 def _postings(sets: DataFrame, buckets: int) -> DataFrame:
@@ -202,102 +226,131 @@ def _tokens(joined: DataFrame, text: str, width: int) -> DataFrame:
     return map_columns(joined.select("s", text), make, "s long, tokens binary")
 
 
-def _star(percent: int):
-    """Of one centre and salt: links between the centre and its sets."""
+def _promising(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose bitmaps allow a link."""
 
     def make():
-        def work(rows):
-            centre = next((np.frombuffer(r[2], np.uint64) for r in rows if r[1] == r[3]), None)
-            good = [r for r in rows if r[1] != r[3] and linked(np.frombuffer(r[2], np.uint64), centre, percent)]
-            if good:
-                yield [r[1] for r in good], [r[3] for r in good]
+        def each(us, vs, n, a, m, b):
+            keep = []
+            for i in range(len(us)):
+                x, y = np.frombuffer(a[i], np.uint8), np.frombuffer(b[i], np.uint8)
+                size = min(len(x), len(y))
+                keep.append(bool(may_link(n[i], fold(x, size), np.array([m[i]]), fold(y, size)[None], percent)[0]))
+            yield [u for u, k in zip(us, keep, strict=True) if k], [v for v, k in zip(vs, keep, strict=True) if k]
+
+        return each
+
+    one = bits.select(F.col("s").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    two = bits.select(F.col("s").alias("v"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    joined = pairs.join(one, "u").join(two, "v").select("u", "v", "n1", "b1", "n2", "b2")
+    return map_columns(joined, make, "u long, v long")
+
+
+def _verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, text: str, words: int, percent: int, block: int) -> DataFrame:
+    """The pairs (u, v) of sets that link. Only texts of sets in some pair are read again; the pairs of one set are split
+    by salts, and the set goes to each."""
+    wanted = pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct()
+    where = rows.join(wanted, "s").groupBy("s").agg(F.min(F.struct("id_a", "id_b")).alias("one")).select("s", "one.*")
+    texts = named.select("id_a", "id_b", F.col(text).alias("body")).join(where, ["id_a", "id_b"]).dropDuplicates(["s"])
+    tokens = stored(_tokens(texts, "body", words), "tokens")
+    salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / block).alias("salts"))
+    dealt = pairs.join(salts, "v").select(F.col("u").alias("s"), "v", F.pmod(F.xxhash64("u"), F.col("salts")).alias("salt"))
+    centres = salts.select(F.col("v").alias("s"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    trials = dealt.unionByName(centres).join(tokens, "s").select(F.xxhash64("v", "salt").alias("pair"), "s", "tokens", "v")
+
+    def make():
+        def work(group):
+            found = {r[1]: r for r in group if r[1] == r[3]}
+            u, v = [], []
+            for _, s, raw, own in group:
+                if s != own and linked(np.frombuffer(raw, np.uint64), np.frombuffer(found[own][2], np.uint64), percent):
+                    u.append(s)
+                    v.append(own)
+            if u:
+                yield u, v
 
         return work
 
-    return make
+    return stored(by_bucket(trials, "pair", make, "u long, v long"), "links")
 
 
 class TokenGroups:
-    """A token-group matrix of some sets: which groups a query may link into, and with which members."""
-
-    def __init__(self, groups: list[list[tuple[int, np.ndarray]]], percent: int):
-        self.groups, self.percent = groups, percent
-        self.unions = [np.unique(np.concatenate([t for _, t in g])) for g in groups]
-        self.tokens = np.concatenate(self.unions) if groups else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(groups)), [len(u) for u in self.unions])
-        order = np.argsort(self.tokens, kind="stable")
-        self.tokens, self.owner = self.tokens[order], owner[order]
-
-    def bounds(self, query: np.ndarray) -> np.ndarray:
-        """Overlap of a query with the union of each group."""
-        low = np.searchsorted(self.tokens, query, "left")
-        n = np.searchsorted(self.tokens, query, "right") - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], minlength=len(self.groups))
-
-    def links(self, query: np.ndarray, skip: set[int]):
-        """(group, member) of one link into each other group that has any."""
-        for g in np.flatnonzero(100 * self.bounds(query) >= self.percent * len(query)).tolist():
-            if g not in skip:
-                for name, tokens in self.groups[g]:
-                    if linked(query, tokens, self.percent):
-                        yield g, name
-                        break
+    """A token-group matrix: for each group of sets, the union of their bitmaps at each length in use, and its members."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], groups: np.ndarray, percent: int):
+        order = np.lexsort((sizes, groups))
+        self.names, self.sizes, self.groups, self.percent = names[order], sizes[order], groups[order], percent
+        self.bitmaps = [bitmaps[i] for i in order.tolist()]
+        self.lengths = np.array([len(b) for b in self.bitmaps])
+        self.levels: dict[tuple[int, int], tuple] = {}
+
+    def _level(self, own: int, size: int) -> tuple:
+        """Members whose bitmaps have ``own`` bytes, folded to ``size``: (their places, rows, their groups' starts, unions)."""
+        if (own, size) not in self.levels:
+            at = np.flatnonzero(self.lengths == own)
+            rows = fold(np.array([self.bitmaps[i] for i in at.tolist()]), size) if len(at) else np.zeros((0, size), np.uint8)
+            first = np.flatnonzero(np.diff(self.groups[at], prepend=-1) != 0) if len(at) else at
+            unions = np.bitwise_or.reduceat(rows, first, axis=0) if len(at) else rows
+            self.levels[own, size] = at, rows, first, unions
+        return self.levels[own, size]
+
+    def candidates(self, n: int, bits: np.ndarray, group: int) -> np.ndarray:
+        """Names of members of other groups that may link with a set: groups are opened only if their union allows it."""
+        out = []
+        for own in (len(bits) // 2, len(bits), len(bits) * 2):
+            size = min(own, len(bits))
+            if size < 8:
+                continue
+            at, rows, first, unions = self._level(own, size)
+            if not len(at):
+                continue
+            mine = fold(bits, size)
+            open_ = may_link(n, mine, np.zeros(len(first), np.int64), unions, self.percent)
+            use = np.flatnonzero(np.repeat(open_, np.diff(first, append=len(at))) & (self.groups[at] != group))
+            if len(use):
+                out.append(self.names[at[use[may_link(n, mine, self.sizes[at[use]], rows[use], self.percent)]]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _between_groups(percent: int):
-    """Of one pair of blocks of a list: links between sets of different groups. Groups that link become one, so no
-    further pair between them is opened."""
+    """Of one pair of blocks of a list: pairs of sets in different components whose bitmaps allow a link."""
 
     def make():
         def work(rows):
-            _, _, names, comps, sides, blobs, _ = zip(*rows, strict=True)
-            diagonal = len(set(sides)) == 1
-            parent: dict[int, int] = {c: c for c in comps}
-
-            def root(c):
-                while parent[c] != c:
-                    parent[c] = parent[parent[c]]
-                    c = parent[c]
-                return c
-
-            by: dict[int, list] = {}
-            for s, c, side, raw in zip(names, comps, sides, blobs, strict=True):
-                if diagonal or side == 1:
-                    by.setdefault(c, []).append((s, np.frombuffer(raw, np.uint64)))
-            keys = list(by)
-            matrix = TokenGroups([by[k] for k in keys], percent)
+            _, names, comps, sides, sizes, blobs = zip(*rows, strict=True)
+            names, sides, sizes = np.array(names), np.array(sides), np.array(sizes)
+            groups = np.unique(np.array(comps), return_inverse=True)[1]
+            bitmaps = [np.frombuffer(b, np.uint8) for b in blobs]
+            both = (sides == 0).all() or (sides == 1).all()
+            use = np.arange(len(names)) if both else np.flatnonzero(sides == 1)
+            matrix = TokenGroups(names[use], sizes[use], [bitmaps[i] for i in use.tolist()], groups[use], percent)
             u, v = [], []
-            for s, c, side, raw in zip(names, comps, sides, blobs, strict=True):
-                if diagonal or side == 0:
-                    skip = {i for i, k in enumerate(keys) if root(k) == root(c)}
-                    for g, member in matrix.links(np.frombuffer(raw, np.uint64), skip):
-                        if root(keys[g]) != root(c):
-                            u.append(s)
-                            v.append(member)
-                            parent[root(keys[g])] = root(c)
-            if u:
-                yield u, v
+            for i in range(len(names)) if both else np.flatnonzero(sides == 0).tolist():
+                found = matrix.candidates(int(sizes[i]), bitmaps[i], int(groups[i]))
+                found = found[found > names[i]] if both else found
+                u.append(np.full(len(found), names[i]))
+                v.append(found)
+            yield np.concatenate(u), np.concatenate(v)
 
         return work
 
     return make
 
 
-def _remaining(lists: DataFrame, comps: DataFrame, tokens: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within lists whose sets are not in one component yet. Long lists are cut into blocks, pair by pair."""
+def _remaining(lists: DataFrame, comps: DataFrame, bits: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidate pairs within lists whose sets are not in one component yet. Long lists are cut into blocks, pair by
+    pair; lists of two are settled."""
     named = lists.join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    several = named.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x != y")
+    several = named.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2")
     rows = named.join(several.select("list", "size"), "list")
     cuts = F.ceil(F.col("size") / block)
     own = F.pmod(F.xxhash64("s"), cuts)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)))
     rows = rows.select(
-        F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "s", "component",
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.col("list"),
-    )
-    placed = rows.join(tokens, "s").select("pair", "list", "s", "component", "side", "tokens", F.lit(0).alias("z"))
-    return by_bucket(placed, "pair", _between_groups(percent), "u long, v long")
+        F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "s", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    )
+    placed = rows.join(bits, "s").select("pair", "s", "component", "side", "n", "bits")
+    return by_bucket(placed, "pair", _between_groups(percent), "u long, v long").distinct()
 
 
 def link_classes(
@@ -316,25 +369,19 @@ def link_classes(
     named = identified(docs, key, text)
     common = spark.sparkContext.broadcast(common_shingles(docs, text, words))
     rows = stored(_prefixes(named, text, words, percent, common), "prefixes")
-    sets = rows.filter("n > 0").groupBy("s").agg(F.min(F.struct("id_a", "id_b", "n", "prefix")).alias("one")).select("s", "one.*")
+    sets = rows.filter("n > 0").select("id_a", "id_b", "n", "s", "prefix", "bits").groupBy("s").agg(F.min(F.struct("id_a", "id_b", "n", "prefix", "bits")).alias("one")).select("s", "one.*")
     lists = by_bucket(_postings(sets, partitions(spark)), "bucket", _lists(percent), "list long, s long, first long, size long")
     lists = stored(lists.dropDuplicates(["list", "s"]), "lists")
 
-    wanted = lists.select("s").distinct()
-    where = rows.join(wanted, "s").groupBy("s").agg(F.min(F.struct("id_a", "id_b")).alias("one")).select("s", "one.*")
-    texts = named.select("id_a", "id_b", F.col(text).alias("body")).join(where, ["id_a", "id_b"]).dropDuplicates(["s"])
-    tokens = stored(_tokens(texts, "body", words), "tokens")
-
-    pairs = lists.filter("s != first").select("s", "first").distinct()
-    salts = pairs.groupBy("first").agg(F.ceil(F.count("*") / block).alias("salts"))
-    dealt = pairs.join(salts, "first").select("s", "first", F.pmod(F.xxhash64("s"), F.col("salts")).alias("salt"))
-    centres = salts.select(F.col("first").alias("s"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    trials = dealt.unionByName(centres).join(tokens, "s").select(F.xxhash64("first", "salt").alias("pair"), "s", "tokens", "first")
-    links = stored(by_bucket(trials, "pair", _star(percent), "u long, v long"), "links")
-    more = stored(_remaining(lists.select("list", "s"), components(links), tokens, percent, block), "links")
-    comps = components(links.unionByName(more))
+    bits = sets.select("s", "n", "bits").join(lists.select("s").distinct(), "s", "left_semi")
+    bits = stored(bits, "bits")
+    pairs = stored(_promising(lists.filter("s != first").select(F.col("s").alias("u"), F.col("first").alias("v")).distinct(), bits, percent), "pairs")
+    links = _verified(pairs, named, rows, text, words, percent, block)
+    more = stored(_remaining(lists.select("list", "s"), components(links), bits, percent, block).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(more, named, rows, text, words, percent, block))
+    comps = components(links)
 
-    by_set = rows.join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    by_set = rows.select("id_a", "id_b", "n", "s").join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     least = by_set.filter("n > 0").groupBy("component").agg(F.min("id_a").alias("least"))
     classes = by_set.join(least, "component", "left").select("id_a", "id_b", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id_a")).alias("least"))
     classes = classes.dropDuplicates(["id_a", "id_b"])
