@@ -162,9 +162,8 @@ def delta_e_94(reference: Triple, sample: Triple) -> Column:
     return F.sqrt(dl * dl + F.pow(dc / (1 + 0.045 * c1), F.lit(2)) + dh2 / F.pow(1 + 0.015 * c1, F.lit(2)))
 
 
-def with_delta_e_2000(df: DataFrame, reference: Triple, sample: Triple, out: str, weights=(1.0, 1.0, 1.0)) -> DataFrame:
-    """Add CIEDE2000 as column ``out``. It is built in steps, so that the plan stays small; helper columns are
-    dropped."""
+def _delta_e_steps(reference: Triple, sample: Triple, out: str, weights) -> list[dict[str, Column]]:
+    """CIEDE2000 as steps of named columns, each in terms of those before it."""
     kl, kc, kh = weights
     c = lambda n: F.col(f"{out}__{n}")
     steps = [
@@ -194,11 +193,25 @@ def with_delta_e_2000(df: DataFrame, reference: Triple, sample: Triple, out: str
             "r": -2 * F.sqrt(c("k7") / (c("k7") + 25.0**7)) * F.sin(c("bend")),
         },
     ]
-    names = [f"{out}__{n}" for step in steps for n in step]
-    for step in steps:
-        df = df.withColumns({f"{out}__{n}": e for n, e in step.items()})
     total = c("dl") * c("dl") + c("dc") * c("dc") + c("dh") * c("dh") + c("r") * c("dc") * c("dh")
-    return df.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), total))).drop(*names)
+    named = [{f"{out}__{n}": e for n, e in step.items()} for step in steps]
+    return [*named, {out: F.sqrt(F.greatest(F.lit(0.0), total))}]
+
+
+def with_delta_es_2000(df: DataFrame, pairs: dict[str, tuple[Triple, Triple]], weights=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Add CIEDE2000 of several (reference, sample) pairs as columns of the given names. All are built step by step
+    together, so that the plan stays small; helper columns are dropped."""
+    each = [_delta_e_steps(reference, sample, out, weights) for out, (reference, sample) in pairs.items()]
+    helpers = []
+    for steps in zip(*each, strict=True):
+        df = df.withColumns({n: e for step in steps for n, e in step.items()})
+        helpers += [n for step in steps for n in step if n not in pairs]
+    return df.drop(*helpers)
+
+
+def with_delta_e_2000(df: DataFrame, reference: Triple, sample: Triple, out: str, weights=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Add CIEDE2000 as column ``out``."""
+    return with_delta_es_2000(df, {out: (reference, sample)}, weights)
 
 
 def describe_delta_e(delta_e: Column) -> Column:

@@ -25,6 +25,7 @@ OUTCOMES = (
     ("simons", "Simon's", "simons-blue", "Deep blue, consistent with a secondary amine such as MDMA", "positive", "#1c3f80", ("MDMA", "methamphetamine")),
 )
 PANELS = tuple(dict.fromkeys(o[0] for o in OUTCOMES))
+MOST_OUTCOMES = max(sum(o[0] == p for o in OUTCOMES) for p in PANELS)
 
 
 def outcome_rows() -> list[tuple]:
