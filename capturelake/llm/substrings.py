@@ -37,7 +37,7 @@ from capturelake.llm.text import (
 )
 
 WINDOW = 13
-BATCH_WORDS = 4_000_000
+BATCH_WORDS = 1_000_000
 HEADER = -1
 
 
@@ -81,7 +81,7 @@ def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
                 h = h[at]
                 index = (at - first[doc[at]]) % block == 0
                 low = (h & np.uint64(0xFFFFFFFE)).astype("<u4") | index.astype("<u4")
-                held.append((bucket_of(h, buckets).astype(np.int32), low, (at + total).astype(np.int64)))
+                held.append((bucket_of(h, buckets).astype(np.int32), low, (at + total).astype(np.int32)))
                 texts_a.extend(a[i] for i in part)
                 texts_b.extend(b[i] for i in part)
                 counts.append(np.diff(first))

@@ -228,7 +228,7 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def pack_places(places: np.ndarray) -> bytes:
     """Rising 32-bit places as gaps, byte plane by byte plane (zeros then compress well)."""
-    gaps = np.diff(places, prepend=0).astype("<u4")
+    gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u4")
     return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
