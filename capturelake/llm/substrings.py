@@ -38,11 +38,11 @@ from capturelake.llm.text import (
 
 WINDOW = 13
 BATCH_WORDS = 1_000_000
-HEADER = -1
 
 
 def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
-    """Packed probes (bucket, batch, low hash bits with a mark for index blocks, places), and each batch's texts."""
+    """Packed probes (bucket, batch, head, low hash bits with a mark for index blocks, places), and as rows with ``head``
+    each batch's texts and their numbers of words."""
 
     def make():
         held: list[tuple] = []
@@ -56,7 +56,7 @@ def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
             batch = TaskContext.get().partitionId() << 24 | flushed
             flushed += 1
             n = np.concatenate(counts).astype("<i8")
-            yield [HEADER], [batch], [np.array([texts_a, texts_b], "<i8").tobytes()], [n.tobytes()]
+            yield [batch % buckets], [batch], [True], [np.array([texts_a, texts_b], "<i8").tobytes()], [n.tobytes()]
             bucket, low, place = (np.concatenate([x[i] for x in held]) for i in range(3))
             order = np.argsort(bucket, kind="stable")
             low, place = low[order], place[order]
@@ -64,7 +64,7 @@ def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
             for i in range(0, len(parts), 64):
                 own = parts[i : i + 64]
                 yield (
-                    [b for b, _, _ in own], [batch] * len(own), [low[x:y].tobytes() for _, x, y in own],
+                    [b for b, _, _ in own], [batch] * len(own), [False] * len(own), [low[x:y].tobytes() for _, x, y in own],
                     [pack_places(place[x:y]) for _, x, y in own],
                 )
             total = 0
@@ -92,14 +92,20 @@ def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
         each.rest = flush
         return each
 
-    return map_columns(named.select("id_a", "id_b", text), make, "bucket int, batch long, low binary, places binary")
+    return map_columns(named.select("id_a", "id_b", text), make, "bucket int, batch long, head boolean, low binary, places binary")
 
 
 def _hits():
-    """Of one bucket: places whose hash an index block has and that more than one place has."""
+    """Of one bucket: places whose hash an index block has and that more than one place has. Heads pass."""
 
     def work(rows):
-        low = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
+        for _, batch, head, ids, counts in rows:
+            if head:
+                yield [batch], [ids], [counts]
+        rows = [r for r in rows if not r[2]]
+        if not rows:
+            return
+        low = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
         key, marked = low >> 1, low & 1
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -109,7 +115,7 @@ def _hits():
         hit = np.zeros(len(low), bool)
         hit[order] = np.repeat(good, count)
         at = 0
-        for _, batch, own, places in rows:
+        for _, batch, _, own, places in rows:
             mask = hit[at : at + len(own) // 4]
             at += len(own) // 4
             if mask.any():
@@ -216,11 +222,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     block = (window + 1) // 2
     buckets = partitions(docs.sparkSession)
     named = identified(docs, key, text)
-    probes = stored(_probes(named, text, block, buckets), "probes")
-    kinds = "batch long, head binary, places binary"
-    hits = by_bucket(probes.filter(f"bucket != {HEADER}"), "bucket", _hits, kinds)
-    heads = probes.filter(f"bucket = {HEADER}").select("batch", F.col("low").alias("head"), "places")
-    places = stored(by_bucket(hits.unionByName(heads), "batch", _by_text, "id_a long, id_b long, hits binary"), "hits")
+    probes = _probes(named, text, block, buckets)
+    hits = stored(by_bucket(probes, "bucket", _hits, "batch long, head binary, places binary"), "hits")
+    places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary"), "places")
     near = named.select("id_a", "id_b", F.col(text).alias("body")).join(places.dropDuplicates(["id_a", "id_b"]), ["id_a", "id_b"])
     sent = _candidates(near, "body", block, window, buckets)
     found = stored(by_bucket(sent, "bucket", _repeated, "id_a long, id_b long, gone binary"), "gone")
