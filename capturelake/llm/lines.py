@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.llm.text import identified
+
 WIDTH = 3
 
 
@@ -35,9 +37,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     before all others. Groups of equal windows are reduced before they are shuffled, so a line that every document has
     costs one row a task.
     """
-    columns = docs.columns
-    named = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("ld_key"), F.coalesce(text, F.lit("")).alias("ld_body"))
-    named = named.withColumn("ld_text", F.xxhash64("ld_body"))
+    named = identified(docs, key, text).select(
+        "id_row", F.col("id_a").alias("ld_key"), F.col("id_b").alias("ld_text"), F.coalesce("id_text", F.lit("")).alias("ld_body"), F.col("id_text").isNull().alias("ld_null")
+    )
     windows = _windows(named.select("ld_key", "ld_text", "ld_body"), width)
     first = (
         windows.groupBy("ld_a", "ld_b").agg(F.min(F.struct("ld_key", "ld_at")).alias("ld_first"), F.count("*").alias("ld_count"))
@@ -53,9 +55,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         .withColumn("ld_covered", covered)
         .withColumn("ld_stay", F.when(F.col("ld_covered").isNotNull(), stay))
         .select(
-            *columns, F.size("ld_lines").cast("long").alias("ld_n"),
+            "id_row.*", F.size("ld_lines").cast("long").alias("ld_n"),
             F.coalesce(F.size("ld_covered"), F.lit(0)).cast("long").alias("ld_removed"),
-            F.when(F.col("ld_covered").isNull(), F.col(text))
+            F.when(F.col("ld_covered").isNull(), F.when(~F.col("ld_null"), F.col("ld_body")))
             .otherwise(F.array_join(F.transform("ld_stay", lambda i: F.element_at("ld_lines", i)), "\n")).alias("ld_kept"),
         )
     )

@@ -138,7 +138,7 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-def _prefixes(named: DataFrame, text: str, width: int, percent: int, common) -> DataFrame:
+def _prefixes(named: DataFrame, width: int, percent: int, common) -> DataFrame:
     """(id_a, id_b, n, s, prefix, bits): size and name of each row's set, the shingles of its prefix, and its bitmap."""
 
     def make():
@@ -158,7 +158,7 @@ def _prefixes(named: DataFrame, text: str, width: int, percent: int, common) ->
 
         return each
 
-    return map_columns(named.select("id_a", "id_b", text), make, "id_a long, id_b long, n long, s long, prefix binary, bits binary")
+    return map_columns(named.select("id_a", "id_b", "id_text"), make, "id_a long, id_b long, n long, s long, prefix binary, bits binary")
 
 
 def _postings(sets: DataFrame, buckets: int) -> DataFrame:
@@ -216,14 +216,14 @@ def _lists(percent: int):
     return make
 
 
-def _tokens(joined: DataFrame, text: str, width: int) -> DataFrame:
+def _tokens(joined: DataFrame, width: int) -> DataFrame:
     def make():
         def each(names, texts):
             yield names, [x.tobytes() for x in _sets(texts, width)]
 
         return each
 
-    return map_columns(joined.select("s", text), make, "s long, tokens binary")
+    return map_columns(joined.select("s", "id_text"), make, "s long, tokens binary")
 
 
 def _promising(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -246,13 +246,13 @@ def _promising(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return map_columns(joined, make, "u long, v long")
 
 
-def _verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, text: str, words: int, percent: int, block: int) -> DataFrame:
+def _verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """The pairs (u, v) of sets that link. Only texts of sets in some pair are read again; the pairs of one set are split
     by salts, and the set goes to each."""
     wanted = pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct()
     where = rows.join(wanted, "s").groupBy("s").agg(F.min(F.struct("id_a", "id_b")).alias("one")).select("s", "one.*")
-    texts = named.select("id_a", "id_b", F.col(text).alias("body")).join(where, ["id_a", "id_b"]).dropDuplicates(["s"])
-    tokens = stored(_tokens(texts, "body", words), "tokens")
+    texts = named.select("id_a", "id_b", "id_text").join(where, ["id_a", "id_b"]).dropDuplicates(["s"])
+    tokens = stored(_tokens(texts, words), "tokens")
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / block).alias("salts"))
     dealt = pairs.join(salts, "v").select(F.col("u").alias("s"), "v", F.pmod(F.xxhash64("u"), F.col("salts")).alias("salt"))
     centres = salts.select(F.col("v").alias("s"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -353,22 +353,14 @@ def _remaining(lists: DataFrame, comps: DataFrame, bits: DataFrame, percent: int
     return by_bucket(placed, "pair", _between_groups(percent), "u long, v long").distinct()
 
 
-def link_classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SETS
-) -> DataFrame:
-    """``docs`` with columns ng_size (distinct shingles) and ng_class (smallest key of the rows reachable by links).
+NULL_KEY = -(2**63)
 
-    Words are runs of anything but 0x20 and 0x09-0x0D, A-Z folded; a text of fewer than ``words`` words has one shingle,
-    the whole; null, empty and blank texts have none and are a class of their own. Rows with equal sets are linked,
-    repeated rows included; a null key counts as the smallest. Sets are named by 64-bit hashes.
 
-    Copies collapse by a partial aggregation; a list's trial against its first set is split by salts; long lists
-    are cut into blocks. No bucket, list or partner is capped.
-    """
-    spark = docs.sparkSession
-    named = identified(docs, key, text)
-    common = spark.sparkContext.broadcast(common_shingles(docs, text, words))
-    rows = stored(_prefixes(named, text, words, percent, common), "prefixes")
+def _classes(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """(id_a, id_b, n, least): the size of each document's set and the smallest key of its class."""
+    spark = named.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(named, "id_text", words))
+    rows = stored(_prefixes(named, words, percent, common), "prefixes")
     sets = rows.filter("n > 0").select("id_a", "id_b", "n", "s", "prefix", "bits").groupBy("s").agg(F.min(F.struct("id_a", "id_b", "n", "prefix", "bits")).alias("one")).select("s", "one.*")
     lists = by_bucket(_postings(sets, partitions(spark)), "bucket", _lists(percent), "list long, s long, first long, size long")
     lists = stored(lists.dropDuplicates(["list", "s"]), "lists")
@@ -376,24 +368,39 @@ def link_classes(
     bits = sets.select("s", "n", "bits").join(lists.select("s").distinct(), "s", "left_semi")
     bits = stored(bits, "bits")
     pairs = stored(_promising(lists.filter("s != first").select(F.col("s").alias("u"), F.col("first").alias("v")).distinct(), bits, percent), "pairs")
-    links = _verified(pairs, named, rows, text, words, percent, block)
+    links = _verified(pairs, named, rows, words, percent, block)
     more = stored(_remaining(lists.select("list", "s"), components(links), bits, percent, block).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, named, rows, text, words, percent, block))
+    links = links.unionByName(_verified(more, named, rows, words, percent, block))
     comps = components(links)
 
     by_set = rows.select("id_a", "id_b", "n", "s").join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     least = by_set.filter("n > 0").groupBy("component").agg(F.min("id_a").alias("least"))
     classes = by_set.join(least, "component", "left").select("id_a", "id_b", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id_a")).alias("least"))
-    classes = classes.dropDuplicates(["id_a", "id_b"])
-    null = F.lit(-(2**63))
-    return named.join(classes, ["id_a", "id_b"]).select(
-        *docs.columns, F.col("n").alias("ng_size"), F.when(F.col("least") != null, F.col("least")).alias("ng_class")
-    )
+    return classes.dropDuplicates(["id_a", "id_b"])
+
+
+def link_classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SETS
+) -> DataFrame:
+    """``docs`` with columns ng_size (distinct shingles) and ng_class (smallest key of the rows reachable by links).
+
+    Words are runs of anything but 0x20 and 0x09-0x0D, A-Z folded; a text of fewer than ``words`` words has one shingle,
+    the whole; null, empty and blank texts have none and are a class of their own. Rows with equal sets are linked,
+    repeated rows included; a null key counts as the smallest. Sets are named by 64-bit hashes.
+
+    Copies collapse by a partial aggregation; a list's trial against its first set is split by salts; long lists
+    are cut into blocks. No bucket, list or partner is capped.
+    """
+    named = identified(docs, key, text)
+    least = F.when(F.col("least") != NULL_KEY, F.col("least"))
+    return named.join(_classes(named, words, percent, block), ["id_a", "id_b"]).select("id_row.*", F.col("n").alias("ng_size"), least.alias("ng_class"))
 
 
-def class_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    done = link_classes(docs.select(key, text), key, text)
-    return done.select(key, F.col("ng_size").alias("n_shingles"), F.col("ng_class").alias("component_id"))
+def class_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
+    """Key, set size and class of every row, without the texts."""
+    named = identified(docs.select(key, text), key, text)
+    found = named.select(F.col("id_row")[key].alias("own_key"), "id_a", "id_b").join(_classes(named, words, percent, block), ["id_a", "id_b"])
+    return found.select(F.col("own_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("least") != NULL_KEY, F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

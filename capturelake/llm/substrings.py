@@ -40,7 +40,7 @@ WINDOW = 13
 BATCH_WORDS = 1_000_000
 
 
-def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
+def _probes(named: DataFrame, block: int, buckets: int) -> DataFrame:
     """Packed probes (bucket, batch, head, low hash bits with a mark for index blocks, places), and as rows with ``head``
     each batch's texts and their numbers of words."""
 
@@ -92,7 +92,7 @@ def _probes(named: DataFrame, text: str, block: int, buckets: int) -> DataFrame:
         each.rest = flush
         return each
 
-    return map_columns(named.select("id_a", "id_b", text), make, "bucket int, batch long, head boolean, low binary, places binary")
+    return map_columns(named.select("id_a", "id_b", "id_text"), make, "bucket int, batch long, head boolean, low binary, places binary")
 
 
 def _hits():
@@ -146,7 +146,7 @@ def _by_text():
     return work
 
 
-def _candidates(joined: DataFrame, text: str, block: int, window: int, buckets: int) -> DataFrame:
+def _candidates(joined: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
     """Packed windows around hits: (bucket, texts, hashes, places)."""
 
     def make():
@@ -222,14 +222,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     block = (window + 1) // 2
     buckets = partitions(docs.sparkSession)
     named = identified(docs, key, text)
-    probes = _probes(named, text, block, buckets)
+    probes = _probes(named, block, buckets)
     hits = stored(by_bucket(probes, "bucket", _hits, "batch long, head binary, places binary"), "hits")
     places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary"), "places")
-    near = named.select("id_a", "id_b", F.col(text).alias("body")).join(places.dropDuplicates(["id_a", "id_b"]), ["id_a", "id_b"])
-    sent = _candidates(near, "body", block, window, buckets)
+    near = named.select("id_a", "id_b", "id_text").join(places.dropDuplicates(["id_a", "id_b"]), ["id_a", "id_b"])
+    sent = _candidates(near, block, window, buckets)
     found = stored(by_bucket(sent, "bucket", _repeated, "id_a long, id_b long, gone binary"), "gone")
     gone = found.groupBy("id_a", "id_b").agg(F.collect_set("gone").alias("sb_windows"))
-    return named.join(gone, ["id_a", "id_b"], "left").select(*docs.columns, "sb_windows")
+    return named.join(gone, ["id_a", "id_b"], "left").select("id_row.*", "sb_windows")
 
 
 def removed_words(text: bytes, packed: list[bytes] | None, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:

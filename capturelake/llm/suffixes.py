@@ -223,7 +223,7 @@ def runs(text: bytes, width: int, gram: int) -> tuple[np.ndarray, ...]:
     return first, count, least[first].view(np.int64), body.view(np.int64)
 
 
-def _find_runs(named: DataFrame, text: str, width: int, gram: int) -> DataFrame:
+def _find_runs(named: DataFrame, width: int, gram: int) -> DataFrame:
     def make():
         def each(a, b, texts):
             found = [runs(text_bytes(t), width, gram) for t in texts]
@@ -232,7 +232,7 @@ def _find_runs(named: DataFrame, text: str, width: int, gram: int) -> DataFrame:
 
         return each
 
-    return map_columns(named.select("id_a", "id_b", text), make, "id_a long, id_b long, at long, n long, anchor long, body long")
+    return map_columns(named.select("id_a", "id_b", "id_text"), make, "id_a long, id_b long, at long, n long, anchor long, body long")
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -294,7 +294,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     anywhere else, in this text or another. Texts are UTF-8; null or short ones have no spans; matches never cross
     texts. Rows that repeat a key and text count as two places each and share their result."""
     named = identified(docs, key, text)
-    found = _find_runs(named, text, width, gram)
+    found = _find_runs(named, width, gram)
     found = stored(found, "runs")
     shared = found.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor")
     found = stored(found.join(shared, "anchor"), "shared")
@@ -313,8 +313,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
         return each
 
-    texts = named.select("id_a", "id_b", F.col(text).alias("body_text"))
-    one_each = texts.join(differ, ["id_a", "id_b"]).select("body_text", "parts")
+    one_each = named.select("id_a", "id_b", "id_text").join(differ, ["id_a", "id_b"]).select("id_text", "parts")
     cut = map_rows(one_each, make, "anchor long, body long, n long, twice boolean, hot boolean, raw binary").dropDuplicates(["anchor", "body", "n"])
     cut = stored(cut, "cut")
     columns = ["anchor", "body", "n", "twice", "raw"]
@@ -331,7 +330,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return named.join(spans, ["id_a", "id_b"], "left").select(*docs.columns, merged.alias("sd_spans"))
+    return named.join(spans, ["id_a", "id_b"], "left").select("id_row.*", merged.alias("sd_spans"))
 
 
 def digests(done: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

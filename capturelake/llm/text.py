@@ -221,9 +221,12 @@ def map_columns(df: DataFrame, make: Callable[[], Callable], schema: str | Struc
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(*, id_a, id_b): a row's key as a long that is never null, and a hash of its text. Rows that repeat both are one
-    document."""
-    return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"), F.xxhash64(text).alias("id_b"))
+    """(id_row, id_a, id_b, id_text): a whole row as a struct, so that no column name of it can clash, its key as a long that
+    is never null, a hash of its text, and the text. Rows that repeat key and text are one document."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"),
+        F.xxhash64(text).alias("id_b"), F.col(text).alias("id_text"),
+    )
 
 
 def pack_places(places: np.ndarray) -> bytes:
