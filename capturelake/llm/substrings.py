@@ -15,7 +15,6 @@ import hashlib
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from capturelake.llm.text import (
     blocks,
@@ -27,6 +26,7 @@ from capturelake.llm.text import (
     joined_words,
     map_columns,
     map_rows,
+    mix,
     pack_places,
     partitions,
     stored,
@@ -182,30 +182,53 @@ def _candidates(joined: DataFrame, block: int, window: int, buckets: int) -> Dat
     return map_columns(joined, make, "bucket int, texts binary, hashes binary, places binary")
 
 
-def _repeated():
-    """Of one bucket: windows that also start in a text with a smaller key, by text."""
+def _repeated(buckets: int):
+    """Of one bucket: windows that also start in a text with a smaller key, packed by groups of texts."""
+
+    def make():
+        def work(rows):
+            head = np.concatenate([np.frombuffer(r[1], "<i8").reshape(3, -1) for r in rows], axis=1)
+            h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+            place = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
+            whose = np.repeat(np.arange(head.shape[1]), head[2])
+            key = head[0][whose]
+            order = np.argsort(h, kind="stable")
+            ranked = h[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            least = np.minimum.reduceat(key[order], first)
+            gone = np.zeros(len(h), bool)
+            gone[order] = key[order] > np.repeat(least, np.diff(first, append=len(h)))
+            group = bucket_of(mix(head[1].view(np.uint64)), buckets)
+            at = np.flatnonzero(gone)
+            at = at[np.argsort(group[whose[at]], kind="stable")]
+            parts = cut_by(group[whose[at]])
+            for i in range(0, len(parts), 64):
+                own = [(g, at[x:y]) for g, x, y in parts[i : i + 64]]
+                texts = [np.unique(whose[p], return_counts=True) for _, p in own]
+                yield (
+                    [g for g, _ in own], [np.array([head[0][d], head[1][d], n], "<i8").tobytes() for d, n in texts],
+                    [place[p].astype("<u4").tobytes() for _, p in own],
+                )
+
+        return work
+
+    return make
+
+
+def _merged():
+    """Of one group of texts: the repeated windows of each."""
 
     def work(rows):
-        heads = [np.frombuffer(r[1], "<i8").reshape(3, -1) for r in rows]
-        head = np.concatenate(heads, axis=1)
-        h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        place = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
-        whose = np.repeat(np.arange(head.shape[1]), head[2])
-        key = head[0][whose]
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        least = np.minimum.reduceat(key[order], first)
-        gone = np.zeros(len(h), bool)
-        gone[order] = key[order] > np.repeat(least, np.diff(first, append=len(h)))
-        at = np.flatnonzero(gone)
-        own = cut_by(whose[at])
+        head = np.concatenate([np.frombuffer(r[1], "<i8").reshape(3, -1) for r in rows], axis=1)
+        place = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
+        ends = np.cumsum(head[2])
+        order = np.lexsort((head[1], head[0]))
+        same = np.concatenate([[False], (head[0][order][1:] == head[0][order][:-1]) & (head[1][order][1:] == head[1][order][:-1])])
+        own = cut_by(np.cumsum(~same))
         for i in range(0, len(own), 1000):
-            part = own[i : i + 1000]
-            yield (
-                [int(head[0, d]) for d, _, _ in part], [int(head[1, d]) for d, _, _ in part],
-                [pack_places(np.sort(place[at[x:y]])) for _, x, y in part],
-            )
+            part = [order[x:y] for _, x, y in own[i : i + 1000]]
+            places = [np.unique(np.concatenate([place[ends[d] - head[2][d] : ends[d]] for d in p])) for p in part]
+            yield [int(head[0][p[0]]) for p in part], [int(head[1][p[0]]) for p in part], [pack_places(x) for x in places]
 
     return work
 
@@ -217,7 +240,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     Words are runs of anything but 0x20 and 0x09-0x0D, unchanged. Null, empty and short texts have no window; rows with
     equal keys do not remove one another; a null key sorts before all. ``docs`` must be read from files (or a checkpoint):
     the first pass addresses texts by task and place. No group of equal passages is collected: a bucket holds hashes
-    of an even share of all windows, and each text's places return by its own key.
+    of an even share of all windows, and places return packed by groups of texts.
     """
     block = (window + 1) // 2
     buckets = partitions(docs.sparkSession)
@@ -227,15 +250,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary"), "places")
     near = named.select("id_a", "id_b", "id_text").join(places.dropDuplicates(["id_a", "id_b"]), ["id_a", "id_b"])
     sent = _candidates(near, block, window, buckets)
-    found = stored(by_bucket(sent, "bucket", _repeated, "id_a long, id_b long, gone binary"), "gone")
-    gone = found.groupBy("id_a", "id_b").agg(F.collect_set("gone").alias("sb_windows"))
+    found = by_bucket(sent, "bucket", _repeated(buckets), "texts_of int, texts binary, places binary")
+    gone = stored(by_bucket(found, "texts_of", _merged, "id_a long, id_b long, sb_windows binary"), "gone")
     return named.join(gone, ["id_a", "id_b"], "left").select("id_row.*", "sb_windows")
 
 
-def removed_words(text: bytes, packed: list[bytes] | None, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
+def removed_words(text: bytes, packed: bytes | None, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
     """The words of a text, and which of them repeated windows cover."""
     words = text.split()
-    starts = np.concatenate([unpack_places(p) for p in packed]) if packed else np.zeros(0, np.int64)
+    starts = unpack_places(packed) if packed else np.zeros(0, np.int64)
     return words, cover(starts, window, len(words))
 
 
