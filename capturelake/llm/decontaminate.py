@@ -17,6 +17,7 @@ from capturelake.llm.text import blocks, joined_words, keep_rows, map_rows, mix,
 MASKS = ("1110111011", "110110011011", "1011010110101")
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
+#: Against +1 for an equal word: a run has a sum of at least 0 if at least LEAST_SHARE of it are equal.
 MISMATCH = -4
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
@@ -38,6 +39,30 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def overlaps(same: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """Disjoint runs (from, to) of at least ``need`` places of which at least LEAST_SHARE are equal: the longest first,
+    then those beside it. Unequal places at the ends are cut off as far as ``need`` lets."""
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
+    found, open_ = [], [(0, len(same))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < need:
+            continue
+        own = sums[low : high + 1]
+        size = np.arange(len(own)) - np.searchsorted(-np.minimum.accumulate(own), -own, "left")
+        end = int(np.argmax(size))
+        i, j = low + end - int(size[end]), low + end
+        if j - i < need:
+            continue
+        while j - i > need and not same[j - 1]:
+            j -= 1
+        while j - i > need and not same[i]:
+            i += 1
+        found.append((i, j))
+        open_ += [(low, i), (j, high)]
+    return sorted(found)
+
+
 class Index:
     """Seeds of some benchmark items, by hash, and a bitmap that most other hashes fail."""
 
@@ -73,24 +98,18 @@ class Index:
                     for q in at[a:b].tolist():
                         diagonals.add((int(doc[p]), int(self.whose[q]), p - q))
             for d, item, shift in sorted(diagonals):
-                found = self._overlap(words, first[d], first[d + 1], item, shift)
-                if found:
-                    out[block.start + d].append(found)
+                out[block.start + d] += self._overlaps(words, first[d], first[d + 1], item, shift)
         return out
 
-    def _overlap(self, words: np.ndarray, doc_first: int, doc_end: int, item: int, shift: int) -> tuple | None:
+    def _overlaps(self, words: np.ndarray, doc_first: int, doc_end: int, item: int, shift: int) -> list[tuple]:
         a = max(self.first[item], doc_first - shift)
         b = min(self.first[item + 1], doc_end - shift)
         same = self.words[a:b] == words[a + shift : b + shift]
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-        low = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - low))
-        start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-        equal, size = int(same[start:end].sum()), end - start
         need = min(LEAST_WORDS, int(self.first[item + 1] - self.first[item]))
-        if size < need or equal < LEAST_SHARE * size:
-            return None
-        return self.ids[item], int(a + start + shift - doc_first), int(a + start - self.first[item]), size, equal
+        return [
+            (self.ids[item], int(a + i + shift - doc_first), int(a + i - self.first[item]), j - i, int(same[i:j].sum()))
+            for i, j in overlaps(same, need)
+        ]
 
 
 def _indexes(benchmark: DataFrame, key: str, text: str):
@@ -105,7 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """(key, item, doc_start, item_start, n_words, n_equal) for each overlap of a text with a benchmark item.
 
     An overlap is a run on one diagonal of at least 13 words (or the whole item, if shorter and as long as a seed), of
-    which at least 0.8 are equal, A-Z folded and signs ignored. Both whole tables are used: the benchmark goes to the
+    which at least 0.8 are equal, A-Z folded and signs ignored; every diagonal that a seed hits is judged by this rule
+    alone, and its disjoint overlaps are all given, the longest first. A diagonal that no seed hits is not looked at. Both whole tables are used: the benchmark goes to the
     tasks in blocks of bounded size, one pass for each. Null and empty texts match nothing; repeated rows are matched
     alike; an empty benchmark gives no rows.
     """
