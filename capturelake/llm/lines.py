@@ -31,7 +31,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """``docs`` with columns ld_n (lines), ld_removed (lines removed) and ld_kept (the text that stays).
 
     A window is ``width`` consecutive lines (cut at line feeds) of one text; its first occurrence is that with the
-    smallest (key, place). Every line that a later occurrence covers goes; overlapping windows merge, and windows are
+    smallest (key, place), texts that share a key coming one after the other by their hashes. Every line that a later occurrence covers goes; overlapping windows merge, and windows are
     judged on the input. Null texts count as empty, but stay null when nothing is removed. Texts with fewer lines than
     ``width`` are left alone. Rows that repeat a key and text are one document and share its result; a null key sorts
     before all others. Groups of equal windows are reduced before they are shuffled, so a line that every document has
@@ -42,10 +42,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     )
     windows = _windows(named.select("ld_key", "ld_text", "ld_body"), width)
     first = (
-        windows.groupBy("ld_a", "ld_b").agg(F.min(F.struct("ld_key", "ld_at")).alias("ld_first"), F.count("*").alias("ld_count"))
+        windows.groupBy("ld_a", "ld_b").agg(F.min(F.struct("ld_key", "ld_text", "ld_at")).alias("ld_first"), F.count("*").alias("ld_count"))
         .filter("ld_count > 1").select("ld_a", "ld_b", "ld_first")
     )
-    later = windows.join(first, ["ld_a", "ld_b"]).filter("ld_key != ld_first.ld_key or ld_at != ld_first.ld_at")
+    later = windows.join(first, ["ld_a", "ld_b"]).filter("ld_key != ld_first.ld_key or ld_text != ld_first.ld_text or ld_at != ld_first.ld_at")
     places = later.groupBy("ld_key", "ld_text").agg(F.collect_set("ld_at").alias("ld_places"))
     covered = F.array_distinct(F.flatten(F.transform("ld_places", lambda p: F.sequence(p + 1, p + width))))
     stay = F.array_except(F.sequence(F.lit(1), F.size("ld_lines")), "ld_covered")

@@ -356,8 +356,8 @@ def _remaining(lists: DataFrame, comps: DataFrame, bits: DataFrame, percent: int
 NULL_KEY = -(2**63)
 
 
-def _classes(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(id_a, id_b, n, least): the size of each document's set and the smallest key of its class."""
+def _members(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """(id_a, id_b, n, s, component): the size and name of each document's set, and its class's name."""
     spark = named.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(named, "id_text", words))
     rows = stored(_prefixes(named, words, percent, common), "prefixes")
@@ -373,7 +373,12 @@ def _classes(named: DataFrame, words: int, percent: int, block: int) -> DataFram
     links = links.unionByName(_verified(more, named, rows, words, percent, block))
     comps = components(links)
 
-    by_set = rows.select("id_a", "id_b", "n", "s").join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    return rows.select("id_a", "id_b", "n", "s").join(comps.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+
+
+def _classes(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """(id_a, id_b, n, least): the size of each document's set and the smallest key of its class."""
+    by_set = _members(named, words, percent, block)
     least = by_set.filter("n > 0").groupBy("component").agg(F.min("id_a").alias("least"))
     classes = by_set.join(least, "component", "left").select("id_a", "id_b", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id_a")).alias("least"))
     return classes.dropDuplicates(["id_a", "id_b"])
@@ -404,9 +409,12 @@ def class_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that with the class's smallest key (of repeated rows, one). Rows without
-    words all stay."""
-    done = link_classes(docs, key, text)
-    same = F.col(key).eqNullSafe(F.col("ng_class"))
-    first = done.filter((F.col("ng_size") > 0) & same).dropDuplicates(["ng_class"])
-    return first.unionByName(done.filter("ng_size = 0")).select(*docs.columns)
+    """``docs`` with one row of each class: that with the smallest key, a null key counting as the smallest, and of
+    several texts with that key the one with the smallest hash (of repeated rows, one). Rows without words all stay."""
+    named = identified(docs, key, text)
+    members = _members(named, WORDS, PERCENT, BLOCK_SETS)
+    first = members.filter("n > 0").groupBy("component").agg(F.min(F.struct("id_a", "id_b")).alias("first")).select("first.*", F.lit(True).alias("worded"))
+    bare = members.filter("n = 0").select("id_a", "id_b", F.lit(False).alias("worded")).distinct()
+    kept = stored(first.unionByName(bare), "kept")
+    done = named.join(kept, ["id_a", "id_b"])
+    return done.filter("worded").dropDuplicates(["id_a", "id_b"]).unionByName(done.filter("not worded")).select("id_row.*")

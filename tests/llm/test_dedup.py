@@ -165,6 +165,29 @@ def test_repeated_rows_and_null_keys(spark, docs, tmp_path):
     assert lines.dedup_lines(df).count() == 4
 
 
+def test_shared_keys_lose_no_class(spark, tmp_path):
+    """Unlinked texts with null keys or one key are classes of their own, and each class keeps one row."""
+    rng = random.Random(8)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(8)]
+    near = text[4] + " tail"
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (5, text[6]), (None, text[4]), (3, near), (4, text[4]), (7, text[5]), (7, text[5]), (None, ""), (None, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = [tuple(r) for r in similar.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    gone = [(3, near), (4, text[4]), (7, text[5])]
+    want = list(rows)
+    for row in gone:
+        want.remove(row)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_lines_of_shared_keys(spark):
+    """A window in several texts of one key, or of none, at one place goes in all but one of them."""
+    window = "first\nsecond\nthird"
+    rows = [(None, f"{window}\n{c}") for c in "abc"] + [(1, f"{window}\nd"), (2, "x\ny\nz\n1"), (2, "x\ny\nz\n2")]
+    got = [(r.doc_id, r.ld_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 0), (None, 3), (None, 3), (1, 3), (2, 0), (2, 3)], key=repr)
+
+
 def test_empty(empty):
     assert suffixes.digests(suffixes.repeats(empty)).count() == 0
     assert substrings.digests(substrings.repeats(empty)).count() == 0
