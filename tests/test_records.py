@@ -68,6 +68,26 @@ def test_stale_append_is_refused(spark):
     assert got == {"a": True, "b": False, "c": True}
 
 
+def test_a_hot_device_streams(spark):
+    """No device's log is gathered in one row, and every record of a device far longer than a batch gets its link."""
+    n, heads = 30000, spark.createDataFrame([(2, 5, "h")], "device_id long, next_index long, previous_hash string")
+    hot = spark.range(n).select(F.lit(1).cast("long").alias("device_id"), F.col("id").alias("pos"))
+    rows = hot.unionByName(spark.createDataFrame([(2, 0), (2, 1), (None, 0)], "device_id long, pos long"))
+    cores = rows.select("device_id", "pos", F.concat(F.lit("r"), "pos").alias("record_id"), F.concat(F.lit("<{index}"), F.col("pos").cast("string")).alias("prefix"), F.lit(">").alias("suffix"))
+    links = chain.chain_cores(cores, heads)
+    got = {(r.device_id, r.record_id): tuple(r)[2:] for r in links.collect()}
+    assert len(got) == n + 3
+    for device, index, head, count in ((1, 0, canonical.GENESIS, n), (2, 5, "h", 2), (None, 0, canonical.GENESIS, 1)):
+        for i in range(count):
+            digest = hashlib.sha256(f"<{index + i}{i}{head}>".encode()).hexdigest()
+            assert got[device, f"r{i}"] == (index + i, head, digest)
+            head = digest
+    tried = chain.append(links.withColumn("captured_at", F.lit("t")), heads)
+    assert tried.filter("accepted and sync_state = 'pending'").count() == n + 3
+    for done in (links, tried):
+        assert "collect_list" not in done._jdf.queryExecution().toString()
+
+
 def _readings(spark, change, n=1):
     rows = []
     for p in card.patch_rows():
