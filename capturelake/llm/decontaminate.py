@@ -2,7 +2,8 @@
 
 Fixed masks pick some words of a window and ignore the others. Hashes of the picked words of benchmark items and of
 training texts are joined; each hit names a diagonal on which item and text are compared word by word, so passages
-with substituted words are found and chance hits are not.
+with substituted words are found and chance hits are not. A bitmap of the benchmark's hashes keeps all other training
+hashes out of the join.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.text import blocks, joined_words, keep_rows, map_rows, mix, powers, sized, text_bytes
+from capturelake.llm.text import blocks, cut_by, identified, joined_words, map_rows, mix, stored, text_bytes, window_hashes, word_factors
 
 #: The picked places of each seed.
 MASKS = ("1110111011", "110110011011", "1011010110101")
+SHORTEST = min(map(len, MASKS))
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
 #: Against +1 for an equal word: a run has a sum of at least 0 if at least LEAST_SHARE of it are equal.
 MISMATCH = -4
-BLOCK_BYTES = 16 << 20
-FILTER_BITS = 22
+#: Of bits in the bitmap, as a power of two: what the driver and each task hold is at most 8 MB.
+LEAST_BITS, MOST_BITS = 16, 26
+#: Leaking rows up to which they are sent to every task.
+FEW_ROWS = 100_000
 #: What parts words: everything in ASCII but letters and digits.
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[48:58] = SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
@@ -31,14 +35,28 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, _ = powers(len(mask) + 1)
+    factors = word_factors(len(mask))
     h = np.zeros(n, np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
-            h += words[j : j + n] * up[j + 1]
+            h += words[j : j + n] * factors[j]
     return mix(h)
 
 
+def all_seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every seed of some texts, whose words begin at ``first``. A text that is shorter than every
+    mask has one seed, all its words."""
+    texts, out = np.repeat(np.arange(len(first) - 1), np.diff(first)), []
+    for k, mask in enumerate(MASKS):
+        h = seeds(words, mask)
+        at = np.flatnonzero(texts[: len(h)] == texts[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+        out.append((mix(h[at] + np.uint64(k)), texts[at], at - first[texts[at]]))
+    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHORTEST))
+    whole = [int(window_hashes(words[first[t] : first[t + 1]], int(first[t + 1] - first[t]))[0]) for t in short.tolist()]
+    out.append((mix(np.array(whole, np.uint64) + np.uint64(len(MASKS))), short, np.zeros(len(short), np.int64)))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
 def overlaps(same: np.ndarray, need: int) -> list[tuple[int, int]]:
     """Disjoint runs (from, to) of at least ``need`` places of which at least LEAST_SHARE are equal: the longest first,
     then those beside it. Unequal places at the ends are cut off as far as ``need`` lets."""
@@ -63,61 +81,109 @@ def overlaps(same: np.ndarray, need: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-class Index:
-    """Seeds of some benchmark items, by hash, and a bitmap that most other hashes fail."""
-
-    def __init__(self, items: list[tuple]):
-        self.ids = [i for i, _ in items]
-        self.words, whose, self.first = joined_words([text_bytes(t) for _, t in items], True, SEPARATORS)
-        self.tables, self.seen = [], []
-        for mask in MASKS:
-            h = seeds(self.words, mask)
-            at = np.flatnonzero(whose[: len(h)] == whose[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
-            h = h[at]
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], at[order]))
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[h >> np.uint64(64 - FILTER_BITS)] = True
-            self.seen.append(seen)
-        self.whose = whose
-
-    def matches(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text: (item, start in text, start in item, words, equal words) of each overlap found."""
-        out: list[list[tuple]] = [[] for _ in texts]
-        raws = [text_bytes(t) for t in texts]
-        for block in blocks(raws):
-            words, doc, first = joined_words([raws[i] for i in block], True, SEPARATORS)
-            diagonals = set()
-            for mask, (table, at), seen in zip(MASKS, self.tables, self.seen, strict=True):
-                h = seeds(words, mask)
-                near = np.flatnonzero(seen[h >> np.uint64(64 - FILTER_BITS)])
-                near = near[doc[near] == doc[near + len(mask) - 1]]
-                low = np.searchsorted(table, h[near], "left")
-                high = np.searchsorted(table, h[near], "right")
-                for p, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    for q in at[a:b].tolist():
-                        diagonals.add((int(doc[p]), int(self.whose[q]), p - q))
-            for d, item, shift in sorted(diagonals):
-                out[block.start + d] += self._overlaps(words, first[d], first[d + 1], item, shift)
-        return out
-
-    def _overlaps(self, words: np.ndarray, doc_first: int, doc_end: int, item: int, shift: int) -> list[tuple]:
-        a = max(self.first[item], doc_first - shift)
-        b = min(self.first[item + 1], doc_end - shift)
-        same = self.words[a:b] == words[a + shift : b + shift]
-        need = min(LEAST_WORDS, int(self.first[item + 1] - self.first[item]))
-        return [
-            (self.ids[item], int(a + i + shift - doc_first), int(a + i - self.first[item]), j - i, int(same[i:j].sum()))
-            for i, j in overlaps(same, need)
-        ]
-
-
-def _indexes(benchmark: DataFrame, key: str, text: str):
-    """The benchmark in blocks of at most about BLOCK_BYTES, each small enough to send to every task."""
-    parts = -(-sized(benchmark, text) // BLOCK_BYTES)
-    for part in range(parts):
-        own = benchmark if parts == 1 else benchmark.filter(F.pmod(F.xxhash64(key, text), F.lit(parts)) == part)
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.select(key, text).collect()]))
+def matches(text: np.ndarray, item: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    """(start in text, start in item, words, equal words) of each overlap of a text and an item, given as hashes of their
+    words; ``hits`` are places in both that share a seed."""
+    need, out = min(LEAST_WORDS, len(item)), []
+    if len(item) < SHORTEST:
+        return [(0, 0, len(item), len(item))] if np.array_equal(text, item) else []
+    for shift in np.unique(np.concatenate([np.unique(np.subtract.outer(p, q)) for p, q in hits])).tolist():
+        a, b = max(0, -shift), min(len(item), len(text) - shift)
+        same = item[a:b] == text[a + shift : b + shift]
+        out += [(a + i + shift, a + i, j - i, int(same[i:j].sum())) for i, j in overlaps(same, need)]
+    return out
+
+
+def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(n, item, words, seeds, places): every item, and its different seeds with their places."""
+    def make():
+        def each(keys, texts):
+            for k, t in zip(keys, texts, strict=True):
+                words, _, first = joined_words([text_bytes(t)], True, SEPARATORS)
+                h, _, at = all_seeds(words, first)
+                yield k, words.tobytes(), h.tobytes(), at.astype("<u4").tobytes()
+
+        return each
+
+    kind = benchmark.schema[key].dataType.simpleString()
+    found = map_rows(benchmark.select(key, text), make, f"item {kind}, words binary, seeds binary, places binary")
+    return stored(found.withColumn("n", F.monotonically_increasing_id()), "items")
+
+
+def _by_seed(rows: DataFrame) -> DataFrame:
+    """(h, n, at): one row for each different seed of a row, with its places."""
+
+    def make():
+        def each(numbers, raws, places):
+            for n, raw, own in zip(numbers, raws, places, strict=True):
+                h, at = np.frombuffer(raw, np.uint64), np.frombuffer(own, "<u4")
+                order = np.argsort(h, kind="stable")
+                for k, a, b in cut_by(h[order].view(np.int64)):
+                    yield k, n, at[order[a:b]].tobytes()
+
+        return each
+
+    return map_rows(rows.select("n", "seeds", "places"), make, "h long, n long, at binary")
+
+
+def _bitmap(seeds_of: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits as a power of two, bitmap) of the upper bits of all seeds; at most 2**20 longs reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(32 * seeds_of.count()).bit_length()))
+    place = seeds_of.select(F.shiftrightunsigned("h", 64 - bits).alias("p"))
+    rows = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).collect()
+    words = np.zeros(1 << bits - 6, np.int64)
+    for r in rows:
+        words[r["w"]] = r["b"]
+    return bits, np.unpackbits(words.view(np.uint8), bitorder="little")
+
+
+def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap) -> DataFrame:
+    """(n, own_key, id_a, id_b, words, seeds, places) of the texts with a seed that the bitmap lets pass."""
+
+    def make():
+        seen = bitmap.value
+
+        def each(keys, one, two, texts):
+            raws = [text_bytes(t) for t in texts]
+            for block in blocks(raws):
+                words, _, first = joined_words([raws[i] for i in block], True, SEPARATORS)
+                h, whose, at = all_seeds(words, first)
+                near = np.flatnonzero(seen[h >> np.uint64(64 - bits)])
+                near = near[np.argsort(whose[near], kind="stable")]
+                for d, a, b in cut_by(whose[near]):
+                    own, i = near[a:b], block.start + d
+                    yield keys[i], one[i], two[i], words[first[d] : first[d + 1]].tobytes(), h[own].tobytes(), at[own].astype("<u4").tobytes()
+
+        return each
+
+    kind = docs.schema[key].dataType.simpleString()
+    named = identified(docs.select(key, text), key, text).select(F.col("id_row")[key].alias("own_key"), "id_a", "id_b", "id_text")
+    found = map_rows(named, make, f"own_key {kind}, id_a long, id_b long, words binary, seeds binary, places binary")
+    return stored(found.withColumn("n", F.monotonically_increasing_id()), "near")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(own_key, id_a, id_b, item, doc_start, item_start, n_words, n_equal)."""
+    items = _items(benchmark, item, item_text)
+    known = stored(_by_seed(items), "seeds")
+    bits, bitmap = _bitmap(known)
+    near = _near(docs, key, text, bits, docs.sparkSession.sparkContext.broadcast(bitmap))
+    hits = _by_seed(near).join(known.select("h", F.col("n").alias("i"), F.col("at").alias("item_at")), "h")
+    pairs = hits.groupBy("n", "i").agg(F.collect_list(F.struct("at", "item_at")).alias("hits"))
+    both = pairs.join(near.select("n", "own_key", "id_a", "id_b", "words"), "n").join(items.select(F.col("n").alias("i"), "item", F.col("words").alias("item_words")), "i")
+
+    def make():
+        def each(keys, one, two, ids, texts, others, found):
+            for k, a, b, i, t, o, own in zip(keys, one, two, ids, texts, others, found, strict=True):
+                at = [(np.frombuffer(x["at"], "<u4").astype(np.int64), np.frombuffer(x["item_at"], "<u4").astype(np.int64)) for x in own]
+                for m in matches(np.frombuffer(t, np.uint64), np.frombuffer(o, np.uint64), at):
+                    yield k, a, b, i, *m
+
+        return each
+
+    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    schema = f"own_key {kind}, id_a long, id_b long, item {item_kind}, doc_start long, item_start long, n_words long, n_equal long"
+    return map_rows(both.select("own_key", "id_a", "id_b", "item", "words", "item_words", "hits"), make, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -125,29 +191,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     An overlap is a run on one diagonal of at least 13 words (or the whole item, if shorter and as long as a seed), of
     which at least 0.8 are equal, A-Z folded and signs ignored; every diagonal that a seed hits is judged by this rule
-    alone, and its disjoint overlaps are all given, the longest first. A diagonal that no seed hits is not looked at. Both whole tables are used: the benchmark goes to the
-    tasks in blocks of bounded size, one pass for each. Null and empty texts match nothing; repeated rows are matched
-    alike; an empty benchmark gives no rows.
-    """
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"{key} {kind}, {item} {item_kind}, doc_start long, item_start long, n_words long, n_equal long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(benchmark, item, item_text):
-
-        def make(index=index):
-            def each(keys, texts):
-                for k, own in zip(keys, index.value.matches(texts), strict=True):
-                    for m in own:
-                        yield k, *m
+    alone, and its disjoint overlaps are all given, the longest first. A diagonal that no seed hits is not looked at. An
+    item that is shorter than every seed overlaps only with a text of just its words.
 
-            return each
-
-        found = found.unionByName(map_rows(docs.select(key, text), make, schema))
-    return found
+    Both whole tables are used, and neither goes to the driver or to every task: only a bitmap of the benchmark's seeds
+    does. Null and empty texts match nothing; repeated rows are matched alike; an empty benchmark gives no rows.
+    """
+    found = _leaks(docs, benchmark, key, text, item, item_text)
+    return found.select(F.col("own_key").alias(key), F.col("item").alias(item), "doc_start", "item_start", "n_words", "n_equal")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows in which ``find_leaks`` finds an overlap."""
-    for index in _indexes(benchmark, item, item_text):
-        docs = keep_rows(docs, text, lambda index=index: lambda texts: [not m for m in index.value.matches(texts)])
-    return docs
+    gone = stored(_leaks(docs, benchmark, key, text, item, item_text).select("id_a", "id_b").distinct(), "leaks")
+    few = F.broadcast(gone) if gone.count() <= FEW_ROWS else gone
+    return identified(docs, key, text).join(few, ["id_a", "id_b"], "left_anti").select("id_row.*")

@@ -2,12 +2,13 @@
 
 Each partition packs its pieces best-fit decreasing and compares its bin count with a lower bound from
 dual-feasible functions. A partition that meets its bound is proven optimal and left alone. Partitions with a gap give
-the documents of their unfilled bins to a shared pool, which is dealt anew and packed again, until the whole
-table's bound is met or a round gains nothing.
+the documents of their unfilled bins to a shared pool, which is dealt anew and packed again, until the pool's
+bound is met or a round gains nothing; then the better packing of the pool stays.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -16,12 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from capturelake.llm.text import blocks, map_rows, mix, powers, prefix_sums, stored
+from capturelake.llm.text import Spans, blocks, map_rows, released, stored
 
 LENGTH = 2048
 END = (0).to_bytes(4, "little")
 POOL = 50_000
-ROUNDS = 3
 UNITS_KEPT = 1_000_000
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 _KIND = np.full(256, ODD, np.uint8)
@@ -32,29 +32,56 @@ _KIND[65:91] = _KIND[97:123] = _KIND[0xC3] = LETTER
 _KIND[39] = ODD
 
 
-class Encoder:
-    """Token ids of whole texts.
+#: The settings of tokenizer files whose words Encoder knows how to cut.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    The tokenizer works on each run between white space alone, so a unit of text is encoded once and remembered by its
-    64-bit hash. A run of plain letters, digits and signs is first cut where the tokenizer's own word rule cuts it; any
-    other run is a unit as it stands. What is remembered is bounded and only saves time.
-    """
+
+class Library:
+    """Token ids of whole texts, straight from the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, raws: list[bytes]) -> list[np.ndarray]:
+        return self._encode([r.decode("utf-8") for r in raws])
+
+
+class Encoder(Library):
+    """The same, faster, for files that lower-case and split into words by WORD_RULE.
+
+    Such a tokenizer works on each run between white space alone, so a unit of text is encoded once and remembered. A run
+    of plain letters, digits and signs is first cut where the tokenizer's own word rule cuts it; any other run is a unit
+    as it stands. Units are looked up by a hash modulo a 61-bit prime and then compared byte by byte. What is remembered
+    is bounded and only saves time.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
+    @staticmethod
+    def knows(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        splits = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return (
+            settings["normalizer"] == WORD_NORMALIZER and splits[0].get("pattern") == {"Regex": WORD_RULE} and settings["model"]["type"] == "BPE"
+            and settings["model"].get("end_of_word_suffix") == "</w>"
+        )
+
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.at, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.slot, self.known = np.zeros(0, np.int64), []
 
     def _words(self, units: list[str], group: int = 200) -> list[np.ndarray]:
         """Ids of plain units, many to a call; a unit's last token tells where it ends."""
@@ -77,6 +104,8 @@ class Encoder:
         self.pool = np.concatenate([self.pool, *found])
         order = np.argsort(hashes)
         where = np.searchsorted(self.hashes, hashes[order])
+        self.slot = np.insert(self.slot, where, len(self.known) + order)
+        self.known += units
         self.hashes = np.insert(self.hashes, where, hashes[order])
         self.at = np.insert(self.at, where, at[order])
         self.length = np.insert(self.length, where, lengths[order])
@@ -118,30 +147,34 @@ class Encoder:
         starts, ends, plain = self.units(raw)
         if not len(starts):
             return np.zeros(0, "<u4"), starts, np.zeros(1, np.int64)
-        up, down = powers(len(raw) + 1)
-        folded = prefix_sums(raw, fold=True)
-        h = mix((folded[ends] - folded[starts]) * down[starts])
+        h = Spans(raw, fold=True).of(starts, ends)
         if not plain.all():
-            exact, odd = prefix_sums(raw), ~plain
-            h[odd] = mix((exact[ends[odd]] - exact[starts[odd]]) * down[starts[odd]] + np.uint64(1))
+            odd = ~plain
+            h[odd] = Spans(raw).of(starts[odd], ends[odd]) | np.uint64(1 << 63)
         which, distinct = pd.factorize(h)
+        place = np.empty(len(distinct), np.int64)
+        place[which[::-1]] = np.arange(len(which))[::-1]
+        cut = [text[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+        cut = [u.lower() if p else u for u, p in zip(cut, plain[place].tolist(), strict=True)]
         i, known = self._find(distinct)
+        own = np.flatnonzero(known)
+        if not known.all() and len(self.hashes) > UNITS_KEPT or any(self.known[s] != cut[k] for s, k in zip(self.slot[i[own]].tolist(), own.tolist(), strict=True)):
+            self._forget()
+            known[:] = False
         if not known.all():
-            if len(self.hashes) > UNITS_KEPT:
-                self._forget()
-                known[:] = False
             new = np.flatnonzero(~known)
-            place = np.empty(len(distinct), np.int64)
-            place[which[::-1]] = np.arange(len(which))[::-1]
-            own = place[new]
-            cut = [text[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
-            self._learn(distinct[new], cut, plain[own])
+            self._learn(distinct[new], [cut[k] for k in new.tolist()], plain[place[new]])
             i, _ = self._find(distinct)
         n = self.length[i][which]
         before = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=before[1:])
         return self.pool[np.repeat(self.at[i][which] - before[:-1], n) + np.arange(before[-1])], starts, before
 
+    def encode(self, raws: list[bytes]) -> list[np.ndarray]:
+        ids, units, before = self.ids(b" ".join(raws))
+        cuts = before[np.searchsorted(units, np.cumsum([len(r) + 1 for r in raws]))]
+        return np.split(ids, cuts[:-1])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -152,17 +185,14 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, key: str = "do
 
     def make():
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
+            _encoders[tokenizer] = (Encoder if Encoder.knows(tokenizer) else Library)(tokenizer)
         known = _encoders[tokenizer]
 
         def each(keys, texts):
             raws = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
             for block in blocks(raws):
-                ids, units, before = known.ids(b" ".join(raws[block.start : block.stop]))
-                ends = np.cumsum([len(raws[i]) + 1 for i in block])
-                cuts = [0, *before[np.searchsorted(units, ends)].tolist()]
-                for i, a, b in zip(block, cuts, cuts[1:], strict=False):
-                    own = ids[a:b].tobytes() + END
+                for i, ids in zip(block, known.encode(raws[block.start : block.stop]), strict=True):
+                    own = ids.tobytes() + END
                     for p, at in enumerate(range(0, len(own), 4 * length)):
                         part = own[at : at + 4 * length]
                         yield keys[i], p, at // 4, len(part) // 4, zlib.crc32(part)
@@ -229,36 +259,38 @@ def _pack(length: int):
     return run
 
 
-def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL) -> DataFrame:
     """Add sequence_id and offset to ``parts`` (any rows with a long column ``length`` in 1..``length``).
 
     A partition gets about ``pool`` pieces by a hash of the whole row, so hot keys and very long documents spread evenly
-    and its memory does not grow with the table. An empty table stays empty. Ties go to the first row.
+    and its memory does not grow with the table. Every round has fewer sequences than the one before it, or is the last.
+    An empty table stays empty. Ties go to the first row.
     """
     columns = parts.columns
-    left, done, most = parts, None, None
-    for r in range(rounds):
+    left, done, before, r = parts, None, None, 0
+    while True:
         counts = np.zeros(length + 1, np.int64)
         for x in left.groupBy("length").count().collect():  # at most ``length`` rows
             counts[x["length"]] = x["count"]
-        n = int(counts.sum())
-        groups = max(1, -(-n // pool))
+        groups = max(1, -(-int(counts.sum()) // pool))
         dealt = left.withColumn("pk_deal", F.pmod(F.xxhash64(*columns, F.lit(r)), F.lit(groups)))
         schema = StructType([*dealt.schema, *(StructField(f"pk_{c}", LongType()) for c in ("bin", "offset", "filled", "gap"))])
         packed = stored(
             dealt.repartition(max(1, min(groups, 4096)), "pk_deal").groupBy("pk_deal").applyInPandas(_pack(length), schema), "packed"
         )
         bins = packed.filter("pk_offset = 0").count()
-        final = r == rounds - 1 or groups == 1 or bins <= lower_bound(counts) or (most is not None and n >= most)
-        most = n
-        open_ = (F.col("pk_gap") > 0) & (F.col("pk_filled") < length)
-        number = (F.col("pk_deal") * rounds + r) * (1 << 32) + F.col("pk_bin")
-        keep = (packed if final else packed.filter(~open_)).select(*columns, number.alias("sequence_id"), F.col("pk_offset").alias("offset"))
-        done = keep if done is None else done.unionByName(keep)
-        if final:
-            break
-        left = packed.filter(open_).select(*columns)
-    return done
+        if before is not None and bins >= before.filter("offset = 0").count():
+            released(packed)
+            return done.unionByName(before)
+        number = (F.lit(r).cast("long") * (1 << 28) + F.col("pk_deal")) * (1 << 24) + F.col("pk_bin")
+        now = packed.select(*columns, number.alias("sequence_id"), F.col("pk_offset").alias("offset"), ((F.col("pk_gap") > 0) & (F.col("pk_filled") < length)).alias("pk_open"))
+        final = groups == 1 or bins <= lower_bound(counts)
+        closed = (now if final else now.filter("not pk_open")).drop("pk_open")
+        done = closed if done is None else done.unionByName(closed)
+        before = now.filter("pk_open").drop("pk_open")
+        if final or before.isEmpty():
+            return done
+        left, r = before.select(*columns), r + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:

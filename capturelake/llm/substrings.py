@@ -3,7 +3,7 @@
 Non-overlapping blocks of 7 words of every text are the index; every rolling window of 7 words is a probe. A repeat
 of 13 words always holds a whole block of its other place, so places without a hit are never looked at again. Around
 hits, runs are extended: consecutive windows of 13 words are matched exactly, and a maximal repeat is the run of those
-that also start in an earlier text.
+that also start in an earlier text. Windows are matched by 96 bits of two hashes of words hashed modulo a 61-bit prime.
 
 Probes are not rows but packed arrays, one for each task and bucket of hashes: 4 bytes of hash and about 1 of place.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from capturelake.llm.text import (
     blocks,
+    bucket_count,
     bucket_of,
     by_bucket,
     cover,
@@ -28,7 +29,7 @@ from capturelake.llm.text import (
     map_rows,
     mix,
     pack_places,
-    partitions,
+    released,
     stored,
     text_bytes,
     unpack_places,
@@ -147,7 +148,7 @@ def _by_text():
 
 
 def _candidates(joined: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
-    """Packed windows around hits: (bucket, texts, hashes, places)."""
+    """Packed windows around hits: (bucket, texts, hashes, further hash bits, places)."""
 
     def make():
         def each(a, b, texts, hits):
@@ -165,8 +166,9 @@ def _candidates(joined: DataFrame, block: int, window: int, buckets: int) -> Dat
                 own = bucket_of(h[at], buckets)
                 order = np.argsort(own, kind="stable")
                 at, own = at[order], own[order]
+                more = (window_hashes(words, window, second=True) >> np.uint64(32)).astype("<u4")
                 for k, x, y in cut_by(own):
-                    out.setdefault(k, []).append((one, two, h[at[x:y]], at[x:y]))
+                    out.setdefault(k, []).append((one, two, h[at[x:y]], more[at[x:y]], at[x:y]))
             keys = list(out)
             for i in range(0, len(keys), 64):
                 part = keys[i : i + 64]
@@ -174,12 +176,13 @@ def _candidates(joined: DataFrame, block: int, window: int, buckets: int) -> Dat
                     part,
                     [np.array([[r[0] for r in out[k]], [r[1] for r in out[k]], [len(r[2]) for r in out[k]]], "<i8").tobytes() for k in part],
                     [np.concatenate([r[2] for r in out[k]]).tobytes() for k in part],
-                    [np.concatenate([r[3] for r in out[k]]).astype("<u4").tobytes() for k in part],
+                    [np.concatenate([r[3] for r in out[k]]).tobytes() for k in part],
+                    [pack_places(np.concatenate([r[4] for r in out[k]])) for k in part],
                 )
 
         return each
 
-    return map_columns(joined, make, "bucket int, texts binary, hashes binary, places binary")
+    return map_columns(joined, make, "bucket int, texts binary, hashes binary, more binary, places binary")
 
 
 def _repeated(buckets: int):
@@ -189,12 +192,13 @@ def _repeated(buckets: int):
         def work(rows):
             head = np.concatenate([np.frombuffer(r[1], "<i8").reshape(3, -1) for r in rows], axis=1)
             h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-            place = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
+            more = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
+            place = np.concatenate([unpack_places(r[4]) for r in rows])
             whose = np.repeat(np.arange(head.shape[1]), head[2])
             key = head[0][whose]
-            order = np.argsort(h, kind="stable")
-            ranked = h[order]
-            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            order = np.lexsort((more, h))
+            ranked, after = h[order], more[order]
+            first = np.flatnonzero(np.concatenate([[True], (ranked[1:] != ranked[:-1]) | (after[1:] != after[:-1])]))
             least = np.minimum.reduceat(key[order], first)
             gone = np.zeros(len(h), bool)
             gone[order] = key[order] > np.repeat(least, np.diff(first, append=len(h)))
@@ -243,15 +247,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     of an even share of all windows, and places return packed by groups of texts.
     """
     block = (window + 1) // 2
-    buckets = partitions(docs.sparkSession)
+    buckets = bucket_count(docs, text)
     named = identified(docs, key, text)
     probes = _probes(named, block, buckets)
-    hits = stored(by_bucket(probes, "bucket", _hits, "batch long, head binary, places binary"), "hits")
-    places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary"), "places")
+    hits = stored(by_bucket(probes, "bucket", _hits, "batch long, head binary, places binary", buckets), "hits")
+    places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary", buckets), "places")
     near = named.select("id_a", "id_b", "id_text").join(places.dropDuplicates(["id_a", "id_b"]), ["id_a", "id_b"])
     sent = _candidates(near, block, window, buckets)
-    found = by_bucket(sent, "bucket", _repeated(buckets), "texts_of int, texts binary, places binary")
-    gone = stored(by_bucket(found, "texts_of", _merged, "id_a long, id_b long, sb_windows binary"), "gone")
+    found = by_bucket(sent, "bucket", _repeated(buckets), "texts_of int, texts binary, places binary", buckets)
+    gone = stored(by_bucket(found, "texts_of", _merged, "id_a long, id_b long, sb_windows binary", buckets), "gone")
+    released(hits, places)
     return named.join(gone, ["id_a", "id_b"], "left").select("id_row.*", "sb_windows")
 
 

@@ -3,7 +3,9 @@
 1. Each text's windows are dealt into runs that share the smallest fingerprint of their ``gram``-byte substrings. The
    choice depends on a window's bytes alone, so equal windows fall into runs of one anchor, at equal distance from it.
 2. Anchors that occur once hold no repeat. Runs with equal bytes are counted, not sorted.
-3. The different byte strings of an anchor are sorted by a linear suffix-array construction that groups suffixes by
+3. An anchor with very many different byte strings is grown: each of its windows also holds more bytes after the anchor or
+   before it, so runs are cut in two and dealt by the longer anchors, again until every group is small.
+4. The different byte strings of an anchor are sorted by a linear suffix-array construction that groups suffixes by
    their Lyndon prefix; neighbours with a common prefix of ``width`` bytes are repeats.
 
 The construction works on symbols that end at chosen bytes (white space in prose). Since no symbol is a prefix of
@@ -19,13 +21,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.text import identified, map_columns, map_rows, mix, powers, prefix_sums, stored, text_bytes
+from capturelake.llm.text import Spans, identified, map_columns, map_rows, mix, released, stored, text_bytes
 
 WIDTH = 400
 GRAM = 128
+#: Different strings of an anchor beyond which it is grown.
 MANY = 4096
 BLOCK = 1 << 18
 LONGEST_SYMBOL = 64
+#: What names a run's byte string: its anchor, 128 bits of its bytes, and its number of windows.
+STRING = ("anchor", "body", "more", "n")
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_VALUES = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ENDS = []
 for _test in (lambda b: b in b" \t\n\r", lambda b: b % 8 == 0 or b in b" \t\n\r", lambda b: True):
     _ENDS.append(np.array([_test(b) for b in range(256)]))
@@ -161,17 +168,13 @@ def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:
     order = np.array(at)[np.array(suffix_array(symbols))]
     order = order[order >= 0]
     place, room = first[order], stops[whose[order]] - first[order]
-    sums = prefix_sums(raw)
-    _, down = powers(len(raw) + 1)
-
-    def same(a, b, n):
-        return (sums[a + n] - sums[a]) * down[a] == (sums[b + n] - sums[b]) * down[b]
-
+    spans = Spans(raw)
     a, b = place[:-1], place[1:]
     low, high = np.zeros(len(a), np.int64), np.minimum(np.minimum(room[:-1], room[1:]), width)
     while (open_ := low < high).any():
         middle = (low + high + 1) // 2
-        good = same(a, b, np.where(open_, middle, 0))
+        n = np.where(open_, middle, 0)
+        good = spans.of(a, a + n) == spans.of(b, b + n)
         low = np.where(open_ & good, middle, low)
         high = np.where(open_ & ~good, middle - 1, high)
     common = np.concatenate([[0], low])
@@ -187,9 +190,14 @@ def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:
         if not len(use):
             continue
         p = place[use]
-        left = mix((sums[p] - sums[p - c]) * down[p - c])
-        key = mix(interval[use].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + left)
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        left = spans.of(p - c, p)
+        order_of = np.lexsort((left, interval[use]))
+        i, h = interval[use][order_of], left[order_of]
+        new = np.ones(len(use), bool)
+        new[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1])
+        inverse = np.empty(len(use), np.int64)
+        inverse[order_of] = np.cumsum(new) - 1
+        count = np.bincount(inverse)
         hit[p[count[inverse] > 1] - c] = True
     return [hit[s : s + max(0, n - width + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
@@ -205,22 +213,38 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def fingerprints(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every ``gram``-byte substring. It only chooses anchors, so collisions cost time but no result."""
+    up = np.full(len(raw) + 1, MULTIPLIER, np.uint64)
+    down = np.full(len(raw) + 1, pow(int(MULTIPLIER), -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * up[:-1], out=sums[1:])
+    return mix((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
+
+
+def digest(raw: bytes) -> tuple[int, int]:
+    """128 bits that stand for some bytes, as two longs."""
+    h = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
 def runs(text: bytes, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, anchor, hash of the bytes) of each run of windows with the same leftmost anchor."""
+    """(first window, windows, anchor, two longs of a hash of the bytes) of each run of windows with the same leftmost
+    anchor."""
     raw = np.frombuffer(text, np.uint8)
     if len(raw) < width:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    sums = prefix_sums(raw)
-    _, down = powers(len(raw) + 1)
-    h = mix((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
+        return empty, empty, empty, empty, empty
+    h = fingerprints(raw, gram)
     least = _least(h, width - gram + 1)
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])
     first = np.flatnonzero(new)
     count = np.diff(first, append=len(least))
-    body = mix((sums[first + count + width - 1] - sums[first]) * down[first])
-    return first, count, least[first].view(np.int64), body.view(np.int64)
+    bodies = [digest(text[a : a + n + width - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    return first, count, least[first].view(np.int64), *np.array(bodies, np.int64).reshape(-1, 2).T
 
 
 def _find_runs(named: DataFrame, width: int, gram: int) -> DataFrame:
@@ -228,11 +252,11 @@ def _find_runs(named: DataFrame, width: int, gram: int) -> DataFrame:
         def each(a, b, texts):
             found = [runs(text_bytes(t), width, gram) for t in texts]
             n = [len(x[0]) for x in found]
-            yield np.repeat(np.array(a, np.int64), n), np.repeat(np.array(b, np.int64), n), *(np.concatenate([x[i] for x in found]) for i in range(4))
+            yield np.repeat(np.array(a, np.int64), n), np.repeat(np.array(b, np.int64), n), *(np.concatenate([x[i] for x in found]) for i in range(5))
 
         return each
 
-    return map_columns(named.select("id_a", "id_b", "id_text"), make, "id_a long, id_b long, at long, n long, anchor long, body long")
+    return map_columns(named.select("id_a", "id_b", "id_text"), make, "id_a long, id_b long, at long, n long, anchor long, body long, more long")
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -250,10 +274,10 @@ def _sorted_groups(strings: DataFrame, width: int) -> DataFrame:
         def flush():
             nonlocal held, size
             rows, held, size = held, [], 0
-            masks = repeated_windows([r[4] for r in rows], width) if rows else []
-            for (anchor, body, n, twice, _), mask in zip(rows, masks, strict=True):
+            masks = repeated_windows([r[5] for r in rows], width) if rows else []
+            for (anchor, body, more, n, twice, _), mask in zip(rows, masks, strict=True):
                 for low, high in [(0, n)] if twice else _ranges(mask):
-                    yield anchor, body, n, low, high
+                    yield anchor, body, more, n, low, high
 
         def each(*columns):
             nonlocal size, current
@@ -262,65 +286,93 @@ def _sorted_groups(strings: DataFrame, width: int) -> DataFrame:
                     yield from flush()
                 current = row[0]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
 
         each.rest = flush
         return each
 
-    ordered = strings.repartition("anchor").sortWithinPartitions("anchor")
-    return map_rows(ordered, make, "anchor long, body long, n long, low long, high long")
+    ordered = strings.select(*STRING, "twice", "raw").repartition("anchor").sortWithinPartitions("anchor")
+    return map_rows(ordered, make, "anchor long, body long, more long, n long, low long, high long")
+
+
+def grown(raw: bytes, n: int, at: int, width: int, gram: int, longer: int) -> list[tuple[int, int, bytes, int]]:
+    """A run's windows in two parts (first window, windows, anchor of ``longer`` bytes, its place in the part): those that
+    hold the bytes after the ``gram``-byte anchor at ``at``, and those that hold the bytes before it. Equal windows have
+    their anchor at one distance, so they also meet by the longer one."""
+    if at < 0:
+        h = fingerprints(np.frombuffer(raw, np.uint8), gram)
+        at = n - 1 + int(h[n - 1 : width - gram + 1].argmin())
+    cut = min(n, max(0, at - (width - longer)))
+    out = [(cut, n - cut, raw[at : at + longer], at - cut)] if cut < n else []
+    return [*out, (0, cut, raw[at + gram - longer : at + gram], at + gram - longer)] if cut else out
 
 
-def _counted_windows(strings: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with very many strings: windows are counted by 128-bit hashes of their bytes, so no group
-    meets in one task."""
+def _parts(strings: DataFrame, width: int, gram: int, longer: int) -> DataFrame:
+    """Strings of longer anchors with the strings that they are parts of; a part is known by its bytes and its place."""
 
     def make():
-        def each(anchors, bodies, ns, twice, raws):
-            for anchor, body, n, two, raw in zip(anchors, bodies, ns, twice, raws, strict=True):
-                for low in range(n):
-                    h = hashlib.blake2b(raw[low : low + width], digest_size=16).digest()
-                    yield anchor, body, n, low, two, h
+        def each(anchors, bodies, mores, ns, places, twice, raws):
+            for anchor, body, more, n, at, two, raw in zip(anchors, bodies, mores, ns, places, twice, raws, strict=True):
+                for low, size, key, place in grown(raw, n, at, width, gram, longer):
+                    own = raw[low : low + size + width - 1]
+                    yield anchor, body, more, n, low, digest(key)[0], *digest(own + place.to_bytes(8, "little")), size, place, two, own
 
         return each
 
-    windows = map_rows(strings, make, "anchor long, body long, n long, low long, two boolean, h binary")
-    again = windows.groupBy("h").agg(F.count("*").alias("c"), F.max("two").alias("t")).filter("c > 1 or t").select("h")
-    return windows.join(again, "h").select("anchor", "body", "n", "low", (F.col("low") + 1).alias("high"))
+    schema = "anchor long, body long, more long, n long, shift long, p_anchor long, p_body long, p_more long, p_n long, place long, twice boolean, raw binary"
+    return map_rows(strings.select(*STRING, "place", "twice", "raw"), make, schema)
+
+
+def _verdicts(strings: DataFrame, width: int, gram: int, many: int) -> DataFrame:
+    """(anchor, body, more, n, low, high): windows of each different string (``twice`` tells that it occurs again) that
+    also start elsewhere."""
+    kinds = stored(strings.groupBy("anchor").agg(F.count("*").alias("d")), "kinds")
+    strings = strings.join(kinds, "anchor")
+    alone = strings.filter("d = 1 and twice").select(*STRING, F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))
+    done = alone.unionByName(_sorted_groups(strings.filter(f"d between 2 and {many}"), width))
+    longer = gram + (width - gram + 1) // 2
+    if longer == gram or kinds.filter(F.col("d") > many).isEmpty():
+        return done
+    parts = stored(_parts(strings.filter(F.col("d") > many), width, gram, longer), "parts")
+    names = {f"p_{c}": c for c in STRING}
+    distinct = parts.groupBy(*names).agg((F.max("twice") | (F.count("*") > 1)).alias("twice"), F.first("place").alias("place"), F.first("raw").alias("raw"))
+    inner = _verdicts(stored(distinct.withColumnsRenamed(names), "grown"), width, longer, many)
+    inner = inner.withColumnsRenamed({c: f"p_{c}" for c in STRING})
+    back = parts.drop("raw", "twice", "place").join(inner, list(names))
+    return done.unionByName(back.select(*STRING, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high")))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``docs`` with a column sd_spans: merged [start, end) bytes that lie in a ``width``-byte string which also starts
     anywhere else, in this text or another. Texts are UTF-8; null or short ones have no spans; matches never cross
-    texts. Rows that repeat a key and text count as two places each and share their result."""
+    texts. Rows that repeat a key and text count as two places each and share their result. Anchors with more than
+    ``many`` different strings are grown; results are the same for any."""
     named = identified(docs, key, text)
-    found = _find_runs(named, width, gram)
-    found = stored(found, "runs")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor")
-    found = stored(found.join(shared, "anchor"), "shared")
-    strings = found.groupBy("anchor", "body", "n").agg(F.count("*").alias("c"), F.min(F.struct("id_a", "id_b", "at")).alias("one"))
-    kinds = strings.groupBy("anchor").agg(F.count("*").alias("d"))
-    strings = stored(strings.join(kinds, "anchor").select("anchor", "body", "n", "c", "d", "one.*"), "strings")
-    alike = strings.filter("d = 1 and c > 1").select("anchor", "body", "n", F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))
-    differ = strings.filter("d > 1").groupBy("id_a", "id_b").agg(F.collect_list(F.struct("anchor", "body", "n", "c", "d", "at")).alias("parts"))
+    every = stored(_find_runs(named, width, gram), "runs")
+    shared = stored(every.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor"), "anchors")
+    found = stored(every.join(shared, "anchor", "left_semi"), "shared")
+    released(every, shared)
+    strings = found.groupBy(*STRING).agg((F.count("*") > 1).alias("twice"), F.min(F.struct("id_a", "id_b", "at")).alias("one"))
+    strings = stored(strings.select(*STRING, "twice", "one.*"), "strings")
+    kinds = stored(strings.groupBy("anchor").agg(F.count("*").alias("d")), "kinds")
+    strings = strings.join(kinds, "anchor")
+    alike = strings.filter("d = 1 and twice").select(*STRING, F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))
+    differ = strings.filter("d > 1").groupBy("id_a", "id_b").agg(F.collect_list(F.struct(*STRING, "twice", "at")).alias("parts"))
 
     def make():
         def each(texts, parts):
             for t, own in zip(texts, parts, strict=True):
                 raw = text_bytes(t)
                 for p in own:
-                    yield p["anchor"], p["body"], p["n"], p["c"] > 1, p["d"] > many, raw[p["at"] : p["at"] + p["n"] + width - 1]
+                    yield *(p[c] for c in STRING), -1, p["twice"], raw[p["at"] : p["at"] + p["n"] + width - 1]
 
         return each
 
     one_each = named.select("id_a", "id_b", "id_text").join(differ, ["id_a", "id_b"]).select("id_text", "parts")
-    cut = map_rows(one_each, make, "anchor long, body long, n long, twice boolean, hot boolean, raw binary").dropDuplicates(["anchor", "body", "n"])
-    cut = stored(cut, "cut")
-    columns = ["anchor", "body", "n", "twice", "raw"]
-    verdicts = alike.unionByName(_sorted_groups(cut.filter("not hot").select(columns), width))
-    verdicts = verdicts.unionByName(_counted_windows(cut.filter("hot").select(columns), width))
+    cut = map_rows(one_each, make, "anchor long, body long, more long, n long, place long, twice boolean, raw binary").dropDuplicates(list(STRING))
+    verdicts = stored(alike.unionByName(_verdicts(stored(cut, "cut"), width, gram, many)), "verdicts")
     spans = (
-        found.join(verdicts, ["anchor", "body", "n"])
+        found.join(verdicts, list(STRING))
         .groupBy("id_a", "id_b").agg(F.collect_set(F.struct((F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + width - 1).alias("end"))).alias("sd_raw"))
     )
     merged = F.aggregate(

@@ -12,13 +12,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 OUT_ROWS = 2000
-BASE = 0x9E3779B97F4A7C15
+#: Bytes of text for which an operator that deals hashes into buckets makes one bucket at least.
+BUCKET_BYTES = 16 << 20
+PRIME = np.uint64(2**61 - 1)
+#: The base of word hashes, below the prime.
+BASE = 0x1C5B3A7D9E64F281
+PIECE = 4 << 20
+_LOW32, _LOW29 = np.uint64(2**32 - 1), np.uint64(2**29 - 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUES = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A byte counts as its value and one, so that no byte is without effect.
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
-_powers: dict[str, np.ndarray] = {}
+_powers: list[np.ndarray] = []
+#: Spark then removes a query's shuffle files at its end, not only when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,26 +83,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the steps just finished
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*frames: DataFrame) -> None:
+    """Empty the folders of frames from ``stored`` that nothing reads any more."""
+    for df in frames:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers["up"]) < n:
-        m = max(1 << 16, 1 << int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            up = np.full(m, BASE, np.uint64)
-            up[0] = 1
-            down = np.full(m, pow(BASE, -1, 2**64), np.uint64)
-            down[0] = 1
-            _powers["up"], _powers["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+def bucket_count(docs: DataFrame, text: str) -> int:
+    """Buckets for hashes of a text column: what one holds does not grow with the table."""
+    return max(partitions(docs.sparkSession), -(-sized(docs, text) // BUCKET_BYTES))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,12 +117,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_sums(raw: np.ndarray, fold: bool = False) -> np.ndarray:
-    """P with P[j] - P[i] = BASE**i * hash(raw[i:j]) modulo 2**64."""
-    up, _ = powers(len(raw) + 1)
-    p = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _VALUES)[raw] * up[: len(raw)], out=p[1:])
-    return p
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**32 modulo the prime, for x < 2**62, not fully reduced (less than 2**62)."""
+    return ((x & _LOW29) << np.uint64(32)) + (x >> np.uint64(29))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    low = a0 * b0
+    return _reduced(np.uint64(8) * a1 * b1 + _shifted(a1 * b0 + a0 * b1) + (low & PRIME) + (low >> np.uint64(61)))
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i modulo the prime as (low half, high half), and BASE**-i, for i < n."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        made = []
+        for base in (BASE, pow(BASE, -1, int(PRIME))):
+            p = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                p[done : 2 * done] = times(p[:done], np.uint64(pow(base, done, int(PRIME))))
+                done *= 2
+            made.append(p)
+        _powers[:] = made[0] & _LOW32, made[0] >> np.uint64(32), made[1]
+    return [p[:n] for p in _powers]
+
+
+class Spans:
+    """Hashes of any spans of some bytes: a polynomial modulo the prime 2**61 - 1. Unlike one modulo a power of two, it has
+    no structured texts that collide; two different spans of n bytes do with a chance of about n / 2**61.
+
+    Prefix sums of both halves of the powers wrap around at 2**64; differences over up to PIECE bytes are exact."""
+
+    def __init__(self, raw: np.ndarray, fold: bool = False):
+        low, high, self.down = powers(len(raw) + 1)
+        value = (_FOLDED if fold else _VALUES)[raw]
+        self.low, self.high = np.zeros(len(raw) + 1, np.uint64), np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(value * low[:-1], out=self.low[1:])
+        np.cumsum(value * high[:-1], out=self.high[1:])
+
+    def _part(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low = self.low[j] - self.low[i]
+        return _reduced(_shifted(self.high[j] - self.high[i]) + (low & PRIME) + (low >> np.uint64(61)))
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes below 2**61 of the bytes from i to j."""
+        longest = int((j - i).max()) if len(i) else 0
+        total = self._part(i, np.minimum(j, i + PIECE))
+        for k in range(PIECE, longest, PIECE):
+            total = _reduced(total + self._part(np.minimum(i + k, j), np.minimum(i + k + PIECE, j)))
+        return times(total, self.down[i])
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +185,33 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, start, end) of each word of a text's UTF-8 bytes; ``fold`` lower-cases A-Z."""
+    """(64-bit hash, start, end) of each word of a text's UTF-8 bytes; ``fold`` lower-cases A-Z. Long texts are hashed in
+    pieces of whole words."""
     starts, ends = word_bounds(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    p = prefix_sums(raw, fold)
-    _, down = powers(len(raw) + 1)
-    return mix((p[ends] - p[starts]) * down[starts]), starts, ends
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(starts):
+        first = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, first + PIECE, "right")))
+        out.append(mix(Spans(raw[first : ends[b - 1]], fold).of(starts[a:b] - first, ends[a:b] - first)))
+        a = b
+    return np.concatenate(out), starts, ends
+
+
+def word_factors(n: int, second: bool = False) -> np.ndarray:
+    """Odd factors by which the hashes of the words of a window count, by place."""
+    at = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(mix(at ^ np.uint64(0x5851F42D4C957F2D)) if second else at) | np.uint64(1)
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hash of each run of ``width`` words; order counts."""
+def window_hashes(words: np.ndarray, width: int, second: bool = False) -> np.ndarray:
+    """64-bit hash of each run of ``width`` words; order counts. ``second`` asks for an independent one."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, _ = powers(width)
-    h = words[:n] * up[0]
+    factors = word_factors(width, second)
+    h = words[:n] * factors[0]
     for j in range(1, width):
-        h += words[j : j + n] * up[j]
+        h += words[j : j + n] * factors[j]
     return mix(h)
 
 
@@ -230,14 +302,14 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def pack_places(places: np.ndarray) -> bytes:
-    """Rising 32-bit places as gaps, byte plane by byte plane (zeros then compress well)."""
+    """32-bit places as gaps modulo 2**32, byte plane by byte plane (zeros then compress well if they rise)."""
     gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u4")
     return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def unpack_places(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -254,7 +326,7 @@ def cut_by(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(keys[first].tolist(), first.tolist(), [*edges.tolist(), len(keys)], strict=True))
 
 
-def by_bucket(df: DataFrame, column: str, make: Callable[[], Callable], schema: str) -> DataFrame:
+def by_bucket(df: DataFrame, column: str, make: Callable[[], Callable], schema: str, buckets: int = 0) -> DataFrame:
     """Deal rows by ``column`` and call ``make()``'s function with the rows (as tuples) of one value at a time; it yields
     tuples of output columns."""
 
@@ -277,5 +349,5 @@ def by_bucket(df: DataFrame, column: str, make: Callable[[], Callable], schema:
         return each
 
     others = [c for c in df.columns if c != column]
-    dealt = df.select(column, *others).repartition(partitions(df.sparkSession), column).sortWithinPartitions(column)
+    dealt = df.select(column, *others).repartition(buckets or partitions(df.sparkSession), column).sortWithinPartitions(column)
     return map_columns(dealt, each_group, schema)
