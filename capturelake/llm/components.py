@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.text import stored
-
-MOST_ROUNDS = 60
+from capturelake.llm.text import released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,20 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         joined = larger.join(least, "u")
         smaller = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(smaller.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        done, edges = edges, stored(smaller.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        released(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now == before and now[0] == now[2]:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
