@@ -1,4 +1,8 @@
-"""License scans: matching statistics of every file against a generalised suffix automaton of licence words."""
+"""License scans: matching statistics of every file against a generalised suffix automaton of licence words.
+
+Long matches are chained into spans of the templates in which they stand. A span counts if it covers at least half of
+its template, and of spans that overlap the one that covers most, so a licence is not taken for its neighbour.
+"""
 
 from __future__ import annotations
 
@@ -34,9 +38,31 @@ TEMPLATES = {
     "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version 3 of the License, or
         (at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+        (at your option) any later version.""",
+    "agpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.""",
+    "mpl-2": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "cc-by": """This work is licensed under a Creative Commons Attribution 4.0 International License.""",
+    "cc-by-sa": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.""",
+    "cc-by-nd": """This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.""",
+    "cc-by-nc-sa": """This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International
+        License.""",
+    "cc-by-nc-nd": """This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International
+        License.""",
+    "cc0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
+        this work.""",
     "cc-by-nc": """This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.
         Licensed under CC BY-NC 4.0.""",
     "all-rights-reserved": """All rights reserved. No part of this publication may be reproduced without prior
@@ -46,6 +72,7 @@ WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LEAST_MATCH = 4
 MOST_GAP = 6
 LEAST_COVER = 8
+LEAST_SHARE = 0.5
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,13 +81,13 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, kept apart by separators that no text holds. ``template`` and
-    ``end`` of a state tell one place (template, words before its end) where the state's words occur."""
+    """Suffix automaton of several word sequences, kept apart by their numbers. ``places`` of a state are all
+    (template, words before its end) where the state's words occur."""
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.longest, self.place = [-1], [0], [(-1, 0)]
+        self.link, self.longest, self.places = [-1], [0], [set()]
         self.phrases = [(words(p), label) for p, label in phrases.items()]
         self.labels = list(templates)
         self.sizes = [len(words(t)) for t in templates.values()]
@@ -74,14 +101,19 @@ class Automaton:
             for w in own:
                 state = self.next[state][self.vocabulary[w]]
             self.accepts[state].append((len(own), which))
-        for state in sorted(range(1, len(self.next)), key=self.longest.__getitem__):
+        by_length = sorted(range(1, len(self.next)), key=self.longest.__getitem__)
+        for state in reversed(by_length):
+            if self.link[state] > 0:
+                self.places[self.link[state]] |= self.places[state]
+        self.places = [sorted(p) for p in self.places]
+        for state in by_length:
             self.accepts[state] = self.accepts[state] + self.accepts[self.link[state]]
 
     def _copy(self, state: int, longest: int) -> int:
         self.next.append(dict(self.next[state]))
         self.link.append(self.link[state])
         self.longest.append(longest)
-        self.place.append(self.place[state])
+        self.places.append(set())
         return len(self.next) - 1
 
     def _split(self, parent: int, word: int, child: int) -> int:
@@ -95,11 +127,13 @@ class Automaton:
     def _extend(self, last: int, word: int, place: tuple[int, int]) -> int:
         child = self.next[last].get(word)
         if child is not None:
-            return child if self.longest[child] == self.longest[last] + 1 else self._split(last, word, child)
+            child = child if self.longest[child] == self.longest[last] + 1 else self._split(last, word, child)
+            self.places[child].add(place)
+            return child
         self.next.append({})
         self.link.append(0)
         self.longest.append(self.longest[last] + 1)
-        self.place.append(place)
+        self.places.append({place})
         new, parent = len(self.next) - 1, last
         while parent >= 0 and word not in self.next[parent]:
             self.next[parent][word] = new
@@ -142,21 +176,31 @@ class Automaton:
         return sorted(places), self._chain(runs)
 
     def _chain(self, runs: list) -> list:
-        """Join right-maximal matches of one template whose places follow one another in text and template."""
+        """Join right-maximal matches of one template whose places follow one another in text and template; a match is
+        tried at all its places in all templates. Of spans that overlap, the one that covers most stays."""
         spans, open_ = [], {}
         for i, state, length in runs:
-            number, end = self.place[state]
-            if number >= len(self.labels):
-                continue
-            a, b, first = i - length + 1, i + 1, end - length
-            was = open_.get(number)
-            if was and a - was[1] <= MOST_GAP and end >= was[4] and abs((a - was[1]) - (first - was[4])) <= MOST_GAP:
-                was[3] += b - max(a, was[1])
-                was[1], was[4] = b, end
-            else:
-                open_[number] = [a, b, number, length, end]
-                spans.append(open_[number])
-        return [(a, b, n, c) for a, b, n, c, _ in spans if c >= min(LEAST_COVER, self.sizes[n])]
+            a, b = i - length + 1, i + 1
+            fits: dict[int, list] = {}
+            for number, end in self.places[state]:
+                if number < len(self.labels):
+                    fits.setdefault(number, []).append(end)
+            for number, ends in fits.items():
+                was = open_.get(number)
+                off = lambda end: abs((a - was[1]) - (end - length - was[4]))  # noqa: E731, B023
+                near = [e for e in ends if was and a - was[1] <= MOST_GAP and e >= was[4] and off(e) <= MOST_GAP]
+                if near:
+                    was[3] += b - max(a, was[1])
+                    was[1], was[4] = b, min(near, key=off)
+                else:
+                    open_[number] = [a, b, number, length, ends[0]]
+                    spans.append(open_[number])
+        whole = [(a, b, n, c) for a, b, n, c, _ in spans if c >= min(LEAST_COVER, self.sizes[n]) and c >= LEAST_SHARE * self.sizes[n]]
+        kept: list[tuple] = []
+        for span in sorted(whole, key=lambda x: (-x[3], -x[3] / self.sizes[x[2]], x)):
+            if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
+                kept.append(span)
+        return sorted(kept)
 
 
 def scan_licenses(
