@@ -16,7 +16,10 @@ from capturelake.llm.text import keep_rows, map_rows
 
 BUCKETS = 4096
 SMOOTHING = 0.5
-STEPS = 10
+#: Expectation-maximisation ends when no proportion moves by more.
+SETTLED = 1e-3
+#: Different labels beyond which learning refuses: the driver holds BUCKETS counts for each.
+MOST_LABELS = 512
 PENALTY = 2.0
 REJECT_UNDER = 0.34
 UNKNOWN = "und"
@@ -26,6 +29,11 @@ _CLEAN[97:123] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is in a Unicode category of letters (digits in circles and the like are not)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def trigrams(texts: list[str | None]) -> np.ndarray:
     """Counts of hashed byte trigrams of each text, lower-cased, with everything but letters as one space."""
     raws = [b" " + t.lower().encode("utf-8", "replace") + b" " if t else b" " for t in texts]
@@ -48,7 +56,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Trigram probabilities of every language label, counted over all labelled documents that are not held out.
 
     Counts are added up in the tasks and then by Spark; what reaches the driver is one row for each language and
-    bucket, whatever the corpus."""
+    bucket, whatever the corpus; more than MOST_LABELS labels are refused."""
 
     def make():
         held: dict[str, np.ndarray] = {}
@@ -70,6 +78,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return each
 
     use = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    if use.select(lang).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} language labels")
     rows = map_rows(use.select(text, lang), make, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.zeros((len(langs), BUCKETS))
@@ -79,16 +89,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return langs, (counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _expect(counts: np.ndarray, total: np.ndarray, weights: np.ndarray, q: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after some steps of expectation-maximisation, and their log likelihood."""
-    for _ in range(steps):
-        weights = weights * ((counts / (weights @ q)) @ q.T) / total[:, None]
-        weights /= weights.sum(1, keepdims=True)
+def _expect(counts: np.ndarray, total: np.ndarray, weights: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions at which expectation-maximisation settles, document by document, and their log likelihood."""
+    weights, open_ = weights.copy(), np.arange(len(counts))
+    while len(open_):
+        own = counts[open_]
+        new = weights[open_] * ((own / (weights[open_] @ q)) @ q.T) / total[open_, None]
+        new /= new.sum(1, keepdims=True)
+        moved = np.abs(new - weights[open_]).max(1)
+        weights[open_] = new
+        open_ = open_[moved > SETTLED]
     return weights, (counts * np.log(weights @ q)).sum(1)
 
 
 def infer(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Proportions of the languages in each document; languages outside the chosen set have 0."""
+    """Proportions of the languages in each document; languages outside the chosen set have 0. From all languages the
+    least one leaves, step by step; the set with the best penalised likelihood stays."""
     counts = counts.astype(np.float32)
     total = np.maximum(counts.sum(1), 1)
     n, k = len(counts), len(q)
@@ -98,22 +114,25 @@ def infer(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
     out[np.arange(n), best] = 1
     if k < 2:
         return out
-    full, fit = _expect(counts, total, np.full((n, k), 1 / k, np.float32), q, STEPS)
+    full, fit = _expect(counts, total, np.full((n, k), 1 / k, np.float32), q)
     price = PENALTY * np.log(total + 1)
     top = alone[np.arange(n), best]
     mixed = np.flatnonzero(fit - top > price)
     reached = top[mixed]
-    order = np.argsort(-full[mixed], axis=1, kind="stable")
-    for size in range(2, k + 1):
+    weights, fit = full[mixed], fit[mixed]
+    for size in range(k, 1, -1):
         if not len(mixed):
             break
-        start = np.zeros((len(mixed), k), np.float32)
-        np.put_along_axis(start, order[:, :size], np.maximum(np.take_along_axis(full[mixed], order[:, :size], 1), 1e-3), 1)
-        weights, fit = _expect(counts[mixed], total[mixed], start / start.sum(1, keepdims=True), q, STEPS)
-        fit = fit - price[mixed] * (size - 1)
-        better = fit > reached
+        gain = fit - price[mixed] * (size - 1)
+        better = gain > reached
         out[mixed[better]] = weights[better]
-        reached = np.maximum(reached, fit)
+        reached = np.maximum(reached, gain)
+        weights = weights.copy()
+        weights[weights == 0] = np.inf
+        weights[np.arange(len(weights)), weights.argmin(1)] = 0
+        weights[np.isinf(weights)] = 0
+        weights = np.where(weights > 0, np.maximum(weights, 1e-3), 0)
+        weights, fit = _expect(counts[mixed], total[mixed], weights / weights.sum(1, keepdims=True), q)
     return out
 
 
@@ -122,7 +141,7 @@ def classify(texts: list[str | None], langs: list[str], q: np.ndarray) -> list[t
     weights = infer(trigrams(texts), q) if langs else None
     out = []
     for i, t in enumerate(texts):
-        if not langs or not t or not _LETTER.search(t):
+        if not langs or not t or not has_letter(t):
             out.append((UNKNOWN, 0.0, [0.0] * len(langs)))
         else:
             top = int(weights[i].argmax())
