@@ -24,6 +24,29 @@ def test_suffix_arrays():
         assert suffixes.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_grown_anchors_meet():
+    """Equal windows get equal longer anchors, down to the whole window."""
+    rng = random.Random(4)
+    for _ in range(300):
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        texts = [base[rng.randrange(20) :] + bytes(rng.choice(b"ab") for _ in range(20)) for _ in range(4)]
+        parts = []
+        for t in texts:
+            for first, n, anchor, *_ in zip(*suffixes.runs(t, 20, 4), strict=True):
+                parts.append((t[first : first + n + 19], int(n), -1, int(anchor)))
+        gram = 4
+        while gram < 20:
+            longer = gram + (20 - gram + 1) // 2
+            parts = [(raw[low : low + size + 19], size, place, key) for raw, n, at, _ in parts for low, size, key, place in suffixes.grown(raw, n, at, 20, gram, longer)]
+            where: dict[bytes, set] = {}
+            for raw, n, _, key in parts:
+                for i in range(n):
+                    where.setdefault(raw[i : i + 20], set()).add(key)
+            assert all(len(keys) == 1 for keys in where.values())
+            assert sum(n for _, n, *_ in parts) == sum(len(t) - 19 for t in texts)
+            gram = longer
+
+
 def test_repeated_windows():
     rng = random.Random(2)
     for _ in range(600):
@@ -38,10 +61,10 @@ def test_repeated_windows():
         assert [m.tolist() for m in suffixes.repeated_windows(strings, width)] == want
 
 
-@pytest.mark.parametrize(("width", "gram", "many"), [(400, 128, 4096), (60, 16, 2)])
+@pytest.mark.parametrize(("width", "gram", "many"), [(400, 128, 4096), (60, 16, 2), (24, 4, 3)])
 def test_suffix_dedup(docs, rows, width, gram, many):
-    """``many`` of 2 sends nearly all groups through the counted path."""
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.digests(suffixes.repeats(docs, width=width, gram=gram, many=many)).collect()}
+    """``many`` of 2 or 3 grows nearly all anchors."""
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(suffixes.repeats(docs, width=width, gram=gram, many=many)).collect()}
     count: dict[bytes, int] = {}
     for _, t, *_ in rows:
         for i in range(len(raw(t)) - width + 1):
@@ -52,7 +75,8 @@ def test_suffix_dedup(docs, rows, width, gram, many):
             if count[raw(t)[i : i + width]] > 1:
                 gone[i : i + width] = b"\1" * width
         kept = bytes(c for c, g in zip(raw(t), gone, strict=True) if not g)
-        assert got[key] == (len(raw(t)), sum(gone), sha(kept))
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        assert got[key] == (len(raw(t)), sum(gone), spans, sha(kept))
 
 
 def test_substring_dedup(docs, rows):
@@ -94,9 +118,9 @@ def brute_classes(rows):
     return {k: (len(sets[k]), root(k)) for k in sets}
 
 
-@pytest.mark.parametrize("block", [512, 2])
+@pytest.mark.parametrize("block", [1 << 20, 200])
 def test_classes(docs, rows, block):
-    """A block of 2 sets splits every list into many pairs of blocks and salts."""
+    """A block of 200 shingles splits every head into many cells."""
     done = similar.link_classes(docs, block=block)
     assert done.columns == [*docs.columns, "ng_size", "ng_class"]
     assert {r.doc_id: (r.ng_size, r.ng_class) for r in done.collect()} == brute_classes(rows)
@@ -114,7 +138,6 @@ def test_bitmaps_never_lose_a_link():
             x, y = (np.frombuffer(similar.sketch(t), np.uint8) for t in (a, b))
             size = min(len(x), len(y))
             assert similar.may_link(len(a), similar.fold(x, size), np.array([len(b)]), similar.fold(y, size)[None], 75)[0]
-            assert similar.may_link(len(a), similar.fold(x, size), np.zeros(1, int), similar.fold(y, size)[None], 75)[0]
 
 
 def test_components(spark):
@@ -188,6 +211,43 @@ def test_lines_of_shared_keys(spark):
     assert sorted(got, key=repr) == sorted([(None, 0), (None, 3), (None, 3), (1, 3), (2, 0), (2, 3)], key=repr)
 
 
+def test_structured_words_are_told_apart(spark, tmp_path):
+    """Words and passages that hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, one), (4, two), (5, f"{one}\n{one}\n{one}"), (6, f"{two}\n{two}\n{two}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.doc_id: r.n_removed for r in substrings.digests(substrings.repeats(df)).collect()} == dict.fromkeys(range(1, 7), 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar.class_digests(df).collect()}
+    assert got == brute_classes([(k, t) for k, t in rows])
+    assert {r.doc_id: r.ld_removed for r in lines.dedup_lines(df).collect()} == dict.fromkeys(range(1, 7), 0)
+    by = {r.doc_id: r.n_removed for r in suffixes.digests(suffixes.repeats(df)).collect()}
+    count: dict[str, int] = {}
+    for _, t in rows:
+        for i in range(len(t) - 399):
+            count[t[i : i + 400]] = count.get(t[i : i + 400], 0) + 1
+    for k, t in rows:
+        gone = [False] * len(t)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i : i + 400] = [True] * 400
+        assert by[k] == sum(gone)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Hundreds of variants of one text, many of which do not link with it or with one another, in small cells."""
+    rng = random.Random(30)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > rng.choice([0.0, 0.01, 0.03, 0.05]) else f"e{rng.randrange(400)}" for w in base)) for i in range(260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert len({c for _, c in want.values()}) > 20
+    for block in (1 << 20, 1500):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar.class_digests(df, block=block).collect()} == want
+
+
 def test_empty(empty):
     assert suffixes.digests(suffixes.repeats(empty)).count() == 0
     assert substrings.digests(substrings.repeats(empty)).count() == 0

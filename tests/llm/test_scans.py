@@ -1,8 +1,10 @@
 """Scans, language ID, decontamination, media and packing."""
 
+import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +58,92 @@ def test_license_templates(spark):
     assert (got[3].labels, got[3].score, got[4].n_words) == ("", 0.0, 0)
 
 
+def licensed(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.labels for r in sorted(licenses.license_digests(licenses.scan_licenses(df)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_license_neighbours(spark):
+    """A licence is not taken for one that shares its words, nor for one of which little is there."""
+    by = {k: re.sub(r"\s+", " ", v) for k, v in licenses.TEMPLATES.items()}
+    assert licensed(spark, *by.values()) == [{"cc-by-nc": "cc-by-nc"}.get(k, k) for k in by]
+    assert licensed(
+        spark, "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Use in source and binary forms, with or without modification, are not permitted under any circumstance.",
+        by["isc"].replace("copies", "any copies and provided that you, ".upper()), by["mit"] + " middle " + by["isc"], "",
+    ) == ["cc-by-sa", "", "isc", "isc,mit", ""]
+
+
+def test_every_place_of_a_state():
+    """A run that several templates share counts for each of them."""
+    known = licenses.Automaton({}, {"a": "one two three four five six seven eight nine", "b": "zero two three four five six seven eight ten"})
+    for text, label in (("one two three four five six seven eight x", "a"), ("zero two three four five six seven eight ten", "b"), ("x two three four five six seven eight ten", "b")):
+        spans = known.scan([known.vocabulary.get(w) for w in licenses.words(text)])[1]
+        assert [known.labels[n] for _, _, n, _ in spans] == [label]
+
+
+def test_license_digests_match_plain_search(spark, docs, rows):
+    words = [licenses.WORD.findall((t or "").encode().lower()) for _, t, *_ in rows]
+    rng = random.Random(21)
+    parts = ["under the mit license", "apache license version 2", "cc by nc", "x", "mit", "UNDER the-MIT", "é"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        own = licenses.WORD.findall((t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+        places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(own)) if own[k : k + len(p.split())] == [w.encode() for w in p.split()]]
+        starts = [k for k, _ in places]
+        want.append((i % 50, len(own), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
+    got = licenses.license_digests(licenses.scan_licenses(df)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sorted(r.n_words for r in licenses.license_digests(licenses.scan_licenses(docs)).collect()) == sorted(map(len, words))
+    assert licenses.license_digests(licenses.scan_licenses(df.filter("false"))).count() == 0
+
+
+def test_secret_digests_match_plain_search(spark, empty):
+    rng = random.Random(22)
+    parts = ["password", "TOKEN", "api_key", "=", ": ", "'", "abc1", "0123456789abcdef0123456789abcdef", "AKIA", "ABCDEFGH12345678", "é", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(200)] + [None, "", "x" * 70000 + " token=abcdef"]
+    df = spark.createDataFrame([(i % 90 if i % 7 else None, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, secrets string")
+    shapes = {
+        "assign": (re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6),
+        "access": (re.compile("()(AKIA[A-Z0-9]+)"), 20), "hex": (re.compile("()([0-9a-f]+)"), 24),
+    }
+    want = []
+    for i, t in enumerate(texts):
+        found = [(m.start(), k, kind, m.end()) for k, (kind, (shape, least)) in enumerate(shapes.items()) for m in shape.finditer(t or "") if len(m[2]) >= least]
+        spans = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+        n = [sum(x[1] == k for x in found) for k in range(3)]
+        want.append((i % 90 if i % 7 else None, *n, hashlib.sha256(spans.encode()).hexdigest(), spans))
+    got = secrets.secret_digests(secrets.find_secrets(df)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert secrets.secret_digests(secrets.find_secrets(empty)).count() == 0
+
+
+def test_media_digests(spark, docs, rows, empty):
+    """Every column against what the payload itself gives, and the stored form read by a plain reader of packets."""
+    done = media.store(docs.select("doc_id", "text").union(docs.select("doc_id", "text")))
+    stored = {r.doc_id: bytes(r.stream) for r in done.collect()}
+    got = media.digests(done).collect()
+    assert len(got) == 2 * len(rows)
+    by = {k: (t or "").encode() for k, t, *_ in rows}
+    for r in got:
+        payload = by[r.doc_id] + b" " * (-len(by[r.doc_id]) % 192 or (0 if by[r.doc_id] else 192))
+        raw = stored[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(by[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+        packets = [raw[i : i + 188] for i in range(0, len(raw), 188)]
+        own = [p for p in packets if (p[1] & 31) << 8 | p[2] == media.DATA_PID]
+        begins = [p for p in own if p[1] & 64]
+        marks = [i for i, p in enumerate(begins) if p[3] & 32 and p[4] and p[5] & 64]
+        stamp = lambda p: (lambda t: (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)(p[(5 + p[4] if p[3] & 32 else 4) + 9 :])
+        assert [p[3] & 15 for p in own] == [i & 15 for i in range(len(own))]
+        assert r.feature == f"programs=1;packets={len(packets)};units={len(begins)};random_access={','.join(map(str, marks))};pts={stamp(begins[0])}-{stamp(begins[-1])};breaks=0"
+    assert media.digests(media.store(empty)).count() == 0
+    null_key = spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string")
+    assert [r.doc_id for r in media.digests(media.store(null_key)).collect()] == [None, None]
+
+
 def test_streams():
     for n in [0, 1, 150, 170, 175, 176, 177, 183, 184, 185, 191, 192, 193, 3071, 3072, 3073, 40000]:
         data = random.Random(n).randbytes(n)
@@ -91,10 +179,13 @@ def test_packing(spark, docs, rows):
     got = packing.pack_documents(docs, TOKENIZER, length=256).collect()
     plain = Tokenizer.from_file(TOKENIZER)
     lengths = {k: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for k, t, *_ in rows}
-    by: dict = {}
+    by, ids_of, texts = {}, {}, {k: t for k, t, *_ in rows}
+    assert sorted((r.doc_id, r.piece) for r in got) == [(k, p) for k in sorted(lengths) for p in range(-(-lengths[k] // 256))]
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
         assert r.length == min(256, lengths[r.doc_id] - r.start)
+        ids = ids_of.setdefault(r.doc_id, [*plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0])[r.start : r.start + r.length]
+        assert r.piece == r.start // 256 and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
     for own in by.values():
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
@@ -103,6 +194,27 @@ def test_packing(spark, docs, rows):
     assert 0 <= len(by) - -(-sum(lengths.values()) // 256) <= 1  # best-fit decreasing is not always optimal
 
 
+def swapped_words():
+    """Two words of 1,024 letters, no place of which is equal: hashes modulo a power of two cannot tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file(spark, empty, name):
+    """Structured words, texts with capitals and white space, null keys and repeated rows, by either kind of file."""
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    rows = [(1, " ".join(swapped_words())), (2, "Two  Words\n and\tÉtudes"), (2, "Two  Words\n and\tÉtudes"), (None, "x"), (None, None), (3, swapped_words()[1])]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path, length=64)
+    want = []
+    for k, t in rows:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(k, i // 64, i, len(ids[i : i + 64]), zlib.crc32(ids[i : i + 64].tobytes())) for i in range(0, len(ids), 64)]
+    assert sorted(map(tuple, got.select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr) == sorted(want, key=repr)
+    assert packing.pack_documents(empty, path).count() == 0
+
+
 def test_packing_in_many_pools(spark):
     rng = np.random.default_rng(8)
     rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 1500, 3000))]
@@ -130,6 +242,38 @@ def test_languages(spark):
     assert {r.doc_id: r.lang_pred for r in few.collect() if r.doc_id < 0} == {-1: "und", -2: "und"}
 
 
+def test_letters():
+    assert all(map(languages.has_letter, ["a", "1é", "ª", "日"])) and not any(map(languages.has_letter, ["", "²", "½", "①", "_1 !"]))
+
+
+def test_mixtures_equal_the_best_set():
+    """Against a search of all language sets, each fitted by many steps: the chosen set has the best penalised likelihood."""
+    rng = np.random.default_rng(14)
+    q = rng.dirichlet(np.full(60, 0.3), 4).astype(np.float32) + 1e-4
+    q /= q.sum(1, keepdims=True)
+    shares = [(1, 0, 0, 0), (0.6, 0.4, 0, 0), (0.4, 0.3, 0.3, 0), (0, 0, 0.5, 0.5), (0.25, 0.25, 0.25, 0.25), (0.95, 0.05, 0, 0)]
+    counts = np.stack([rng.multinomial(900, np.array(s) @ q.astype(float) / (np.array(s) @ q.astype(float)).sum()) for s in shares])
+    w = languages.infer(counts, q)
+    for c, own in zip(counts, w, strict=True):
+        best = None
+        for size in range(1, 5):
+            for langs in itertools.combinations(range(4), size):
+                p, r = np.full(size, 1 / size), q[list(langs)].astype(float)
+                for _ in range(400):
+                    p = p * ((c / (p @ r)) @ r.T) / c.sum()
+                value = (c * np.log(p @ r)).sum() - languages.PENALTY * np.log(c.sum() + 1) * (size - 1)
+                if best is None or value > best[0]:
+                    best = value, langs, p
+        assert set(np.flatnonzero(own)) == set(best[1]) and own[list(best[1])] == pytest.approx(best[2], abs=0.02)
+
+
+def test_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MOST_LABELS", 2)
+    df = spark.createDataFrame([(i, "text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        languages.identify(df)
+
+
 def test_mixtures():
     rng = np.random.default_rng(10)
     q = rng.dirichlet(np.full(200, 0.3), 4).astype(np.float32) + 1e-6
@@ -162,11 +306,52 @@ def test_leaks(spark, docs, empty):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()) == [4, 5, 6, 7]
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.filter("false")).count() == 0
-    decontaminate.BLOCK_BYTES, was = 300, decontaminate.BLOCK_BYTES
-    try:
-        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 0), (2, 1), (3, 2)}
-    finally:
-        decontaminate.BLOCK_BYTES = was
+    bits, bitmap = decontaminate._bitmap(decontaminate._by_seed(decontaminate._items(bench, "item_id", "text")))
+    assert (bits, bitmap.shape) == (16, (1 << 16,)) and 0 < bitmap.sum() <= 250
+
+
+def leaks_of(text, item):
+    """Overlaps of one text and one item by the operator's own steps."""
+    parts = []
+    for t in (text, item):
+        words, _, first = decontaminate.joined_words([t.encode()], True, decontaminate.SEPARATORS)
+        h, _, at = decontaminate.all_seeds(words, first)
+        parts.append((words, {x: at[h == x] for x in set(h.tolist())}))
+    hits = [(parts[0][1][h], parts[1][1][h]) for h in parts[0][1].keys() & parts[1][1].keys()]
+    return decontaminate.matches(parts[0][0], parts[1][0], hits) if hits else []
+
+
+def brute_leaks(text, item):
+    """The stated rule on every diagonal that a seed fits, word by word."""
+    a, b = (re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()) for t in (text, item))
+    if len(b) < 10:
+        return [(0, 0, len(b), len(b))] if a == b and b else []
+    found = []
+    for shift in range(-len(b), len(a) + 1):
+        low, high = max(0, -shift), min(len(b), len(a) - shift)
+        same = [b[i] == a[i + shift] for i in range(low, high)]
+        if any(all(same[i + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(len(same) - len(m) + 1)):
+            runs = decontaminate.overlaps(np.array(same), min(13, len(b)))
+            found += [(low + i + shift, low + i, j - i, sum(same[i:j])) for i, j in runs]
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(13)
+    pool = [f"w{i}" for i in range(40)]
+    bench = [" ".join(rng.choice(pool) for _ in range(rng.choice([1, 4, 9, 10, 12, 13, 30]))) for _ in range(12)] + ["la " * 50, "", None]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(20)] + [*bench, "la " * 80, bench[0]]
+    for t in bench[:12]:
+        words = [w if rng.random() > 0.1 else "zzz" for w in t.split()]
+        texts.append(" ".join([*rng.choices(pool, k=4), *words, *rng.choices(pool, k=5), *words]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    want = sorted((d, i, *m) for d, t in enumerate(texts) for i, b in enumerate(bench) for m in brute_leaks(t or "", b or ""))
+    got = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    assert got == want and len({r[0] for r in want}) > 12
+    again = docs.union(docs).union(spark.createDataFrame([(None, bench[6])], docs.schema))
+    assert decontaminate.find_leaks(again, items).count() == 2 * len(want) + sum(1 for r in want if texts[r[0]] == bench[6] and r[0] == 20 + 6)
+    assert decontaminate.drop_leaks(again, items).count() == 2 * (len(texts) - len({r[0] for r in want}))
 
 
 def test_overlaps_equal_the_rule():
@@ -190,14 +375,14 @@ def test_overlaps_equal_the_rule():
 def test_substituted_items_are_found():
     """A whole item of 13 words with up to 2 substitutions is found exactly if a seed fits."""
     words = [f"word{i}" for i in range(13)]
-    index, hit = decontaminate.Index([(1, " ".join(words))]), []
+    hit = []
     for n in range(4):
         for gone in itertools.combinations(range(13), n):
             seed = any(all(at + j not in gone for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(14 - len(m)))
             text = " ".join("zzz" if i in gone else w for i, w in enumerate(words))
-            assert index.matches([f"before {text} after"]) == [[(1, 1, 0, 13, 13 - n)] if seed and n < 3 else []]
+            assert leaks_of(f"before {text} after", " ".join(words)) == ([(1, 0, 13, 13 - n)] if seed and n < 3 else [])
             hit.append(seed and n == 2)
     assert sum(hit) > 30
     apart = [f"long{i}" for i in range(60)]
     text = " ".join(w if i < 20 or i >= 40 else "zzz" for i, w in enumerate(apart))
-    assert decontaminate.Index([(2, " ".join(apart))]).matches([text]) == [[(2, 0, 0, 20, 20), (2, 40, 40, 20, 20)]]
+    assert leaks_of(text, " ".join(apart)) == [(0, 0, 20, 20), (40, 40, 20, 20)]
