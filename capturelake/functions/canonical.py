@@ -58,26 +58,79 @@ def canonical_text(text: str) -> str:
     return out(json.loads(text), "$")
 
 
+def pruned_text(text: str, key: str) -> str:
+    """Canonical text of an object without one key."""
+    return canonical_text(json.dumps({k: v for k, v in json.loads(text).items() if k != key}))
+
+
 @F.pandas_udf(StringType())
 def _canonical_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda x: None if x is None else canonical_text(x))
 
 
-def canonicalise(text: Column, odd: bool = True) -> Column:
+@F.pandas_udf(StringType())
+def _pruned_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, keys in batches:
+        yield pd.Series([None if t is None else pruned_text(t, k) for t, k in zip(texts, keys, strict=True)])
+
+
+def _strange(text: Column) -> Column:
+    """Whether a text may hold numbers that JavaScript prints otherwise: exponents, many digits, very small ones."""
+    return text.rlike(r"(^|[:\[,])\s*-?([0-9]+(\.[0-9]+)?[eE]|[0-9.]{16}|0\.0000)")
+
+
+def canonicalise(text: Column) -> Column:
     """Canonical JSON of a text column, in the JVM; texts with numbers that JavaScript prints otherwise (exponents, more
-    than 15 digits) go through a helper if ``odd``. Text that is not JSON is an error."""
-    plain = F.to_json(F.parse_json(text))
-    if not odd:
-        return plain
-    strange = text.rlike(r"[0-9][eE][-+]?[0-9]|[0-9]{16}|0\.0000[0-9]")
-    return F.when(strange, _canonical_udf(F.when(strange, text))).otherwise(plain)
+    than 15 digits) go through a helper. Text that is not JSON is an error."""
+    strange = _strange(text)
+    return F.when(strange, _canonical_udf(F.when(strange, text))).otherwise(F.to_json(F.parse_json(text)))
 
 
 def prune_key(text: Column, key: str) -> Column:
     """Canonical text of an object without one key."""
+    strange = _strange(text)
     entries = F.from_json(text, "map<string,variant>")
-    return F.to_json(F.parse_json(F.to_json(F.map_filter(entries, lambda k, _: k != key))))
+    plain = F.to_json(F.parse_json(F.to_json(F.map_filter(entries, lambda k, _: k != key))))
+    return F.when(strange, _pruned_udf(F.when(strange, text), F.lit(key))).otherwise(plain)
+
+
+def number_text(x: Column) -> Column:
+    """A double as JavaScript prints it: no point for whole numbers, plain digits from 1e-6 up to 1e21, else an exponent."""
+    parts = F.split(F.abs(x).cast("string"), "E")
+    mantissa = F.get(parts, F.lit(0))
+    whole, fraction = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, fraction), "^0+", ""), "0+$", "")
+    lead = F.length(whole) - F.when(whole == "0", F.length(F.regexp_extract(fraction, "^(0*)", 1)) + 1).otherwise(0)
+    point = lead + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(n <= point, F.concat(digits, zeros(point - n)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    )
+    power = point - 1
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    far = F.concat(F.substring(digits, F.lit(1), F.lit(1)), tail, F.lit("e"), F.when(power > 0, "+").otherwise("-"), F.abs(power).cast("string"))
+    sized = F.when((point > -6) & (point <= 21), plain).otherwise(far)
+    text = F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), sized))
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(text)
+
+
+def fixed_text(x: Column, places: int) -> Column:
+    """A double to ``places`` digits after the point (at most 6), rounded by its exact binary value, halves away from zero:
+    1.005 is under its half and gives 1.00. Numbers of 1e15 and more are printed as by ``number_text``."""
+    size, scale = F.abs(x), 10.0**places
+    split = F.lit(134217729.0) * size
+    high = split - (split - size)
+    product = size * scale
+    error = (high * scale - product) + (size - high) * scale
+    low = F.floor(product)
+    units = low + F.when((product - low - 0.5) + error >= 0, 1).otherwise(0)
+    digits = F.lpad(units.cast("string"), F.greatest(F.length(units.cast("string")), F.lit(places + 1)), F.lit("0"))
+    cut = F.length(digits) - places
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.substring(digits, F.lit(1), cut), *([F.lit("."), F.substring(digits, cut + 1, F.lit(places))] if places else []))
+    return F.when(F.isnan(x) | (size >= 1e15), number_text(x)).otherwise(text)
 
 
 def sha256_hex(data: Column) -> Column:
@@ -86,7 +139,7 @@ def sha256_hex(data: Column) -> Column:
 
 def record_hash(text: Column) -> Column:
     """Hash of the whole record, signature included."""
-    return sha256_hex(canonicalise(text, odd=False))
+    return sha256_hex(canonicalise(text))
 
 
 def core_hash(text: Column) -> Column:
@@ -100,7 +153,7 @@ def to_hex(data: Column) -> Column:
 
 def from_hex(text: Column) -> Column:
     """Bytes of an even number of hex digits; anything else is an error."""
-    good = text.rlike("^([0-9a-fA-F]{2})*$")
+    good = (F.length(text) % 2 == 0) & ~text.rlike("[^0-9a-fA-F]")
     return F.when(text.isNull() | good, F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("not hex: "), text)).cast("binary"))
 
 
@@ -117,8 +170,6 @@ def key_fingerprint(curve: Column, x: Column, y: Column) -> Column:
     return F.substring(sha256_hex(F.concat_ws(".", curve, x, y)), 1, 32)
 
 
-
-
 def with_hashes(records: DataFrame, text: str = "record_json") -> DataFrame:
     """Add canonical record and core texts' hashes; the texts themselves are not carried."""
     return records.withColumns({"record_hash": record_hash(F.col(text)), "core_hash": core_hash(F.col(text))})

@@ -49,6 +49,11 @@ def card_patches(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(patch_rows(), schema)
 
 
+def sample_rows(inset: float = PATCH_INSET) -> list[tuple]:
+    """(patch_id, x, y, width, height) of the inner part of each patch that is read."""
+    return [(p[0], p[5] + p[7] * inset, p[6] + p[8] * inset, p[7] * (1 - 2 * inset), p[8] * (1 - 2 * inset)) for p in patch_rows()]
+
+
 def sample_rects(patches: DataFrame, inset: float = PATCH_INSET) -> DataFrame:
     """(patch_id, x, y, width, height): the inner part of each patch that is read."""
     return patches.select(

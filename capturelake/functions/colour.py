@@ -7,6 +7,7 @@ unless another white is given.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,10 +109,6 @@ def clamp01(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
-def clamp_rgb01(rgb: Triple) -> Triple:
-    return tuple(clamp01(c) for c in rgb)
-
-
 def rgb_to_rgb8(c: Column) -> Column:
     """The nearest of 256 levels, half up, after clamping."""
     return F.floor(clamp01(c) * 255 + 0.5).cast("int")
@@ -162,50 +159,96 @@ def delta_e_94(reference: Triple, sample: Triple) -> Column:
     return F.sqrt(dl * dl + F.pow(dc / (1 + 0.045 * c1), F.lit(2)) + dh2 / F.pow(1 + 0.015 * c1, F.lit(2)))
 
 
-def _delta_e_steps(reference: Triple, sample: Triple, out: str, weights) -> list[dict[str, Column]]:
-    """CIEDE2000 as steps of named columns, each in terms of those before it."""
-    kl, kc, kh = weights
-    c = lambda n: F.col(f"{out}__{n}")
-    steps = [
-        {"l1": reference[0], "a1": reference[1], "b1": reference[2], "l2": sample[0], "a2": sample[1], "b2": sample[2]},
-        {"c7": F.pow((F.hypot(c("a1"), c("b1")) + F.hypot(c("a2"), c("b2"))) / 2, F.lit(7))},
-        {"g": 1.5 - 0.5 * F.sqrt(c("c7") / (c("c7") + 25.0**7))},
-        {"p1": c("a1") * c("g"), "p2": c("a2") * c("g")},
-        {"k1": F.hypot(c("p1"), c("b1")), "k2": F.hypot(c("p2"), c("b2")), "t1": F.degrees(F.atan2(c("b1"), c("p1"))), "t2": F.degrees(F.atan2(c("b2"), c("p2")))},
-        {"h1": F.when(c("t1") < 0, c("t1") + 360).otherwise(c("t1")), "h2": F.when(c("t2") < 0, c("t2") + 360).otherwise(c("t2")), "grey": c("k1") * c("k2") == 0},
-        {"d": c("h2") - c("h1"), "s": c("h1") + c("h2")},
-        {
-            "turn": F.when(c("grey"), 0.0).when(c("d") > 180, c("d") - 360).when(c("d") < -180, c("d") + 360).otherwise(c("d")),
-            "h": F.when(c("grey"), c("s")).when(F.abs(c("d")) <= 180, c("s") / 2).when(c("s") < 360, (c("s") + 360) / 2).otherwise((c("s") - 360) / 2),
-            "l": (c("l1") + c("l2")) / 2,
-            "k": (c("k1") + c("k2")) / 2,
-        },
-        {
-            "t": 1 - 0.17 * F.cos(F.radians(c("h") - 30)) + 0.24 * F.cos(F.radians(2 * c("h"))) + 0.32 * F.cos(F.radians(3 * c("h") + 6)) - 0.2 * F.cos(F.radians(4 * c("h") - 63)),
-            "q": F.pow(c("l") - 50, F.lit(2)),
-            "k7": F.pow(c("k"), F.lit(7)),
-            "bend": F.radians(60 * F.exp(-F.pow((c("h") - 275) / 25, F.lit(2)))),
-        },
-        {
-            "dl": (c("l2") - c("l1")) / (kl * (1 + 0.015 * c("q") / F.sqrt(20 + c("q")))),
-            "dc": (c("k2") - c("k1")) / (kc * (1 + 0.045 * c("k"))),
-            "dh": 2 * F.sqrt(c("k1") * c("k2")) * F.sin(F.radians(c("turn") / 2)) / (kh * (1 + 0.015 * c("k") * c("t"))),
-            "r": -2 * F.sqrt(c("k7") / (c("k7") + 25.0**7)) * F.sin(c("bend")),
-        },
-    ]
-    total = c("dl") * c("dl") + c("dc") * c("dc") + c("dh") * c("dh") + c("r") * c("dc") * c("dh")
-    named = [{f"{out}__{n}": e for n, e in step.items()} for step in steps]
-    return [*named, {out: F.sqrt(F.greatest(F.lit(0.0), total))}]
+Step = Callable[[Callable[[str], str]], dict[str, str]]
+
+
+def each(items: str, *steps: Step) -> str:
+    """SQL of an array with further fields for every item, computed step by step: an array of struct<item, fields...>. A step
+    is given a function from the name of a field (of a step before it, or "item") to its SQL, and returns SQL by name; what
+    several later ones use is then evaluated once."""
+    known = ["item"]
+    out = f"transform({items}, x -> named_struct('item', x))"
+    for step in steps:
+        made = step(lambda n: f"s.{n}")
+        fields = ", ".join([*(f"'{n}', s.{n}" for n in known), *(f"'{n}', {e}" for n, e in made.items())])
+        out = f"transform({out}, s -> named_struct({fields}))"
+        known += made
+    return out
+
+
+def together(*sequences: list[Step]) -> list[Step]:
+    """Steps of several sequences of one length, taken side by side."""
+    return [lambda c, own=own: {n: e for step in own for n, e in step(c).items()} for own in zip(*sequences, strict=True)]
+
+
+def lab_steps(rgb: Callable, out: str) -> list[Step]:
+    """Steps for ``each``: linear light, given by ``rgb`` as a triple of SQL, to fields <out>L, <out>a and <out>b."""
+    red, green, blue = (f"{out}_{c}" for c in ("r", "g", "b_"))
+    xyz = [f"{out}_{c}" for c in "xyz"]
+    edge = lambda t: f"case when {t} > {EPSILON!r}D then cbrt({t}) else ({KAPPA!r}D * {t} + 16) / 116 end"
+    return [
+        lambda c: dict(zip((red, green, blue), rgb(c), strict=True)),
+        lambda c: {k: f"({m[0]!r}D * {c(red)} + {m[1]!r}D * {c(green)} + {m[2]!r}D * {c(blue)}) / {w!r}D" for k, m, w in zip(xyz, RGB_TO_XYZ, D65, strict=True)},
+        lambda c: {f"{k}f": edge(c(k)) for k in xyz},
+        lambda c: {f"{out}L": f"116 * {c(f'{out}_yf')} - 16", f"{out}a": f"500 * ({c(f'{out}_xf')} - {c(f'{out}_yf')})", f"{out}b": f"200 * ({c(f'{out}_yf')} - {c(f'{out}_zf')})"},
+    ]
+
+
+#: CIEDE2000 after the two Lab triples (l1, a1, b1) and (l2, a2, b2), step by step.
+_DELTA_E = (
+    {"c7": "power((hypot({a1}, {b1}) + hypot({a2}, {b2})) / 2, 7)"},
+    {"g": "1.5D - 0.5D * sqrt({c7} / ({c7} + 6103515625D))"},
+    {"p1": "{a1} * {g}", "p2": "{a2} * {g}"},
+    {"k1": "hypot({p1}, {b1})", "k2": "hypot({p2}, {b2})", "t1": "degrees(atan2({b1}, {p1}))", "t2": "degrees(atan2({b2}, {p2}))"},
+    {"h1": "case when {t1} < 0 then {t1} + 360 else {t1} end", "h2": "case when {t2} < 0 then {t2} + 360 else {t2} end", "grey": "{k1} * {k2} = 0"},
+    {"d": "{h2} - {h1}", "s": "{h1} + {h2}"},
+    {
+        "turn": "case when {grey} then 0D when {d} > 180 then {d} - 360 when {d} < -180 then {d} + 360 else {d} end",
+        "h": "case when {grey} then {s} when abs({d}) <= 180 then {s} / 2 when {s} < 360 then ({s} + 360) / 2 else ({s} - 360) / 2 end",
+        "l": "({l1} + {l2}) / 2",
+        "k": "({k1} + {k2}) / 2",
+    },
+    {
+        "t": "1 - 0.17D * cos(radians({h} - 30)) + 0.24D * cos(radians(2 * {h})) + 0.32D * cos(radians(3 * {h} + 6)) - 0.2D * cos(radians(4 * {h} - 63))",
+        "q": "power({l} - 50, 2)",
+        "k7": "power({k}, 7)",
+        "bend": "radians(60 * exp(-power(({h} - 275) / 25, 2)))",
+    },
+    {
+        "dl": "({l2} - {l1}) / ({kl}D * (1 + 0.015D * {q} / sqrt(20 + {q})))",
+        "dc": "({k2} - {k1}) / ({kc}D * (1 + 0.045D * {k}))",
+        "dh": "2 * sqrt({k1} * {k2}) * sin(radians({turn} / 2)) / ({kh}D * (1 + 0.015D * {k} * {t}))",
+        "r": "-2 * sqrt({k7} / ({k7} + 6103515625D)) * sin({bend})",
+    },
+    {"": "sqrt(greatest(0D, {dl} * {dl} + {dc} * {dc} + {dh} * {dh} + {r} * {dc} * {dh}))"},
+)
+_DELTA_E_FIELDS = ("l1", "a1", "b1", "l2", "a2", "b2", *(n for step in _DELTA_E for n in step if n))
+
+
+def delta_e_2000_steps(out: str, weights=(1.0, 1.0, 1.0)) -> list[Step]:
+    """CIEDE2000 of fields <out>__l1, a1, b1 and l2, a2, b2 as further steps: the last one makes ``out``."""
+    known = dict(zip(("kl", "kc", "kh"), map(repr, weights), strict=True))
+
+    def step(made: dict[str, str]) -> Step:
+        return lambda c: {f"{out}__{n}" if n else out: e.format(**known, **{f: c(f"{out}__{f}") for f in _DELTA_E_FIELDS}) for n, e in made.items()}
+
+    return [step(made) for made in _DELTA_E]
+
+
+def delta_e_2000_start(reference: Callable, sample: Callable, out: str) -> Step:
+    """The step before ``delta_e_2000_steps``: two Lab triples of SQL."""
+    return lambda c: dict(zip((f"{out}__{n}" for n in ("l1", "a1", "b1", "l2", "a2", "b2")), (*reference(c), *sample(c)), strict=True))
 
 
 def with_delta_es_2000(df: DataFrame, pairs: dict[str, tuple[Triple, Triple]], weights=(1.0, 1.0, 1.0)) -> DataFrame:
     """Add CIEDE2000 of several (reference, sample) pairs as columns of the given names. All are built step by step
     together, so that the plan stays small; helper columns are dropped."""
-    each = [_delta_e_steps(reference, sample, out, weights) for out, (reference, sample) in pairs.items()]
-    helpers = []
-    for steps in zip(*each, strict=True):
-        df = df.withColumns({n: e for step in steps for n, e in step.items()})
-        helpers += [n for step in steps for n in step if n not in pairs]
+    start = {f"{out}__{n}": c for out, (r, s) in pairs.items() for n, c in zip(("l1", "a1", "b1", "l2", "a2", "b2"), (*r, *s), strict=True)}
+    df, helpers = df.withColumns(start), [*start]
+    for step in together(*(delta_e_2000_steps(out, weights) for out in pairs)):
+        made = step(lambda n: f"`{n}`")
+        df = df.withColumns({n: F.expr(e) for n, e in made.items()})
+        helpers += [n for n in made if n not in pairs]
     return df.drop(*helpers)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from capturelake.functions.colour import hex_to_lab, with_delta_e_2000
@@ -25,7 +24,6 @@ OUTCOMES = (
     ("simons", "Simon's", "simons-blue", "Deep blue, consistent with a secondary amine such as MDMA", "positive", "#1c3f80", ("MDMA", "methamphetamine")),
 )
 PANELS = tuple(dict.fromkeys(o[0] for o in OUTCOMES))
-MOST_OUTCOMES = max(sum(o[0] == p for o in OUTCOMES) for p in PANELS)
 
 
 def outcome_rows() -> list[tuple]:
@@ -46,10 +44,6 @@ def panel_outcomes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(outcome_rows(), schema)
 
 
-def find_panel(outcomes: DataFrame, panel_id: str) -> DataFrame:
-    return outcomes.filter(F.col("panel_id") == panel_id).orderBy("outcome_pos")
-
-
 def panel_provenance(outcomes: DataFrame) -> DataFrame:
     """(panel_id, provenance, needs_verification): a panel is as good as its weakest reference."""
     rank = F.array_position(F.array(*map(F.lit, PROVENANCE_RANK)), F.col("provenance"))
@@ -90,7 +84,3 @@ def ordered_panels(outcomes: DataFrame) -> DataFrame:
         F.first("max_match").alias("max_match"), F.first("min_separation").alias("min_separation"),
     )
     return rows.join(panel_provenance(outcomes), "panel_id")
-
-
-def rank_by_position(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("delta_e", "outcome_pos")))

@@ -14,7 +14,8 @@ MOST_DISAGREEMENT = 6.0
 
 def patch_agreements(readings: DataFrame) -> DataFrame:
     """(card_serial, patch_id, slot, L, a, b, frames, agreement): component medians over frames, and the mean Delta E of
-    the frames to them. Of several readings of a patch in a frame the first counts (reading_pos)."""
+    the frames to them. Of several readings of a patch in a frame the first counts (reading_pos); one without a colour is none."""
+    readings = readings.filter("r is not null and g is not null and b is not null")
     lab = linear_rgb_to_lab((F.col("r"), F.col("g"), F.col("b")))
     first = readings.groupBy("card_serial", "frame_id", "patch_id").agg(F.min_by(F.struct("slot", "r", "g", "b"), "reading_pos").alias("x"))
     rows = first.select("card_serial", "frame_id", "patch_id", "x.*")

@@ -24,15 +24,15 @@ MARKER_SIZE = 8.0
 KEY_INNER = 1 / 3
 
 
-def _components(frame: pd.DataFrame) -> np.ndarray:
-    """Labels of 8-connected pixels: runs along rows, joined by union-find."""
-    order = np.lexsort((frame["x"].to_numpy(), frame["y"].to_numpy()))
-    x, y = frame["x"].to_numpy()[order], frame["y"].to_numpy()[order]
+def labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels of 8-connected pixels: runs along rows, joined by union-find. Labels rise with the first pixel, by rows."""
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(x)) - 1
-    row, low, high = y[first], x[first], x[last]
+    row, low, high = y[first].tolist(), x[first].tolist(), x[last].tolist()
     parent = list(range(len(first)))
 
     def root(i):
@@ -50,18 +50,34 @@ def _components(frame: pd.DataFrame) -> np.ndarray:
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
             j += 1
-    labels = np.array([root(i) for i in range(len(first))])
+    found = np.array([root(i) for i in range(len(first))], np.int64)
     out = np.empty(len(x), np.int64)
-    out[order] = labels[np.cumsum(new) - 1]
+    out[order] = found[np.cumsum(new) - 1]
     return out
 
 
 def dark_blobs(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(capture_id, x, y, blob_id): 8-connected parts of the pixels no brighter than their capture's threshold. One
-    capture's dark pixels are a group, bounded by the frame; blob ids count from the top row."""
-    dark = pixels.join(thresholds, KEY).filter("luma <= threshold").select(KEY, "x", "y")
-    schema = StructType([*dark.schema, StructField("blob_id", LongType())])
-    return dark.groupBy(KEY).applyInPandas(lambda f: f.assign(blob_id=_components(f)), schema)
+    """(capture_id, x, y, blob_id): 8-connected parts of the pixels no brighter than their capture's threshold. Whole captures
+    are labelled together, many to a batch, one under the other; blob ids are unique within a capture."""
+    dark = pixels.join(thresholds, KEY).filter("luma <= threshold").select(KEY, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole = held[KEY] != held[KEY].iloc[-1]
+            if whole.any():
+                yield named(held[whole])
+                held = held[~whole]
+        if held is not None and len(held):
+            yield named(held)
+
+    def named(frame):
+        capture, tall = pd.factorize(frame[KEY])[0], int(frame["y"].max() - frame["y"].min()) + 3
+        y = frame["y"].to_numpy() - int(frame["y"].min()) + capture * tall
+        return frame.assign(blob_id=labels(frame["x"].to_numpy(), y))
+
+    return dark.repartition(KEY).sortWithinPartitions(KEY).mapInPandas(run, StructType([*dark.schema, StructField("blob_id", LongType())]))
 
 
 def blob_moments(labelled: DataFrame) -> DataFrame:
@@ -71,6 +87,11 @@ def blob_moments(labelled: DataFrame) -> DataFrame:
         F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"),
         F.avg(F.col("x") * F.col("y")).alias("xy"),
     )
+    return moments(s)
+
+
+def moments(s: DataFrame, *more: str) -> DataFrame:
+    """Fill ratio, aspect and solidity of blobs given by area, box and means of x, y and their products."""
     c = F.col
     s = s.withColumns({"m20": c("xx") - c("cx") * c("cx") + 1 / 12, "m02": c("yy") - c("cy") * c("cy") + 1 / 12, "m11": c("xy") - c("cx") * c("cy")})
     s = s.withColumns({"mid": (c("m20") + c("m02")) / 2, "off": F.sqrt(F.pow((c("m20") - c("m02")) / 2, F.lit(2)) + c("m11") * c("m11"))})
@@ -78,15 +99,22 @@ def blob_moments(labelled: DataFrame) -> DataFrame:
     aspect = F.when(small > 1e-9, F.sqrt((c("mid") + c("off")) / F.when(small > 1e-9, small))).otherwise(float("inf"))
     solid = c("area") / (12 * F.sqrt(F.greatest((c("mid") + c("off")) * small, F.lit(1e-12))))
     fill = c("area") / ((c("max_x") - c("min_x") + 1) * (c("max_y") - c("min_y") + 1))
-    return s.select(KEY, "blob_id", "area", "min_x", "max_x", "min_y", "max_y", "cx", "cy", fill.alias("fill_ratio"), aspect.alias("aspect"), solid.alias("solidity"))
+    return s.select(KEY, "blob_id", "area", "min_x", "max_x", "min_y", "max_y", "cx", "cy", fill.alias("fill_ratio"), aspect.alias("aspect"), solid.alias("solidity"), *more)
 
 
-def marker_candidates(blobs: DataFrame, frames: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """Blobs that may be markers, the ``most`` largest of each capture (``frames``: capture_id, width, height), ranked."""
-    share = F.col("area") / (F.col("width") * F.col("height"))
+def best_markers(blobs: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Blobs that may be markers, the ``most`` largest of each capture, ranked (i). Needs the size of the frame in which they
+    were found, working_width and working_height."""
+    share = F.col("area") / (F.col("working_width") * F.col("working_height"))
     good = share.between(*AREA_SHARE) & (F.col("aspect") <= MOST_ASPECT) & F.col("solidity").between(*SOLIDITY)
     ranked = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("area"), "blob_id"))
-    return blobs.join(frames, KEY).filter(good).withColumn("i", ranked).filter(F.col("i") <= most)
+    return blobs.filter(good).withColumn("i", ranked).filter(F.col("i") <= most)
+
+
+def marker_candidates(blobs: DataFrame, frames: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """``best_markers`` of blobs of frames (capture_id, width, height) at full size."""
+    sizes = frames.select(KEY, F.col("width").alias("working_width"), F.col("height").alias("working_height"), F.lit(1.0).alias("scale"))
+    return best_markers(blobs.join(sizes, KEY), most)
 
 
 def _cyclic(blobs: Column) -> Column:
@@ -97,10 +125,11 @@ def _cyclic(blobs: Column) -> Column:
 
 
 def candidate_quads(candidates: DataFrame, most: int = QUADS) -> DataFrame:
-    """(capture_id, rank, score, corners): the best convex fours of a capture's candidates, in order round their centre.
+    """(capture_id, rank, score, corners): the best convex fours of a capture's candidates, in order round their centre, in
+    pixels of the full size.
 
     A capture has at most 14 candidates, so its fours are at most 1001; joins hold the capture's key."""
-    own = candidates.select(KEY, "i", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), "i", "area").alias("b"))
+    own = candidates.select(KEY, "i", F.struct((F.col("cx") / F.col("scale")).alias("x"), (F.col("cy") / F.col("scale")).alias("y"), "i", (F.col("area") / (F.col("scale") * F.col("scale"))).alias("area")).alias("b"))
     rows = own.select(KEY, F.col("i").alias("i0"), F.col("b").alias("b0"))
     for k in range(1, 4):
         more = own.select(KEY, F.col("i").alias(f"i{k}"), F.col("b").alias(f"b{k}"))
@@ -121,13 +150,13 @@ def candidate_quads(candidates: DataFrame, most: int = QUADS) -> DataFrame:
     return rows.withColumn("rank", rank).filter(c("rank") <= most).select(KEY, "rank", "score", "corners")
 
 
-def orientation_contrast(candidates: DataFrame, pixels: DataFrame, scale: float = 1.0) -> DataFrame:
+def orientation_contrast(candidates: DataFrame, pixels: DataFrame) -> DataFrame:
     """(capture_id, i, contrast): brightness of a blob's middle less that of four places round it, each a 5 x 5 grid at full
     resolution; 0 where either cannot be read."""
-    wide, high = (F.col("max_x") - F.col("min_x") + 1) / scale, (F.col("max_y") - F.col("min_y") + 1) / scale
+    wide, high = (F.col("max_x") - F.col("min_x") + 1) / F.col("scale"), (F.col("max_y") - F.col("min_y") + 1) / F.col("scale")
     places = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for p, dx, dy in ((0, 0.0, 0.0), (1, -0.36, 0.0), (2, 0.36, 0.0), (3, 0.0, -0.36), (4, 0.0, 0.36))))
     half = KEY_INNER * 0.3
-    probes = candidates.select(KEY, "i", (F.col("cx") / scale).alias("x"), (F.col("cy") / scale).alias("y"), wide.alias("w"), high.alias("h"), F.explode(places).alias("p"))
+    probes = candidates.select(KEY, "i", (F.col("cx") / F.col("scale")).alias("x"), (F.col("cy") / F.col("scale")).alias("y"), wide.alias("w"), high.alias("h"), F.explode(places).alias("p"))
     probes = probes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(24))))
     gx, gy = (F.col("cell") % 5) / 4 * 2 - 1, F.floor(F.col("cell") / 5) / 4 * 2 - 1
     px = F.col("x") + F.col("p.dx") * F.col("w") + gx * half * F.col("w")
@@ -139,14 +168,17 @@ def orientation_contrast(candidates: DataFrame, pixels: DataFrame, scale: float
 
 
 def detect_cards(pixels: DataFrame, frames: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``judged`` on pixel tables at full size; ``frames`` (capture_id, width, height) has a row for each."""
+    candidates = marker_candidates(blob_moments(dark_blobs(pixels, thresholds)), frames)
+    return judged(frames, candidates, orientation_contrast(candidates, pixels))
+
+
+def judged(frames: DataFrame, candidates: DataFrame, contrast: DataFrame) -> DataFrame:
     """One row a frame: ok, or the reason of failure; homography card -> image and back, aspect, contrast, coverage.
 
     Quads are tried in order of score and the first that passes every test counts; else the first quad's failure does. Frames
     under 120 pixels, with under four candidates or without a plausible quad fail before that."""
-    blobs = blob_moments(dark_blobs(pixels, thresholds))
-    candidates = marker_candidates(blobs, frames)
     counts = candidates.groupBy(KEY).agg(F.count("*").alias("candidates"))
-    contrast = orientation_contrast(candidates, pixels)
     quads = candidate_quads(candidates)
     parts = quads.select(KEY, "rank", F.posexplode("corners").alias("at", "b")).select(KEY, "rank", "at", F.col("b.i").alias("i"))
     keyed = parts.join(contrast, [KEY, "i"]).groupBy(KEY, "rank").agg(F.max_by(F.struct("at", "contrast"), F.struct("contrast", (-F.col("i")).alias("n"))).alias("k"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from capturelake.functions.canonical import fixed_text, number_text
+
 CSV_COLUMNS = (
     "chain_index", "record_id", "captured_at_utc", "operator_id", "case_reference", "panel", "capture_accepted", "category", "outcome",
     "confidence", "match_delta_e", "latitude", "longitude", "accuracy_m", "reference_provenance", "requires_lab_confirmation", "sync_state",
@@ -68,10 +70,6 @@ def update_sync_state(records: DataFrame, updates: DataFrame) -> DataFrame:
     return changed.select(*(F.coalesce("new_state", c).alias(c) if c == "sync_state" else F.col(c) for c in records.columns))
 
 
-def unknown_updates(records: DataFrame, updates: DataFrame) -> DataFrame:
-    return updates.join(records.select("record_id"), "record_id", "left_anti")
-
-
 def pending_sync(records: DataFrame) -> DataFrame:
     return records.filter(F.col("sync_state") == "pending")
 
@@ -84,18 +82,15 @@ def log_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def fixed(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x)
-
-
-def quoted(x: Column) -> Column:
-    """Quotes only around text with a quote, comma or line feed; null is empty."""
-    text = x.cast("string")
+def quoted(x: Column, kind: str = "string") -> Column:
+    """Quotes only around text with a quote, comma or line feed; null is empty; doubles as JavaScript prints them."""
+    text = number_text(x.cast("double")) if kind in ("double", "float") else x.cast("string")
     return F.when(text.isNull(), "").when(text.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
 def csv_lines(records: DataFrame) -> DataFrame:
     """(device_id, chain_index, line): one export line a record; columns a table lacks are empty."""
+    kinds = dict(records.dtypes)
     own = {"captured_at_utc": "captured_at", "panel": "panel_name", "outcome": "outcome_id"}
     cells = []
     for name in CSV_COLUMNS:
@@ -105,9 +100,9 @@ def csv_lines(records: DataFrame) -> DataFrame:
         elif column not in records.columns:
             cells.append(F.lit(""))
         elif name == "match_delta_e":
-            cells.append(F.coalesce(fixed(F.col(column), 2), F.lit("")))
+            cells.append(F.coalesce(fixed_text(F.col(column).cast("double"), 2), F.lit("")))
         else:
-            cells.append(quoted(F.col(column)))
+            cells.append(quoted(F.col(column), kinds[column]))
     return records.select("device_id", "chain_index", F.concat_ws(",", *cells).alias("line"))
 
 

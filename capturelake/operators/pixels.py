@@ -20,14 +20,14 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return (0.2126 * r + 0.7152 * g + 0.0722 * b) / 255
 
 
-def downscale(pixels: DataFrame, most: int) -> DataFrame:
-    """Block means by a whole factor that brings the longer side to ``most``; rows and columns beyond whole blocks go.
-    One aggregation by capture and block, combined before the shuffle."""
+def downscale(pixels: DataFrame, most: int, values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Block means of 8-bit ``values`` by a whole factor that brings the longer side to ``most``, as 8-bit levels (halves to the
+    even one); rows and columns beyond whole blocks go. One aggregation by capture and block, combined before the shuffle."""
     size = pixels.groupBy(KEY).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     size = size.withColumn("f", F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / most)).cast("int"))
     rows = pixels.join(size, KEY).filter((F.col("x") < F.floor(F.col("w") / F.col("f")) * F.col("f")) & (F.col("y") < F.floor(F.col("h") / F.col("f")) * F.col("f")))
     block = [F.floor(F.col(c) / F.col("f")).cast("int").alias(c) for c in "xy"]
-    return rows.groupBy(KEY, *block).agg(F.avg("luma").alias("luma"))
+    return rows.groupBy(KEY, *block).agg(*(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.avg(v)))).cast("int").alias(v) for v in values))
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -59,16 +59,17 @@ def focus_score(rows: DataFrame) -> DataFrame:
     return rows.select(KEY).distinct().join(found, KEY, "left").select(KEY, F.coalesce("focus_score", F.lit(0.0)).alias("focus_score"))
 
 
-def bilinear_probe(points: DataFrame, pixels: DataFrame, value: str = "luma") -> DataFrame:
-    """``points`` (capture_id, point_id, px, py) with ``value`` blended from four pixels; null outside the frame or for NaN. One
-    equality join on the pixel."""
+def bilinear_probe(points: DataFrame, pixels: DataFrame, *values: str) -> DataFrame:
+    """``points`` (capture_id, point_id, px, py) with ``values`` (luma, if none are named) blended from four pixels; null outside
+    the frame or for NaN. One equality join on the pixel, whatever the number of values."""
+    values = values or ("luma",)
     low = points.withColumns({"x0": F.floor("px").cast("int"), "y0": F.floor("py").cast("int")}).withColumns({"fx": F.col("px") - F.col("x0"), "fy": F.col("py") - F.col("y0")})
     finite = low.filter(~F.isnan("px") & ~F.isnan("py"))
     taps = [(0, 0, (1 - F.col("fx")) * (1 - F.col("fy"))), (1, 0, F.col("fx") * (1 - F.col("fy"))), (0, 1, (1 - F.col("fx")) * F.col("fy")), (1, 1, F.col("fx") * F.col("fy"))]
     tap = F.explode(F.array(*(F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"), w.alias("w")) for dx, dy, w in taps)))
     cells = finite.select(KEY, "point_id", tap.alias("t")).select(KEY, "point_id", "t.x", "t.y", "t.w").filter("w > 0")
-    joined = cells.join(pixels.select(KEY, "x", "y", F.col(value).alias("pv")), [KEY, "x", "y"], "left")
-    mixed = joined.groupBy(KEY, "point_id").agg(F.when(F.count("pv") == F.count("*"), F.sum(F.col("w") * F.col("pv"))).alias(value))
+    joined = cells.join(pixels.select(KEY, "x", "y", *(F.col(v).alias(f"pv_{v}") for v in values)), [KEY, "x", "y"], "left")
+    mixed = joined.groupBy(KEY, "point_id").agg(*(F.when(F.count(f"pv_{v}") == F.count("*"), F.sum(F.col("w") * F.col(f"pv_{v}"))).alias(v) for v in values))
     return points.join(mixed, [KEY, "point_id"], "left")
 
 
@@ -96,10 +97,8 @@ def sample_regions(homographies: DataFrame, rects: DataFrame, pixels: DataFrame,
     points = homographies.crossJoin(F.broadcast(grid_points(rects, nx, ny)))
     x, y = apply_homography(F.col("h"), F.col("mx"), F.col("my"))
     points = points.select(KEY, "region_id", F.concat_ws(":", "region_id", "cell").alias("point_id"), x.alias("px"), y.alias("py"))
-    read = points
-    for c in "rgb":
-        own = bilinear_probe(points.select(KEY, "point_id", "px", "py"), pixels, c).select(KEY, "point_id", c)
-        read = read.join(own, [KEY, "point_id"], "left")
+    probed = bilinear_probe(points.select(KEY, "point_id", "px", "py"), pixels, "r", "g", "b")
+    read = points.join(probed.select(KEY, "point_id", *"rgb"), [KEY, "point_id"], "left")
     clipped = F.greatest(*(F.when((F.col(c) <= DARK_END) | (F.col(c) >= BRIGHT_END), 1).otherwise(0) for c in "rgb"))
     counts = read.groupBy(KEY, "region_id").agg(
         F.count("r").alias("count"), (1 - F.count("r") / F.count("*")).alias("out_fraction"),

@@ -34,6 +34,15 @@ def xyz_of(r: str, g: str, b: str, pre: str) -> str:
     return ", ".join(f"{p}::double*{r}+{q}::double*{g}+{s}::double*{b} as {pre}{n}" for n, (p, q, s) in zip("xyz", m, strict=True))
 
 
+def linear_of_lab(l: str, a: str, b: str, pre: str) -> str:  # noqa: E741
+    """Select items <pre>r, <pre>g, <pre>b: linear light of a Lab triple, by the inverse of the sRGB matrix."""
+    cubed = lambda t: f"case when pow({t},3) > 216.0/24389 then pow({t},3) else (116*{t}-16)/(24389.0/27) end"
+    m = ((3.2409699419045213, -1.5373831775700935, -0.4986107602930033), (-0.9692436362808798, 1.8759675015077206, 0.04155505740717561), (0.05563007969699361, -0.20397695888897657, 1.0569715142428786))
+    y = f"(({l}+16)/116.0)"
+    parts = [f"{y}+{a}/500.0 as {pre}fx, {y} as {pre}fy, {y}-{b}/200.0 as {pre}fz", f"({cubed(f'{pre}fx')})*0.9504559270516716::double as {pre}x, {cubed(f'{pre}fy')} as {pre}y, ({cubed(f'{pre}fz')})*1.0890577507598784::double as {pre}z"]
+    return ", ".join([*parts, *(f"{p}::double*{pre}x+{q}::double*{pre}y+{s}::double*{pre}z as {pre}{n}" for n, (p, q, s) in zip("rgb", m, strict=True))])
+
+
 def linear_of(c: str) -> str:
     return f"case when abs({c}) <= 0.04045 then {c}/12.92 else sign({c})*pow((abs({c})+0.055)/1.055, 2.4) end"
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from capturelake.functions.card import card_patches
+from capturelake.functions import signature
+from capturelake.functions.card import HEIGHT, MARKERS, WIDTH, card_patches, patch_rows
 from capturelake.functions.panels import PANELS, panel_outcomes
 
 #: (event type, gains of red, green and blue) of the five illuminants; an event takes one by its id.
@@ -71,13 +72,13 @@ def v_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration readings: one frame for every third event of a card (its user)."""
+    """Calibration readings: one frame for every event of a card (its user). Some readings have no colour."""
     e, slot = F.col("event_id"), F.col("slot")
-    rows = table(spark, sf_dir, "events").filter(e % 3 == 0).select(e, "user_id").crossJoin(F.broadcast(card_patches(spark)))
+    rows = table(spark, sf_dir, "events").select(e, "user_id").crossJoin(F.broadcast(card_patches(spark)))
     wild = F.when((F.col("user_id") % 5 == 0) & (e % 2 == 0), 0.25).otherwise(0.0)
     jitter = ((e * 13 + slot * 7) % 11) * 0.002 + wild
-    kept = rows.filter(~((F.col("user_id") % 7 == 0) & (slot == 11) & (e % 4 == 0)))
-    return kept.select(F.col("user_id").alias("card_serial"), e.alias("frame_id"), slot.alias("reading_pos"), "patch_id", "slot", *((F.col(f"ref_{c}") + jitter).alias(c) for c in "rgb"))
+    there = ~((F.col("user_id") % 7 == 0) & (slot == 11) & (e % 4 == 0))
+    return rows.select(F.col("user_id").alias("card_serial"), e.alias("frame_id"), slot.alias("reading_pos"), "patch_id", "slot", *(F.when(there, F.col(f"ref_{c}") + jitter).alias(c) for c in "rgb"))
 
 
 def v_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,111 @@ def v_row_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("capture_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "all").select("capture_id", "y", F.slice("all", F.col("y") * 8 + 1, 8).alias("row"))
 
 
+FRAME_SCHEMA = "capture_id long, width int, height int, data binary, h array<double>"
+SMALL, BLANK, HIDDEN, UNMARKED, SWOLLEN, DENTED = 1, 2, 3, 4, 5, 6
+
+
+def _place(v: int) -> tuple[int, int, list[float]]:
+    """Size of a frame, and its homography from card millimetres to pixels."""
+    k = 0.4 if v % 8 == SMALL else 3.0 if v % 40 == 0 else 1.0
+    s = 2.2
+    h = [s * (1 + 0.01 * (v % 5)), 0.05 * (v % 3), 12 + v % 7, 0.04 * (v % 4), s * (1 + 0.01 * (v % 3)), 14 + v % 5, 0.00008 * (v % 3), 0.00006 * (v % 4), 1.0]
+    return int(240 * k), int(160 * k), [x * k if i < 6 else x for i, x in enumerate(h)]
+
+
+def _draw(v: int, noise: list[float]):
+    """A photograph of the card: patches with levels darkened by the row's number, markers, a background of the row's values.
+    By the number modulo 8 it is too small, shows no card, hides a marker, lacks the mark in the first marker, has a swollen
+    marker, or has one of four marks inside the triangle of the others."""
+    import numpy as np
+
+    width, height, h = _place(v)
+    y, x = np.mgrid[0:height, 0:width].astype(float)
+    image = np.empty((height, width, 3), np.uint8)
+    level = 170 + np.rint(4 * np.clip(np.array(noise), -1, 1)).astype(np.int64)
+    image[:] = level[(x + 7 * y).astype(np.int64) % len(level)][:, :, None]
+    m = np.linalg.inv(np.array(h).reshape(3, 3))
+    w = m[2, 0] * x + m[2, 1] * y + m[2, 2]
+    mx, my = (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / w, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / w
+    kind = v % 8
+    if kind == BLANK:
+        return width, height, image, None
+    image[(mx >= 0) & (mx <= WIDTH) & (my >= 0) & (my <= HEIGHT)] = 236
+    if kind == DENTED:
+        for cx, cy in ((10, 8), (78, 8), (44, 46), (44, 20)):
+            image[(np.abs(mx - cx) <= 4) & (np.abs(my - cy) <= 4)] = 14
+        return width, height, image, None
+    for row in patch_rows():
+        px, py, pw, ph, colour = row[5], row[6], row[7], row[8], row[11]
+        image[(mx >= px) & (mx <= px + pw) & (my >= py) & (my <= py + ph)] = [int(colour[i : i + 2], 16) * (200 + v % 50) // 250 for i in (1, 3, 5)]
+    for i, (cx, cy) in enumerate(MARKERS):
+        half = 4 * (1.55 if kind == SWOLLEN and i == 2 else 1)
+        if kind != HIDDEN or i != 3:
+            image[(np.abs(mx - cx) <= half) & (np.abs(my - cy) <= half)] = 14
+        if i == 0 and kind != UNMARKED:
+            image[(np.abs(mx - cx) <= 4 / 3) & (np.abs(my - cy) <= 4 / 3)] = 236
+    return width, height, image, h
+
+
+def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One photograph for each row of embeddings: (capture_id, width, height, data, h); h is null where there is no card."""
+
+    import pyarrow as pa
+
+    schema = pa.schema([("capture_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary()), ("h", pa.list_(pa.float64()))])
+
+    def run(batches):
+        for batch in batches:
+            for v, noise in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width, height, image, h = _draw(v, noise)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((v, width, height, image.tobytes(), h), schema, strict=True)], schema=schema)
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, FRAME_SCHEMA)
+
+
+SECRETS = 16
+
+
+def v_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, record_json, x, y, sig): a record of each event with a signature by one of a few keys over its canonical core
+    text. By the event's number modulo 10 the record is edited, the key or the signature spoilt."""
+    import base64
+
+    import pandas as pd
+
+    text = lambda n: base64.urlsafe_b64encode(n.to_bytes(32, "big")).decode().rstrip("=")
+    nonce = 123456789
+    r = signature.point_times([(nonce, signature.G)])[0] % signature.N
+    keys = []
+    for i in range(SECRETS):
+        secret = 987654321 + 1000003 * i
+        keys.append((i, secret, *map(text, signature.point_times([(secret, signature.G)]))))
+
+    def sign(core, key):
+        import hashlib
+
+        inverse, out = pow(nonce, -1, signature.N), []
+        for c, k in zip(core, key, strict=True):
+            e = int.from_bytes(hashlib.sha256(c.encode()).digest(), "big")
+            s = inverse * (e + r * keys[k][1]) % signature.N
+            out.append(base64.urlsafe_b64encode(r.to_bytes(32, "big") + s.to_bytes(32, "big")).decode().rstrip("="))
+        return pd.Series(out)
+
+    sign = F.pandas_udf(sign, "string", F.PandasUDFType.SCALAR)
+    e, kind = F.col("event_id"), F.col("event_id") % 10
+    which = (F.col("user_id") % SECRETS).cast("int")
+    pick = lambda i: F.get(F.array(*(F.lit(k[i]) for k in keys)), which)
+    core = F.concat(F.lit('{"id":'), e.cast("string"), F.lit(',"type":"'), "event_type", F.lit('"}'))
+    rows = table(spark, sf_dir, "events").select(e, "event_type", which.alias("key"), core.alias("core"), pick(2).alias("x"), pick(3).alias("y"))
+    rows = rows.withColumn("sig", sign("core", "key"))
+    found = F.when(kind == 0, F.replace("core", F.lit('"type":"'), F.lit('"type":"not '))).otherwise(F.col("core"))
+    record = F.concat(F.lit('{"signature":{"v":1}, '), F.substring(found, F.lit(2), F.length(found)))
+    return rows.select(
+        e, record.alias("record_json"), F.sha2("core", 256).alias("signed_core_hash"), F.when(kind == 1, F.col("y")).otherwise(F.col("x")).alias("x"), "y",
+        F.when(kind == 2, F.substring("sig", 1, 80)).otherwise(F.col("sig")).alias("sig"), F.when(kind == 3, "RSA").otherwise("ECDSA-P256-SHA256").alias("algorithm"),
+    )
+
+
 def v_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homographies made from line items: (quad_id, part, h array of nine); lines of a part share theirs."""
     p, k = F.col("l_partkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")

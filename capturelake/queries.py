@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions import canonical, card, colour, geometry, panels, signature
-from capturelake.operators import analyse, calibrate, chain, classify, correction, detect, log, pixels, quality
+from capturelake.operators import analyse, calibrate, chain, classify, correction, detect, frames, log, pixels, quality
 from capturelake.plans import sql, views
+from capturelake.shared import shared_folder
 from capturelake.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,11 +221,15 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     linear = colour.lab_to_linear_rgb((F.col("L"), F.col("a"), F.col("b")))
     gain = [F.get(F.array(*(F.lit(g[i]) for g in views.GAINS)), (e % 5).cast("int")) for i in range(3)]
     return rows.select(
-        e.alias("capture_id"), F.col("user_id").alias("device_id"), "panel_id", *((c * g).alias(f"sample_{n}") for c, g, n in zip(linear, gain, "rgb", strict=True)),
+        e.alias("capture_id"), F.col("user_id").alias("device_id"), F.when(e % 89 == 0, "no-such-panel").otherwise(F.col("panel_id")).alias("panel_id"), *((c * g).alias(f"sample_{n}") for c, g, n in zip(linear, gain, "rgb", strict=True)),
         (e % 300 * 1.0 + 2).alias("focus_score"), ((e % 97) / 200.0).alias("card_coverage"), (1.1 + (e % 19) / 10.0).alias("quad_aspect"), ((e % 11) / 12.0).alias("orientation_contrast"),
         *(F.lit(0.5).alias(f"sample_raw_{c}") for c in "rgb"), *(((e % 29) / 60.0).alias(f"sample_std_{c}") for c in "rgb"),
         (e % 3 == 0).alias("has_per_patch_references"), (e % 6 == 0).alias("is_fully_measured"), (e % 101 != 0).alias("detection_ok"),
         F.concat(F.lit("rec-"), e.cast("string")).alias("record_id"), F.lit("2026-01-01T00:00:00.000Z").alias("captured_at"), F.when(e % 4 == 0, F.concat(F.lit("case "), e.cast("string"))).alias("case_reference"),
+        F.lit("no-card").alias("detection_reason"), F.concat(F.lit("op-"), (F.col("user_id") % 9).cast("string")).alias("operator_id"), F.when(e % 5 == 0, F.concat(F.lit('Op "'), F.col("user_id").cast("string"), F.lit('"'))).alias("operator_name"),
+        F.lit("web").alias("platform"), F.lit(330).alias("utc_offset_minutes"), F.when(e % 3 == 0, 12.0).alias("latitude"), F.when(e % 3 == 0, e.cast("double")).alias("longitude"), F.when(e % 3 == 0, 2.5).alias("accuracy_m"),
+        F.lit("denied").alias("location_unavailable_reason"), F.col("user_id").alias("card_serial"), F.sha2(e.cast("string"), 256).alias("image_sha256"), e.alias("image_bytes"), F.lit("image/png").alias("image_type"),
+        F.lit(1200).alias("image_width"), F.lit(800).alias("image_height"),
     )
 
 
@@ -234,8 +239,7 @@ def _quality_readings(spark, sf_dir):
     return views.v_readings(spark, sf_dir).withColumns({f"raw_{c}": F.lit(1.0) for c in "rgb"} | {f"std_{c}": spread for c in "rgb"})
 
 
-@query(f"""
-with {FITS}, lum as (select *, 0.2126*r+0.7152*g+0.0722*b as y from fits),
+QUALITY = f"""lum as (select *, 0.2126*r+0.7152*g+0.0722*b as y from fits),
 ramp as (select capture_id, y > lag(y) over (partition by capture_id order by ramp_pos) + 0.006 as up from lum where ramp_pos is not null),
 inv as (select capture_id, count(*) filter (where up) as n from ramp group by 1),
 met as (select capture_id, avg(clipped_fraction) as mc, max(clipped_fraction) as xc, max(y) filter (where ramp_pos is not null) as white, min(y) filter (where ramp_pos is not null) as black, max(((capture_id*3+slot)%40)/80.0) as spread,
@@ -243,11 +247,15 @@ met as (select capture_id, avg(clipped_fraction) as mc, max(clipped_fraction) as
     greatest(abs(any_value(m00)),abs(any_value(m11)),abs(any_value(m22)))/least(abs(any_value(m00)),abs(any_value(m11)),abs(any_value(m22))) as cast_r from lum group by 1),
 g as (select m.*, i.n as inversions, m.capture_id%300*1.0+2 as focus, (m.capture_id%97)/200.0 as cov, 1.1+(m.capture_id%19)/10.0 as asp, (m.capture_id%11)/12.0 as oc, ((m.capture_id%29)/60.0)/0.5 as sspread,
     case when m.capture_id%3=0 then 4 else 8 end as ml, case when m.capture_id%3=0 then 9 else 16 end as xl from met m join inv i using (capture_id)),
-codes as (select capture_id, focus, mc, white, inversions, md, cast_r, list_filter([
+codes as (select capture_id, focus, cov, grad, xd, mc, white, inversions, md, cast_r, list_filter([
     case when focus < 8 then 'out-of-focus!' end, case when cov < 0.06 then 'card-too-small!' end, case when mc > 0.12 or xc > 0.6 then 'overexposed!' end, case when white < 0.06 then 'underexposed!' end,
     case when spread > 0.45 then 'uneven-patch-illumination' end, case when asp < 1.15 or asp > 2.9 then 'card-too-oblique!' end, case when oc < 0.3 then 'weak-orientation-marker' end, case when inversions > 0 then 'grey-ramp-out-of-order!' end,
     case when md > ml or xd > xl then 'correction-poor-fit' end, case when md <= ml and xd > 2*md and xd > 8 then 'patch-fits-poorly' end, case when cast_r > 2.5 then 'extreme-colour-cast' end,
-    case when rej then 'illumination-fit-discarded' end, case when not rej and grad > 0.35 then 'uneven-lighting-across-card' end, case when sspread > 0.45 then 'sample-area-not-uniform' end, case when capture_id%6<>0 then 'calibration-not-measured' end], lambda x: x is not null) as found from g)
+    case when rej then 'illumination-fit-discarded' end, case when not rej and grad > 0.35 then 'uneven-lighting-across-card' end, case when sspread > 0.45 then 'sample-area-not-uniform' end, case when capture_id%6<>0 then 'calibration-not-measured' end], lambda x: x is not null) as found from g)"""
+
+
+@query(f"""
+with {FITS}, {QUALITY}
 select capture_id, array_to_string(found, ',') as issues, len(list_filter(found, lambda x: x like '%!')) = 0 as capture_ok, replace(list_filter(found, lambda x: x like '%!')[1], '!', '') as primary_rejection,
        {sql.r6("mc", "mean_patch_clipping")}, {sql.r6("white", "brightest_neutral")}, inversions as grey_ramp_inversions, {sql.r6("cast_r", "cast_ratio")} from codes
 """)
@@ -259,19 +267,88 @@ def quality_gates(spark, sf_dir):
     return done.select("capture_id", codes.alias("issues"), "capture_ok", "primary_rejection", r6(F.col("mean_patch_clipping"), "mean_patch_clipping"), r6(F.col("brightest_neutral"), "brightest_neutral"), F.col("grey_ramp_inversions").cast("long").alias("grey_ramp_inversions"), r6(F.col("cast_ratio"), "cast_ratio"))
 
 
-@query()
+PANELS_OF = f"(select distinct panel_id, panel_name from (values {', '.join(f'({sql.text(o[0])}, {sql.text(o[1])})' for o in dict.fromkeys((x[0], x[1]) for x in panels.OUTCOMES))}) t(panel_id, panel_name))"
+ANALYSED = f"""{FITS}, {QUALITY}, {sql.SAMPLES},
+mats as (select capture_id, {", ".join(f"any_value(m{k}{i}) as m{k}{i}" for k in range(3) for i in range(4))} from fits group by 1),
+light as (select event_id, user_id, case when event_id%89=0 then 'no-such-panel' else panel_id end as panel_id, {sql.linear_of_lab("l", "a", "b", "q")} from samples),
+seen as (select e.*, {", ".join(f"m{k}0*qr*{sql.GAIN(0, views.GAINS)}+m{k}1*qg*{sql.GAIN(1, views.GAINS)}+m{k}2*qb*{sql.GAIN(2, views.GAINS)}+m{k}3 as s{c}" for k, c in enumerate("rgb"))} from light e join mats m on m.capture_id = e.event_id),
+labs0 as (select event_id, user_id, panel_id, {sql.xyz_of("sr", "sg", "sb", "v")} from seen), labs as (select *, {sql.lab_of("vx", "vy", "vz", "z")} from labs0),
+near0 as (select s.event_id, o.outcome_id, o.outcome_pos, o.label, o.category, o.max_match, o.min_separation, {sql.de2000("o.l", "o.a", "o.b", "s.zl", "s.za", "s.zb", "nd")} from labs s join outcomes o using (panel_id)),
+near as (select *, row_number() over (partition by event_id order by nd, outcome_pos) as nth from near0),
+tops as (select event_id, min(max_match) as mm, min(min_separation) as ms, min(nd) filter (where nth=1) as d1, min(nd) filter (where nth=2) as d2, min(outcome_id) filter (where nth=1) as o1,
+    min(category) filter (where nth=1) as c1, min(label) filter (where nth=1) as l1 from near group by 1),
+judged as (select s.event_id, s.user_id, s.panel_id, zl, za, zb, d1, d2-d1 as gap, case when d1 is null then 'unknown-panel' when d1 > mm then 'no-reference-match' when d2-d1 < ms then 'ambiguous-between-outcomes' end as why, o1, c1, l1,
+    k.found, focus, cov, grad, cast_r, md, xd, replace(list_filter(found, lambda x: x like '%!')[1], '!', '') as gate,
+    case when s.event_id%101=0 then 'detection' when len(list_filter(found, lambda x: x like '%!')) > 0 then 'quality' else 'complete' end as stage
+    from labs s left join tops t using (event_id) join codes k on k.capture_id = s.event_id),
+analysed as (select *, stage = 'complete' as accepted, case when stage = 'complete' and why is null then c1 else 'inconclusive' end as final_category, case when stage = 'complete' and why is null then o1 end as final_outcome,
+    case when stage <> 'complete' or why is not null then 'low' when d1 <= 8 and gap >= 20 then 'high' when d1 <= 16 and gap >= 12 then 'moderate' else 'low' end as final_confidence,
+    case when stage = 'detection' then 'no-card' when stage = 'quality' then gate end as rejection,
+    case when stage <> 'complete' then 'capture-rejected' else why end as final_reason,
+    case when stage <> 'complete' then 'Inconclusive, capture rejected: ' || case when stage = 'detection' then 'no-card' else gate end when why is null then l1
+        when why = 'unknown-panel' then 'Inconclusive: no such reagent panel' when why = 'no-reference-match' then 'Inconclusive: colour does not match any reference for this reagent' else 'Inconclusive: colour falls between two reference outcomes' end as final_label
+    from judged)"""
+
+
+@query(f"""
+with {ANALYSED} select event_id as capture_id, stage, accepted, final_category as category, final_outcome as outcome_id, final_confidence as confidence, final_label as label, {sql.r6("case when accepted then d1 end", "match_delta_e")} from analysed
+""")
 def analyse_captures(spark, sf_dir):
     done = analyse.analyse_captures(_quality_readings(spark, sf_dir), _captures(spark, sf_dir))
-    return done.select("capture_id", "stage", "accepted", "category", "outcome_id", "confidence", "label", r6(F.col("match_delta_e"), "match_delta_e"))
+    return done.select("capture_id", "stage", "accepted", "category", "outcome_id", "confidence", "label", r6(F.when(F.col("accepted"), F.col("match_delta_e")), "match_delta_e"))
+
+
+def _json(*members) -> str:
+    """SQL text of a JSON object: (name, SQL of its JSON text, keep nulls), in order."""
+    parts = [f"coalesce('\"{n}\":' || {v}, {sql.text(chr(34) + n + chr(34) + ':null') if keep else 'null'})" for n, v, keep in sorted(members)]
+    return "('{' || array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x is not null), ',') || '}')"
+
 
+def _quoted(v: str) -> str:
+    return f"('\"' || replace({v}, '\"', '\\\"') || '\"')"
 
-@query()
+
+def _measure(v: str, places: int) -> str:
+    whole = f"(floor(({v})*1e{places}+0.5)/1e{places})"
+    return f"(case when isfinite({v}) then regexp_replace(({whole}+0.0)::double::varchar, '\\.0$', '') end)"
+
+
+_RESULT = _json(
+    ("category", _quoted("final_category"), True), ("outcomeId", _quoted("final_outcome"), True), ("label", _quoted("final_label"), True), ("confidence", _quoted("final_confidence"), True),
+    ("matchDeltaE", _measure("case when accepted then d1 end", 4), True), ("separationDeltaE", _measure("case when accepted then gap end", 4), True), ("inconclusiveReason", _quoted("final_reason"), False),
+    ("referenceProvenance", "case when panel_name is not null then '\"placeholder\"' end", True), ("referenceNeedsVerification", "case when panel_name is not null then 'true' end", True), ("requiresLaboratoryConfirmation", "'true'", True),
+)
+_MEASUREMENT = _json(
+    ("sampleLab", _json(("L", _measure("zl", 4), True), ("a", _measure("za", 4), True), ("b", _measure("zb", 4), True)), True), ("correctionModel", "'\"affine3x4\"'", True), ("correctionMeanDeltaE", _measure("md", 4), True),
+    ("correctionMaxDeltaE", _measure("xd", 4), True), ("focusScore", _measure("focus", 3), True), ("cardCoverage", _measure("cov", 5), True), ("illuminationGradientStrength", _measure("grad", 4), True), ("colourCastRatio", _measure("cast_r", 4), True),
+)
+_CORE = _json(
+    ("schemaVersion", "'\"capture-record-1\"'", True), ("recordId", _quoted("'rec-' || event_id"), True), ("capturedAt", "'\"2026-01-01T00:00:00.000Z\"'", True), ("utcOffsetMinutes", "'330'", True),
+    ("operator", _json(("id", _quoted("'op-' || user_id%9"), True), ("displayName", _quoted("case when event_id%5=0 then 'Op \"' || user_id || '\"' end"), False)), True),
+    ("device", _json(("id", _quoted("user_id::varchar"), True), ("publicKeyFingerprint", "'null'", True), ("platform", "'\"web\"'", False)), True),
+    ("location", f"case when event_id%3=0 then {_json(('latitude', chr(39) + '12' + chr(39), True), ('longitude', _measure('event_id', 0), True), ('accuracyMetres', chr(39) + '2.5' + chr(39), True), ('altitudeMetres', chr(39) + 'null' + chr(39), True), ('fixedAt', chr(39) + 'null' + chr(39), True))} end", True),
+    ("locationUnavailableReason", "case when event_id%3<>0 then '\"denied\"' end", False), ("panelId", _quoted("panel_id"), True), ("panelName", _quoted("panel_name"), True),
+    ("caseReference", _quoted("case when event_id%4=0 then 'case ' || event_id end"), False), ("cardSpecVersion", "'\"card-3\"'", True), ("cardSerial", _quoted("user_id::varchar"), False), ("calibrationProvenance", "'\"nominal\"'", True),
+    ("captureAccepted", "accepted::varchar", True), ("rejectionReason", _quoted("rejection"), False), ("result", _RESULT, True), ("measurement", _MEASUREMENT, True),
+    ("qualityIssues", """('[' || array_to_string(list_transform(found, lambda x: '{"code":"' || replace(x, '!', '') || '","severity":"' || case when x like '%!' then 'reject' else 'warn' end || '"}'), ',') || ']')""", True),
+    ("image", _json(("sha256", _quoted("sha256(event_id::varchar)"), True), ("byteLength", _measure("event_id", 0), True), ("mimeType", "'\"image/png\"'", True), ("width", "'1200'", True), ("height", "'800'", True)), True),
+    ("chain", f"'{{\"index\":0,\"previousRecordHash\":\"{'0' * 64}\"}}'", True),
+)
+
+
+@query(f"""
+with {ANALYSED} select event_id as capture_id, user_id as device_id, 'rec-' || event_id as record_id, {_CORE} as record_json, sha256({_CORE}) as core_hash from analysed left join {PANELS_OF} using (panel_id)
+""")
 def record_cores(spark, sf_dir):
     done = analyse.build_record_cores(analyse.analyse_captures(_quality_readings(spark, sf_dir), _captures(spark, sf_dir)))
     return done.select("capture_id", "device_id", "record_id", "record_json", canonical.sha256_hex(F.col("record_json")).alias("core_hash"))
 
 
-@query()
+@query(f"""
+with {FITS}, lit as (select *, {", ".join(f"least(1.0, greatest(0.0, m{k}0*r/g0+m{k}1*g/g0+m{k}2*b/g0+m{k}3)) as c{c}" for k, c in enumerate("rgb"))} from (select *, case when used then gain else 1.0 end as g0 from fits)),
+enc as (select *, {", ".join(f"floor(least(1.0, greatest(0.0, case when c{c} <= 0.0031308 then c{c}*12.92 else 1.055*pow(c{c}, 1/2.4::double)-0.055 end))*255+0.5)::int as e{c}" for c in "rgb")} from lit)
+select capture_id, patch_id, printf('#%02x%02x%02x', er, eg, eb) as corrected_hex, {sql.r6("delta_e", "delta_e")}, {sql.r6("((capture_id*3+slot)%40)/80.0::double", "variation")}, ((capture_id*3+slot)%40)/80.0 > 0.45 as over_limit, {sql.r6("clipped_fraction::double*100", "clipped_percent")} from enc
+""")
 def patch_diagnostics(spark, sf_dir):
     """Per patch: corrected colour, Delta E, variation and clipping."""
     readings = _quality_readings(spark, sf_dir)
@@ -288,12 +365,12 @@ def patch_diagnostics(spark, sf_dir):
 
 CALIBRATION = f"""{sql.PATCHES}, cal as (
     select e.user_id as card_serial, e.event_id as frame_id, p.patch_id, p.slot, {", ".join(f"p.ref_{c} + ((e.event_id*13+p.slot*7)%11)*0.002::double + case when e.user_id%5=0 and e.event_id%2=0 then 0.25 else 0.0 end as {c}" for c in "rgb")}
-    from events e cross join patches p where e.event_id%3=0 and not (e.user_id%7=0 and p.slot=11 and e.event_id%4=0)),
+    from events e cross join patches p where not (e.user_id%7=0 and p.slot=11 and e.event_id%4=0)),
 lab0 as (select card_serial, frame_id, patch_id, slot, {sql.xyz_of("r", "g", "b", "q")} from cal), lab as (select *, {sql.lab_of("qx", "qy", "qz", "w")} from lab0),
 med as (select card_serial, patch_id, median(wl) as ml, median(wa) as ma, median(wb) as mb from lab group by 1, 2),
 far as (select lab.*, ml, ma, mb, {sql.de2000("ml", "ma", "mb", "wl", "wa", "wb", "d")} from lab join med using (card_serial, patch_id)),
 agree as (select card_serial, patch_id, slot, ml, ma, mb, count(*) as n, avg(d) as agreement from far group by all),
-frames as (select card_serial, count(distinct frame_id) as frame_count from cal group by 1),
+frames as (select user_id as card_serial, count(distinct event_id) as frame_count from events group by 1),
 cards as (select a.card_serial, any_value(frame_count) as frame_count, count(*) filter (where n = frame_count) as whole, min(slot) filter (where n <> frame_count) as short, max(agreement) as worst, avg(agreement) as mean, arg_max(patch_id, (agreement, slot)) as worst_patch
     from agree a join frames using (card_serial) group by 1),
 verdict as (select *, case when frame_count < 3 then 'too-few-frames' when whole < 12 then 'incomplete-patch-coverage' when worst > 6 then 'frames-disagree' end as reason from cards)"""
@@ -434,14 +511,15 @@ def append_batch(spark, sf_dir):
 
 
 @query("""
-select event_id, sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"t":"' || event_type || ' é"}') as core_hash,
-       sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"signature":{"v":1},"t":"' || event_type || ' é"}') as record_hash,
-       substring(sha256('P-256.x' || user_id || '.y' || event_id), 1, 32) as fingerprint from events
+with o as (select *, ['1e-7', '1e+21', '0.00001', '1234567890123456800', '5', '100000000000000000000'][event_id%6+1] as odd from events)
+select event_id, sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"o":' || odd || ',"t":"' || event_type || ' é"}') as core_hash,
+       sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"o":' || odd || ',"signature":{"v":1},"t":"' || event_type || ' é"}') as record_hash,
+       substring(sha256('P-256.x' || user_id || '.y' || event_id), 1, 32) as fingerprint from o
 """)
 def record_hashes(spark, sf_dir):
-    """Canonical hashes of JSON with unsorted keys, spaces, nulls, -0 and a signature."""
+    """Canonical hashes of JSON with unsorted keys, spaces, nulls, -0, odd numbers and a signature."""
     e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    text = F.concat(F.lit('{ "t" : "'), "event_type", F.lit(' é", "signature":{"v":1.0}, "n":[3, 1, {"y":'), u, F.lit(',"x":-0}], "id":'), e, F.lit(', "a":null }'))
+    text = F.concat(F.lit('{ "t" : "'), "event_type", F.lit(' é", "o": '), F.get(F.array(*(F.lit(x) for x in ("1e-7", "1E21", "0.00001", "1234567890123456789", "5.0", "1e20"))), (F.col("event_id") % 6).cast("int")), F.lit(', "signature":{"v":1.0}, "n":[3, 1, {"y":'), u, F.lit(',"x":-0}], "id":'), e, F.lit(', "a":null }'))
     rows = canonical.with_hashes(views.table(spark, sf_dir, "events").withColumn("record_json", text))
     finger = canonical.key_fingerprint(F.lit("P-256"), F.concat(F.lit("x"), u), F.concat(F.lit("y"), e))
     return rows.select("event_id", "core_hash", "record_hash", finger.alias("fingerprint"))
@@ -451,10 +529,10 @@ def record_hashes(spark, sf_dir):
 def image_hashes(spark, sf_dir):
     """Image bytes against the digests of their records, and both encodings there and back."""
     docs = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    digests = docs.select("doc_id", canonical.sha256_hex(F.col("data")).alias("image_hash"), (canonical.from_hex(canonical.to_hex(F.substring("data", 1, 99))) == F.substring("data", 1, 99)).alias("hex_back"), (canonical.from_base64url(canonical.to_base64url(F.col("data"))) == F.col("data")).alias("base64url_back"))
-    records = digests.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("0")).otherwise(F.col("image_hash")).alias("signed_image_hash"))
-    checked = records.join(digests, "doc_id", "left").withColumns({"algorithm": F.lit("ECDSA-P256-SHA256"), "core_hash": F.lit("x"), "signed_core_hash": F.lit("x"), "key_ok": F.lit(True), "signature_ok": F.lit(True)})
-    return chain.verify_records(checked).select("doc_id", F.col("image_hash").alias("sha256"), "hex_back", "base64url_back", F.array_contains("failures", "image-hash-mismatch").alias("mismatch"))
+    there = {"hex_back": canonical.from_hex(canonical.to_hex(F.col("data"))) == F.col("data"), "base64url_back": canonical.from_base64url(canonical.to_base64url(F.col("data"))) == F.col("data")}
+    rows = docs.select("doc_id", canonical.sha256_hex(F.col("data")).alias("image_hash"), *(c.alias(n) for n, c in there.items()))
+    rows = rows.withColumns({"signed_image_hash": F.when(F.col("doc_id") % 7 == 0, F.lit("0")).otherwise(F.col("image_hash")), "algorithm": F.lit("ECDSA-P256-SHA256"), "core_hash": F.lit("x"), "signed_core_hash": F.lit("x"), "key_ok": F.lit(True), "signature_ok": F.lit(True)})
+    return chain.verify_records(rows).select("doc_id", F.col("image_hash").alias("sha256"), "hex_back", "base64url_back", F.array_contains("failures", "image-hash-mismatch").alias("mismatch"))
 
 
 @query("""
@@ -511,11 +589,20 @@ def log_summary(spark, sf_dir):
 @query(f"""
 with {NUMBERED}, names as (select * from (values {", ".join(f"({sql.text(o[0])}, {sql.text(o[1])})" for o in dict.fromkeys((x[0], x[1]) for x in panels.OUTCOMES))}) t(panel_id, panel_name))
 select device_id, chain_index, chain_index || ',' || record_id || ',' || captured_at || ',' || operator_id || ',' ||
-    coalesce('"' || replace(case_reference, '"', '""') || '"', '') || ',' || panel_name || ',' || accepted || ',' || category || ',,,' || printf('%.2f', match_delta_e::double) || ',,,,,yes,' || sync_state as line
+    coalesce('"' || replace(case_reference, '"', '""') || '"', '') || ',' || panel_name || ',' || accepted || ',' || category || ',,,' ||
+    case when event_id*37%2000*8%1000 = 0 then printf('%.2f', floor((event_id*37%2000)/10.0::double+0.5)/100) else printf('%.2f', (event_id*37%2000)/1000.0::double) end || ',' ||
+    case event_id%6 when 0 then '12' when 1 then '-0.5' when 2 then '0.00005' when 3 then '1e-7' when 4 then '1e+21' else '' end || ',' || event_id || ',' ||
+    case event_id%3 when 0 then '12345678.25' when 1 then '-3' else '0.1' end || ',,yes,' || sync_state as line
 from numbered join names using (panel_id)
 """)
 def csv_export(spark, sf_dir):
-    return log.csv_lines(_log(spark, sf_dir))
+    """Lines of all records, with distances on the border of two roundings and whole, small and large coordinates."""
+    e = F.col("event_id")
+    odd = lambda values, n: F.get(F.array(*(F.lit(v) for v in values)), (e % n).cast("int"))
+    rows = _log(spark, sf_dir).withColumns(
+        {"match_delta_e": (e * 37 % 2000) / F.lit(1000.0), "latitude": odd((12.0, -0.5, 0.00005, 1e-7, 1e21, None), 6), "longitude": e.cast("double"), "accuracy_m": odd((12345678.25, -3.0, 0.1), 3)}
+    )
+    return log.csv_lines(rows)
 
 
 @query(f"with {NUMBERED} select record_id, case when event_id%3=0 then 'new' else sync_state end as sync_state from numbered where case when event_id%3=0 then true else sync_state = 'pending' end")
@@ -560,10 +647,14 @@ def focus_scores(spark, sf_dir):
     return pixels.focus_score(views.v_row_frames(spark, sf_dir)).select("capture_id", r6(F.col("focus_score"), "focus_score"))
 
 
-@query(f"with {FRAMES} select capture_id, x//3 as x, y//3 as y, {sql.r6('avg(luma)', 'luma')} from frames where x < 6 and y < 6 group by all")
+@query(f"""
+with {FRAMES}, lv as (select capture_id, x, y, floor(luma*255+0.5)::int as r, (floor(luma*255+0.5)::int * 7) % 256 as g, 255 - floor(luma*255+0.5)::int as b from frames)
+select capture_id, x//3 as x, y//3 as y, {", ".join(f"round_even(avg({c}), 0)::int as {c}" for c in "rgb")} from lv where x < 6 and y < 6 group by all
+""")
 def downscaled(spark, sf_dir):
-    done = pixels.downscale(views.v_mini_frames(spark, sf_dir), 3)
-    return done.select("capture_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), r6(F.col("luma"), "luma"))
+    level = F.floor(F.col("luma") * 255 + 0.5).cast("int")
+    rows = views.v_mini_frames(spark, sf_dir).withColumns({"r": level, "g": level * 7 % 256, "b": 255 - level})
+    return pixels.downscale(rows, 3).select("capture_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
 
 
 @query(f"""
@@ -580,21 +671,42 @@ def blob_moments(spark, sf_dir):
     return done.select("capture_id", "area", r6(F.col("cx"), "cx"), r6(F.col("cy"), "cy"), r6(F.col("solidity"), "solidity"))
 
 
-@query()
+def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The photographs as a table, drawn once."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/photos-{uuid.uuid4().hex}"
+    views.v_frames(spark, sf_dir).write.parquet(at)
+    return spark.read.schema(views.FRAME_SCHEMA).parquet(at)
+
+
+@query("select vec_id as capture_id, 4 as candidates, true as close from embeddings where vec_id%8 in (0, 4, 5, 7)")
 def candidate_quads(spark, sf_dir):
-    """Marker candidates of every frame and the best fours of them."""
-    frames = views.v_mini_frames(spark, sf_dir)
-    blobs = detect.blob_moments(detect.dark_blobs(frames, pixels.otsu(frames)))
-    sizes = frames.select("capture_id").distinct().withColumns({"width": F.lit(8), "height": F.lit(8)})
-    quads = detect.candidate_quads(detect.marker_candidates(blobs, sizes))
-    return quads.select("capture_id", "rank", r6(F.col("score"), "score"), F.array_join(F.transform("corners", lambda b: b["i"].cast("string")), ",").alias("corners"))
+    """The best four marker candidates of every photograph that has such, against where the markers were drawn."""
+    rows = _photos(spark, sf_dir)
+    found = detect.best_markers(frames.frame_blobs(rows))
+    counts = found.groupBy("capture_id").agg(F.count("*").cast("int").alias("candidates"))
+    quads = detect.candidate_quads(found).filter("rank = 1").join(rows.select("capture_id", "width", "h"), "capture_id").join(counts, "capture_id")
+    return quads.select("capture_id", "candidates", (_worst_marker(F.col("h"), F.col("corners")) < F.col("width") / 120).alias("close"))
+
+
+def _worst_marker(h, corners):
+    """Largest distance of a marker centre under ``h`` to the nearest of some corners."""
+    spots = [geometry.apply_homography(h, F.lit(x), F.lit(y)) for x, y in card.MARKERS]
+    nearest = lambda px, py: F.array_min(F.transform(corners, lambda c: F.hypot(c["x"] - px, c["y"] - py)))
+    return F.greatest(*(nearest(*spot) for spot in spots))
 
 
-@query()
+@query("""
+select vec_id as capture_id, vec_id%8 in (0, 7) as ok, case vec_id%8 when 1 then 'image-too-small' when 2 then 'too-few-marker-candidates' when 3 then 'too-few-marker-candidates'
+    when 4 then 'orientation-key-not-found' when 5 then 'marker-size-implausible' when 6 then 'no-plausible-quad' end as reason, case when vec_id%8 in (0, 7) then true end as close from embeddings
+""")
 def detect_cards(spark, sf_dir):
-    frames = views.v_mini_frames(spark, sf_dir)
-    sizes = frames.select("capture_id").distinct().withColumns({"width": F.lit(8), "height": F.lit(8)})
-    return detect.detect_cards(frames, sizes, pixels.otsu(frames)).select("capture_id", "ok", "reason", "candidates")
+    """Cards sought in every photograph; where one is found, its homography against that by which it was drawn."""
+    rows = _photos(spark, sf_dir)
+    done = frames.detect_frames(rows).join(rows.select("capture_id", "width", "h"), "capture_id")
+    corners = F.array(*(F.struct(*(c.alias(n) for c, n in zip(geometry.apply_homography(F.col("card_to_image"), F.lit(x), F.lit(y)), "xy", strict=True))) for x, y in card.MARKERS))
+    return done.select("capture_id", "ok", "reason", F.when(F.col("ok"), _worst_marker(F.col("h"), corners) < F.col("width") / 120).alias("close"))
 
 
 @query(f"""
@@ -619,23 +731,28 @@ def trimmed_means(spark, sf_dir):
     return done.select("capture_id", *(r6(F.col(c), c) for c in ("mean", "raw_mean", "deviation")), "n")
 
 
-@query()
+DRAWN = f"""{sql.PATCHES}, drawn as (select vec_id as capture_id, patch_id, {", ".join(f"('0x' || substr(hex, {i}, 2))::int * (200 + vec_id%50) // 250 as {c}8" for c, i in (("r", 2), ("g", 4), ("b", 6)))}
+    from embeddings cross join patches where vec_id%8 not in (2, 6))"""
+
+
+@query(f"""
+with {DRAWN} select capture_id, patch_id as region_id, {", ".join(sql.r6(sql.linear_of(f"({c}8/255.0::double)"), c) for c in "rgb")}, {", ".join(sql.r6(sql.linear_of(f"({c}8/255.0::double)"), f"raw_{c}") for c in "rgb")},
+    0.0::double as std_r, 0.0::double as clipped_fraction, 0.0::double as out_fraction, 384 as count from drawn
+""")
 def region_samples(spark, sf_dir):
-    """The card's patches read off every frame under one homography."""
-    frames = views.v_mini_frames(spark, sf_dir).withColumns({c: F.col("luma") for c in "rgb"})
-    h = F.array(*map(F.lit, (0.07, 0.0, 0.4, 0.0, 0.1, 0.5, 0.0001, 0.0002, 1.0)))
-    homographies = frames.select("capture_id").distinct().withColumn("h", h)
-    rects = card.sample_rects(card.card_patches(spark)).withColumnRenamed("patch_id", "region_id")
-    done = pixels.sample_regions(homographies, rects, frames, 4, 3)
-    return done.select("capture_id", "region_id", *(r6(F.col(c), c) for c in ("r", "raw_r", "std_r", "clipped_fraction", "out_fraction")), "count")
+    """The card's patches read off every photograph of a card, under the homography by which it was drawn."""
+    done = frames.sample_regions(views.v_frames(spark, sf_dir), card.sample_rows())
+    return done.select("capture_id", "region_id", *(r6(F.col(c), c) for c in ("r", "g", "b", "raw_r", "raw_g", "raw_b", "std_r", "clipped_fraction", "out_fraction")), "count")
 
 
-@query()
+@query(f"with {DRAWN} select capture_id, patch_id, printf('#%02x%02x%02x', r8, g8, b8) as hex, 1.0::double as inside from drawn")
 def rectified_cards(spark, sf_dir):
-    frames = views.v_mini_frames(spark, sf_dir)
-    h = F.array(*map(F.lit, (0.07, 0.0, 0.4, 0.0, 0.1, 0.5, 0.0001, 0.0002, 1.0)))
-    done = pixels.rectify(frames.select("capture_id").distinct().withColumn("h", h), frames, 12, 8, card.WIDTH, card.HEIGHT)
-    return done.select("capture_id", "x", "y", r6(F.col("luma"), "luma"))
+    """Every card flattened, and the colour at the centre of each of its patches."""
+    done = frames.rectify(views.v_frames(spark, sf_dir))
+    spots = F.array(*(F.struct(F.lit(p).alias("patch_id"), F.lit(x).alias("x"), F.lit(y).alias("y")) for p, x, y in ((r[0], int(r[9] * 445), int(r[10] * 270)) for r in card.patch_rows())))
+    rows = done.select("capture_id", "width", "data", "inside", F.explode(spots).alias("s"))
+    level = F.lower(F.hex(F.substring("data", 3 * (F.col("s.y") * F.col("width") + F.col("s.x")) + 1, F.lit(3))))
+    return rows.select("capture_id", "s.patch_id", F.concat(F.lit("#"), level).alias("hex"), "inside")
 
 
 # Geometry
@@ -687,28 +804,25 @@ def calibration_worksheet(spark, sf_dir):
 # Signatures and streams
 
 
-@query()
+@query("""
+select event_id, event_id%10 <> 1 as key_ok, event_id%10 > 2 as signature_ok, case event_id%10 when 0 then 'core-hash-mismatch,bad-signature' when 1 then 'malformed-public-key' when 2 then 'bad-signature'
+    when 3 then 'unsupported-algorithm' else '' end as failures, sha256('{"id":' || event_id || ',"type":"' || case when event_id%10=0 then 'not ' else '' end || event_type || '"}') as core_hash from events
+""")
 def verify_signatures(spark, sf_dir):
-    """Every record against a public key: keys of the given coordinates are malformed or off the curve, so all refuse. One
-    in fifty has the curve's base point as key and a signature that does not hold."""
-    g = [canonical.to_base64url(F.unhex(F.lit(f"{v:064x}"))) for v in signature.G]
-    e = F.col("event_id")
-    own = canonical.to_base64url(F.sha2(e.cast("string"), 256).cast("binary"))
-    rows = views.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"id":'), e.cast("string"), F.lit("}")).alias("core"), F.when(e % 50 == 0, g[0]).otherwise(own).alias("x"), F.when(e % 50 == 0, g[1]).otherwise(own).alias("y"), canonical.to_base64url(F.unhex(F.concat(F.sha2(e.cast("string"), 256), F.sha2(F.lit("s"), 256)))).alias("sig"))
-    checked = rows.repartition(8, "event_id").withColumn("v", signature.verify_signature(F.col("x"), F.col("y"), F.col("core"), F.col("sig")))
-    return checked.select("event_id", "v.key_ok", "v.signature_ok")
+    """Signed records of every event: hashes and signatures of their canonical cores, and all that fails."""
+    rows = views.v_signed(spark, sf_dir)
+    core = canonical.prune_key(F.col("record_json"), "signature")
+    rows = rows.withColumns({"core": core, "image_hash": F.lit(None).cast("string"), "signed_image_hash": F.lit(None).cast("string")}).withColumn("core_hash", canonical.sha256_hex(F.col("core")))
+    checked = rows.repartition("event_id").withColumn("v", signature.verify_signature(F.col("x"), F.col("y"), F.col("core"), F.col("sig")))
+    done = chain.verify_records(checked.withColumns({"key_ok": F.col("v.key_ok"), "signature_ok": F.col("v.signature_ok")}))
+    return done.select("event_id", "key_ok", "signature_ok", F.array_join("failures", ",").alias("failures"), "core_hash")
 
 
 def _streamed(spark: SparkSession, batch: DataFrame, make) -> DataFrame:
     """Write ``batch`` to the shared folder, run ``make`` over it as a stream until it is used up, and read the result."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     batch.write.parquet(f"{at}/in")
     source = spark.readStream.schema(batch.schema).parquet(f"{at}/in")
     job = make(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()

@@ -11,13 +11,32 @@ from pyspark.sql import functions as F
 
 from capturelake.operators.log import CSV_COLUMNS, csv_lines, export_manifest, json_lines
 
+MOST_PIXELS = 1 << 18
+
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, width, height, channels, data) of the photographs under a path; broken files drop out."""
-    images = spark.read.format("image").option("dropInvalid", "true").load(path)
+    """(origin, width, height, channels, data) of the photographs under a path; of a broken file the sizes are -1."""
+    images = spark.read.format("image").option("dropInvalid", "false").load(path)
     return images.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def rgb_frames(images: DataFrame, key: str = "origin") -> DataFrame:
+    """Photographs as rows for the frame operators: (capture_id, width, height, data: red, green, blue by rows). Grey ones are
+    spread over the three; those whose buffer does not fit their size are left out (``frames_to_pixels`` names them)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = batch[[w > 0 and h > 0 and len(d) == w * h * c for w, h, c, d in zip(batch["width"], batch["height"], batch["channels"], batch["data"], strict=True)]]
+            data = []
+            for c, d in zip(good["channels"], good["data"], strict=True):
+                a = np.frombuffer(d, np.uint8).reshape(-1, c)
+                data.append((np.repeat(a, 3, axis=1) if c == 1 else a[:, 2::-1]).tobytes())
+            yield pd.DataFrame({"capture_id": good[key], "width": good["width"], "height": good["height"], "data": data})
+
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, "width", "height", "channels", "data").mapInPandas(run, f"capture_id {kind}, width int, height int, data binary")
+
+
 def read_image_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256): files as they are kept; the bytes are hashed at the scan and go no further."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
@@ -35,23 +54,33 @@ def frames_to_pixels(frames: DataFrame) -> DataFrame:
                     continue
                 a = np.frombuffer(f.data, np.uint8).reshape(f.height, f.width, f.channels)
                 blue, green, red = (a[:, :, 0], a[:, :, 0], a[:, :, 0]) if f.channels == 1 else (a[:, :, 0], a[:, :, 1], a[:, :, 2])
-                y, x = np.divmod(np.arange(f.width * f.height), f.width)
-                yield pd.DataFrame({"origin": f.origin, "x": x, "y": y, "r": red.ravel(), "g": green.ravel(), "b": blue.ravel(), "error": None})
+                for at in range(0, f.width * f.height, MOST_PIXELS):
+                    y, x = np.divmod(np.arange(at, min(at + MOST_PIXELS, f.width * f.height)), f.width)
+                    yield pd.DataFrame({"origin": f.origin, "x": x, "y": y, "r": red[y, x], "g": green[y, x], "b": blue[y, x], "error": None})
 
     return frames.mapInPandas(run, "origin string, x int, y int, r int, g int, b int, error string")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record_json, pos, exported_at): the records of JSON export documents, as canonical text."""
+    """(record_json, pos, exported_at): the records of JSON export documents, as canonical text. A document is one row; exports of
+    any size are written by ``export_json`` and read by ``read_export``."""
     files = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
     rows = files.select(F.expr("doc:exportedAt::string").alias("exported_at"), F.expr("variant_get(doc, '$.records', 'array<variant>')").alias("records"))
     return rows.select("exported_at", F.posexplode("records").alias("pos", "r")).select("exported_at", "pos", F.to_json("r").alias("record_json"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Parquet by capture date, so that searches by time read only their days."""
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(record_json, exported_at) of a folder that ``export_json`` wrote, as canonical text."""
+    manifest = spark.read.schema("exportedAt string, recordCount long, note string").json(f"{path}/manifest")
+    lines = spark.read.text(f"{path}/records").select(F.to_json(F.parse_json("value")).alias("record_json"))
+    return lines.crossJoin(F.broadcast(manifest.select(F.col("exportedAt").alias("exported_at"))))  # one row
+
+
+def write_records(records: DataFrame, path: str, files: int = 16) -> None:
+    """Parquet by capture date, so that searches by time read only their days; a day is split over ``files`` tasks."""
     dated = records.withColumn("capture_date", F.substring("captured_at", 1, 10))
-    dated.repartition("capture_date").write.mode("overwrite").partitionBy("capture_date").parquet(path)
+    dealt = dated.repartition("capture_date", F.pmod(F.xxhash64("record_id"), F.lit(files)))
+    dealt.write.mode("overwrite").partitionBy("capture_date").parquet(path)
 
 
 def export_csv(records: DataFrame, path: str) -> None:

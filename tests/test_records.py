@@ -145,6 +145,181 @@ def test_card_is_found(spark):
     assert got.card_coverage == pytest.approx(75.9 * 41 * 16 / (w * h), rel=0.03)
 
 
+def test_cards_on_frames_and_pixels_agree(spark):
+    """The same drawn frames through the frame helpers and the pixel tables."""
+    from capturelake.operators import frames
+    from capturelake.plans import views
+
+    rows = []
+    for v in (2, 3, 4, 5, 6, 7, 8):
+        width, height, image, h = views._draw(v, [0.1, -0.3, 0.6])
+        rows.append((v, width, height, bytearray(image.tobytes()), h))
+    photos = spark.createDataFrame(rows, views.FRAME_SCHEMA)
+    got = {r.capture_id: r for r in frames.detect_frames(photos).collect()}
+    import pandas as pd
+
+    tall = []
+    for v, width, height, data, _ in rows:
+        y, x = np.divmod(np.arange(width * height), width)
+        luma = np.frombuffer(bytes(data), np.uint8).reshape(-1, 3) @ np.array([0.2126, 0.7152, 0.0722]) / 255
+        tall.append(pd.DataFrame({"capture_id": v, "x": x.astype(np.int32), "y": y.astype(np.int32), "luma": luma.astype(np.float32).astype(float)}))
+    pixel = spark.createDataFrame(pd.concat(tall))
+    want = detect.detect_cards(pixel, photos.select("capture_id", "width", "height"), pixels.otsu(pixel)).collect()
+    for w in want:
+        g = got[w.capture_id]
+        assert (g.ok, g.reason, g.candidates) == (w.ok, w.reason, w.candidates)
+        assert (g.card_to_image is None) == (w.card_to_image is None)
+        if g.ok:
+            assert g.card_to_image == pytest.approx(w.card_to_image, abs=1e-6) and g.card_coverage == pytest.approx(w.card_coverage)
+    assert {r.reason for r in want} == {None, "too-few-marker-candidates", "orientation-key-not-found", "marker-size-implausible", "no-plausible-quad"}
+
+
+def test_regions_and_flat_cards_on_frames_and_pixels_agree(spark):
+    from capturelake.operators import frames
+    from capturelake.plans import views
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (30, 40, 3)).astype(np.uint8)
+    h = [0.4, 0.01, 2.0, 0.02, 0.45, 1.0, 0.0001, 0.0002, 1.0]
+    photos = spark.createDataFrame([(1, 40, 30, bytearray(image.tobytes()), h), (2, 40, 30, bytearray(image.tobytes()), [0.0, 0.0, -5.0, 0.0, 0.0, -5.0, 0.0, 0.0, 1.0]), (3, 40, 30, bytearray(image.tobytes()), None)], views.FRAME_SCHEMA)
+    y, x = np.divmod(np.arange(1200), 40)
+    import pandas as pd
+
+    flat = image.reshape(-1, 3) / 255
+    one = pd.DataFrame({"x": x.astype(np.int32), "y": y.astype(np.int32), "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]})
+    pixel = spark.createDataFrame(pd.concat([one.assign(capture_id=1), one.assign(capture_id=2)]))
+    got = {(r.capture_id, r.region_id): r for r in frames.sample_regions(photos, card.sample_rows(), 6, 4).collect()}
+    rects = card.sample_rects(card.card_patches(spark)).withColumnRenamed("patch_id", "region_id")
+    for w in pixels.sample_regions(photos.filter("h is not null").select("capture_id", "h"), rects, pixel, 6, 4).collect():
+        g = got[w.capture_id, w.region_id]
+        assert g["count"] == w["count"] and g.out_fraction == pytest.approx(w.out_fraction)
+        for c in ("r", "g", "b", "raw_r", "raw_g", "raw_b", "std_r", "std_g", "std_b"):
+            assert g[c] == pytest.approx(w[c], abs=1e-9)
+        if w["count"]:
+            assert g.clipped_fraction == pytest.approx(w.clipped_fraction)
+    assert {k[0] for k in got} == {1, 2} and all(r["count"] == 0 for k, r in got.items() if k[0] == 2)
+    cards = {r.capture_id: r for r in frames.rectify(photos, (20, 12)).collect()}
+    grey = pixel.withColumn("luma", F.col("g"))
+    want = {(r.capture_id, r.x, r.y): r.luma for r in pixels.rectify(photos.filter("h is not null").select("capture_id", "h"), grey, 20, 12, card.WIDTH, card.HEIGHT).collect()}
+    for (c, px, py), luma in want.items():
+        assert np.frombuffer(bytes(cards[c].data), np.uint8).reshape(12, 20, 3)[py, px, 1] == round(luma * 255)
+    means = pixels.region_mean_luma(spark.createDataFrame([(1, "a", "p", 0.0, 0.0), (1, "a", "q", 39.0, 29.0), (1, "b", "r", -1.0, 0.0)], "capture_id long, region_id string, point_id string, px double, py double"), grey)
+    got_means = {r.region_id: r.mean_luma for r in means.collect()}
+    assert got_means["a"] == pytest.approx((flat[0, 1] + flat[-1, 1]) / 2) and got_means["b"] is None
+
+
+def test_blobs_of_frames_cut_over_batches(spark):
+    """Blobs of many frames, labelled together and in batches of few rows, against one flood fill a frame."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    grids = rng.random((20, 9, 7)) < 0.45
+    c, y, x = np.nonzero(np.ones(grids.shape, bool))
+    pixel = spark.createDataFrame(pd.DataFrame({"capture_id": c, "x": x.astype(np.int32), "y": y.astype(np.int32), "luma": np.where(grids.ravel(), 0.1, 0.9)}))
+    limits = pixel.select("capture_id").distinct().withColumn("threshold", F.lit(0.5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = detect.dark_blobs(pixel, limits).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == grids.sum()
+    for k, own in got.groupby("capture_id"):
+        blob = {(a, b): n for a, b, n in zip(own["x"], own["y"], own["blob_id"], strict=True)}
+        seen: dict = {}
+        for start in blob:
+            if start in seen:
+                continue
+            todo = [start]
+            while todo:
+                p = todo.pop()
+                if p in seen or p not in blob:
+                    continue
+                seen[p] = start
+                todo += [(p[0] + i, p[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert len({(blob[p], seen[p]) for p in blob}) == len(set(seen.values())) == len(set(blob.values())), k
+
+
+def test_numbers_are_printed_as_by_javascript(spark):
+    plain = {0.0: "0", -0.0: "0", 12.0: "12", -3.0: "-3", 0.5: "0.5", 1e-6: "0.000001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 1e21: "1e+21", 1e20: "100000000000000000000", 12345678.25: "12345678.25", 0.00005: "0.00005", 123456789012345680.0: "123456789012345680", 1.7976931348623157e308: "1.7976931348623157e+308", 0.1: "0.1", 100.0: "100", -1234.5e10: "-12345000000000"}
+    df = spark.createDataFrame([(x,) for x in plain], "x double")
+    assert [r[0] for r in df.select(canonical.number_text(F.col("x"))).collect()] == list(plain.values())
+    fixed = {1.005: "1.00", 2.675: "2.67", 0.125: "0.13", 0.375: "0.38", 1.45: "1.45", 8.345: "8.35", 10.235: "10.23", 0.0: "0.00", 5.0: "5.00", 0.004: "0.00", 0.995: "0.99", 99.995: "100.00", 1e15: "1000000000000000"}
+    df = spark.createDataFrame([(x,) for x in fixed], "x double")
+    from decimal import ROUND_HALF_UP, Decimal
+
+    got = [r[0] for r in df.select(canonical.fixed_text(F.col("x"), 2)).collect()]
+    assert got == [str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) if x < 1e15 else "1000000000000000" for x in fixed]
+    rng = np.random.default_rng(7)
+    many = [float(x) for x in np.concatenate([rng.uniform(0, 100, 300), rng.integers(0, 4000, 300) / 1000, rng.integers(0, 4000, 100) / 8])]
+    df = spark.createDataFrame([(x,) for x in many], "x double")
+    assert [r[0] for r in df.select(canonical.fixed_text(F.col("x"), 2)).collect()] == [str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) for x in many]
+
+
+def test_rejected_and_unknown_panels_keep_their_row(spark):
+    rows = [("marquis", 30.0, 30.0, -30.0), ("nonesuch", 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0), ("simons", None, None, None)]
+    df = spark.createDataFrame(rows, "panel_id string, L double, a double, b double")
+    got = {r.panel_id: r for r in classify.classify(df).collect()}
+    assert len(got) == 4 and got["nonesuch"].inconclusive_reason == got[None].inconclusive_reason == "unknown-panel"
+    assert got["nonesuch"].ranked == [] and got["nonesuch"].category == "inconclusive" and got["nonesuch"].match_delta_e is None
+    refused = {r.panel_id: r.label for r in classify.rejected_result(df.withColumn("reason", F.lit("dark"))).collect()}
+    assert len(refused) == 4 and refused[None] == "Inconclusive, capture rejected: dark"
+
+
+def test_every_model_and_null_readings(spark):
+    """Three models against numpy's least squares; patches without a colour do not count."""
+    rng = np.random.default_rng(11)
+    noise = {p[0]: rng.normal(0, 0.01, 3) for p in card.patch_rows()}
+    readings = _readings(spark, lambda p: [0.8 * c + 0.03 + e for c, e in zip(p[15:18], noise[p[0]], strict=True)])
+    lost = readings.withColumn("g", F.when(F.col("slot") != 4, F.col("g")))
+    for df, rows in ((readings, card.patch_rows()), (lost, [p for p in card.patch_rows() if p[3] != 4])):
+        x = np.array([[0.8 * c + 0.03 + e for c, e in zip(p[15:18], noise[p[0]], strict=True)] for p in rows])
+        y = np.array([p[15:18] for p in rows])
+        for model in ("linear3x3", "affine3x4"):
+            got = correction.fit_corrections(df, model, spatial=False).first()
+            a = np.hstack([x, np.ones((len(x), 1))]) if model == "affine3x4" else x
+            want = np.linalg.lstsq(a, y, rcond=None)[0].T
+            assert np.array(got.matrix)[:, : want.shape[1]] == pytest.approx(want, rel=1e-6)
+            assert got.patches_used == len(rows) and got.residual_linear == pytest.approx(np.sqrt(((a @ want.T - y) ** 2).sum(1).mean() / 3))
+        got = correction.fit_corrections(df, "diagonal", spatial=False).first()
+        assert [got.matrix[i][i] for i in range(3)] == pytest.approx(((x * y).sum(0) / (x * x).sum(0)).tolist())
+
+
+def test_photographs_and_exports_come_back(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(pixels_):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        raw = b"".join(b"\0" + bytes(row.ravel().tolist()) for row in pixels_)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels_.shape[1], pixels_.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    image = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    (tmp_path / "photos").mkdir()
+    (tmp_path / "photos" / "a.png").write_bytes(png(image))
+    (tmp_path / "photos" / "b.png").write_bytes(b"no photograph")
+    found = io.read_frames(spark, str(tmp_path / "photos"))
+    assert sorted((r.width, r.height) for r in found.collect()) == [(-1, -1), (4, 2)]
+    assert bytes(io.rgb_frames(found).first().data) == image.tobytes()
+    assert sorted(r.length for r in io.read_image_bytes(spark, str(tmp_path / "photos")).collect()) == sorted(f.stat().st_size for f in (tmp_path / "photos").iterdir())
+    records = spark.createDataFrame([(1, i, f'{{"b":{i},"a":"x"}}', f"2026-01-0{i + 1}T00:00:00.000Z", f"r{i}", i * 0.5) for i in range(5)], "device_id long, chain_index long, record_json string, captured_at string, record_id string, match_delta_e double")
+    io.export_json(records, str(tmp_path / "json"), "now", "a note")
+    back = io.read_export(spark, str(tmp_path / "json")).collect()
+    assert sorted((r.record_json, r.exported_at) for r in back) == [(f'{{"a":"x","b":{i}}}', "now") for i in range(5)]
+    io.export_csv(records, str(tmp_path / "csv"))
+    lines = [r.value for r in spark.read.text([str(tmp_path / "csv" / "1-lines")]).collect()]
+    assert sorted(lines)[0].startswith("0,r0,2026-01-01T00:00:00.000Z,") and len(lines) == 5
+    io.write_records(records, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).filter("capture_date = '2026-01-03'").first().record_id == "r2"
+
+
+def test_the_library_does_not_need_the_text_operators():
+    import pathlib
+
+    root = pathlib.Path(canonical.__file__).parents[1]
+    for f in root.rglob("*.py"):
+        assert f.is_relative_to(root / "llm") or "llm" not in f.read_text(), f
+
+
 def test_bad_frames_and_exports(spark, tmp_path):
     frames = spark.createDataFrame([("a", 2, 1, 3, bytearray([1, 2, 3, 4, 5, 6])), ("b", 2, 2, 3, bytearray([1]))], "origin string, width int, height int, channels int, data binary")
     got = [tuple(r) for r in io.frames_to_pixels(frames).orderBy("origin", "x").collect()]
@@ -152,3 +327,59 @@ def test_bad_frames_and_exports(spark, tmp_path):
     assert got[2][-1] == "buffer does not fit the size"
     (tmp_path / "x.json").write_text('{"exportedAt":"now","records":[{"b":1,"a":null},{"c":2}]}')
     assert [r.record_json for r in io.read_records(spark, str(tmp_path / "x.json")).orderBy("pos").collect()] == ['{"a":null,"b":1}', '{"c":2}']
+
+
+def test_ramp_forms_agree(spark):
+    """Inversions counted by a window and by the metrics' arrays."""
+    from capturelake.operators import quality
+
+    rng = np.random.default_rng(13)
+    parts = [_readings(spark, lambda p: rng.uniform(0, 1, 3), n) for n in range(1, 6)]
+    readings = parts[0]
+    for more in parts[1:]:
+        readings = readings.unionByName(more)
+    readings = readings.withColumns({f"{k}_{c}": F.lit(0.5) for k in ("raw", "std") for c in "rgb"})
+    captures = readings.select("capture_id").distinct().withColumns({f"sample_{k}_{c}": F.lit(0.5) for k in ("raw", "std") for c in "rgb"})
+    metrics = quality.quality_metrics(readings, captures, correction.fit_corrections(readings))
+    want = {r.capture_id: r.grey_ramp_inversions for r in quality.grey_ramp_inversions(readings).collect()}
+    assert {r.capture_id: r.grey_ramp_inversions for r in metrics.collect()} == want and len(set(want.values())) > 1
+
+
+def test_provenance_lookups_and_luma(spark):
+    from capturelake.functions import panels
+    from capturelake.operators import calibrate, log
+
+    rows = [("p", 0, "lab-verified"), ("p", 1, "placeholder"), ("q", 0, "lab-verified"), ("r", 0, "literature")]
+    df = spark.createDataFrame(rows, "panel_id string, outcome_pos int, provenance string")
+    got = {r.panel_id: (r.provenance, r.needs_verification) for r in panels.panel_provenance(df).collect()}
+    assert got["p"] == ("placeholder", True) and got["q"] == ("lab-verified", False) and got["r"][1]
+    records = spark.createDataFrame([("a", 1), ("b", 2)], "record_id string, n int")
+    assert [r.n for r in log.get(records, "b").collect()] == [2]
+    assert [r.n for r in chain.verify_one(records, "a").collect()] == [1]
+    level = spark.createDataFrame([(255.0, 255.0, 255.0), (100.0, 0.0, 0.0)], "r double, g double, b double").select(pixels.luma(*map(F.col, "rgb"))).collect()
+    assert [x[0] for x in level] == pytest.approx([1.0, 21.26 / 255])
+    frames = [(1, f, p[0], p[3], p[3], *[c + 0.001 * f for c in p[15:18]]) for f in range(3) for p in card.patch_rows()]
+    readings = spark.createDataFrame(frames, "card_serial long, frame_id long, patch_id string, slot int, reading_pos int, r double, g double, b double")
+    report, done = calibrate.calibration_report(readings).first(), calibrate.self_calibrate(readings).first()
+    assert done.ok and report.frame_count == done.frame_count == 3
+    assert (report.worst_agreement, report.mean_agreement) == (done.worst_agreement, done.mean_agreement)
+
+
+def test_record_cores_leave_absent_members_out(spark):
+    """A capture with the least context: null members are kept or absent as the format has it."""
+    import json
+
+    from capturelake.operators import analyse
+
+    readings = _readings(spark, lambda p: p[15:18]).withColumns({f"{k}_{c}": F.lit(0.5) for k in ("raw", "std") for c in "rgb"})
+    captures = spark.createDataFrame([(1, "d", None, 0.2, 0.2, 0.2, 100.0, 0.4, 1.8, 0.9, True, True, "r1", "t")], "capture_id int, device_id string, panel_id string, sample_r double, sample_g double, sample_b double, focus_score double, card_coverage double, quad_aspect double, orientation_contrast double, has_per_patch_references boolean, is_fully_measured boolean, record_id string, captured_at string")
+    captures = captures.withColumns({f"sample_{k}_{c}": F.lit(0.1) for k in ("raw", "std") for c in "rgb"}).withColumn("long_note", F.lit("x"))
+    done = analyse.analyse_captures(readings, captures)
+    core = json.loads(analyse.build_record_cores(done).first().record_json)
+    assert core["location"] is None and core["image"] is None and core["panelId"] is None and core["schemaVersion"] == "capture-record-1"
+    assert not {"locationUnavailableReason", "rectifiedImage", "caseReference", "operatorNotes", "kitLotNumber", "cardSerial"} & set(core)
+    assert core["chain"] == {"index": 0, "previousRecordHash": canonical.GENESIS} and core["operator"] == {"id": None} and core["calibrationProvenance"] == "nominal"
+    rich = done.withColumns({"operator_notes": F.lit("é" * 1_200_000), "latitude": F.lit(1.5), "longitude": F.lit(-2.0), "location_unavailable_reason": F.lit("denied"), "rectified_sha256": F.lit("s"), "rectified_bytes": F.lit(3), "chain_index": F.lit(7), "previous_hash": F.lit("h")})
+    core = json.loads(analyse.build_record_cores(rich).first().record_json)
+    assert len(core["operatorNotes"]) == 1_200_000 and core["location"]["longitude"] == -2 and "locationUnavailableReason" not in core
+    assert core["rectifiedImage"] == {"byteLength": 3, "height": None, "mimeType": None, "sha256": "s", "width": None} and core["chain"] == {"index": 7, "previousRecordHash": "h"}
