@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.text import blocks, cut_by, identified, joined_words, map_rows, mix, stored, text_bytes, window_hashes, word_factors
+from capturelake.llm.text import blocks, cut_by, identified, joined_words, map_columns, map_rows, mix, stored, text_bytes, window_hashes, word_factors
 
 #: The picked places of each seed.
 MASKS = ("1110111011", "110110011011", "1011010110101")
@@ -23,6 +23,8 @@ LEAST_SHARE = 0.8
 MISMATCH = -4
 #: Of bits in the bitmap, as a power of two: what the driver and each task hold is at most 8 MB.
 LEAST_BITS, MOST_BITS = 16, 26
+#: Bits of the bitmap for each seed, as far as it may grow, and the places at which a seed is marked.
+BITS_A_SEED, PROBES = 64, 4
 #: Leaking rows up to which they are sent to every task.
 FEW_ROWS = 100_000
 #: What parts words: everything in ASCII but letters and digits.
@@ -126,15 +128,46 @@ def _by_seed(rows: DataFrame) -> DataFrame:
     return map_rows(rows.select("n", "seeds", "places"), make, "h long, n long, at binary")
 
 
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The bit at which seeds are marked for the k-th time."""
+    return (mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h) >> np.uint64(64 - bits)
+
+
+def _marked(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes of which all bits are marked."""
+    near = np.arange(len(h))
+    for k in range(PROBES):
+        at = _probe(h[near], k, bits)
+        near = near[(bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+    return near
+
+
 def _bitmap(seeds_of: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits as a power of two, bitmap) of the upper bits of all seeds; at most 2**20 longs reach the driver."""
-    bits = min(MOST_BITS, max(LEAST_BITS, int(32 * seeds_of.count()).bit_length()))
-    place = seeds_of.select(F.shiftrightunsigned("h", 64 - bits).alias("p"))
-    rows = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).collect()
-    words = np.zeros(1 << bits - 6, np.int64)
-    for r in rows:
-        words[r["w"]] = r["b"]
-    return bits, np.unpackbits(words.view(np.uint8), bitorder="little")
+    """(bits as a power of two, bitmap in 64-bit words) of all seeds; at most 2**20 words reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_A_SEED * seeds_of.count()).bit_length()))
+
+    def make():
+        own = np.zeros(1 << bits - 6, np.uint64)
+
+        def each(hashes):
+            h = np.array(hashes, np.int64).view(np.uint64)
+            for k in range(PROBES):
+                at = _probe(h, k, bits)
+                np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            return ()
+
+        def rest():
+            at = np.flatnonzero(own)
+            for i in range(0, len(at), 1 << 16):
+                yield at[i : i + (1 << 16)], own[at[i : i + (1 << 16)]].view(np.int64)
+
+        each.rest = rest
+        return each
+
+    found = map_columns(seeds_of.select("h"), make, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[[r["w"] for r in found]] = np.array([r["b"] for r in found], np.int64).view(np.uint64)
+    return bits, words
 
 
 def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap) -> DataFrame:
@@ -148,7 +181,7 @@ def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap) -> DataFrame:
             for block in blocks(raws):
                 words, _, first = joined_words([raws[i] for i in block], True, SEPARATORS)
                 h, whose, at = all_seeds(words, first)
-                near = np.flatnonzero(seen[h >> np.uint64(64 - bits)])
+                near = _marked(seen, h, bits)
                 near = near[np.argsort(whose[near], kind="stable")]
                 for d, a, b in cut_by(whose[near]):
                     own, i = near[a:b], block.start + d

@@ -35,9 +35,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     judged on the input. Null texts count as empty, but stay null when nothing is removed. Texts with fewer lines than
     ``width`` are left alone. Rows that repeat a key and text are one document and share its result; a null key sorts
     before all others. Groups of equal windows are reduced before they are shuffled, so a line that every document has
-    costs one row a task.
+    costs one row a task. A column of a name that is
+    added is replaced.
     """
-    named = identified(docs, key, text).select(
+    named = identified(docs, key, text, "ld_n", "ld_removed", "ld_kept").select(
         "id_row", F.col("id_a").alias("ld_key"), F.col("id_b").alias("ld_text"), F.coalesce("id_text", F.lit("")).alias("ld_body"), F.col("id_text").isNull().alias("ld_null")
     )
     windows = _windows(named.select("ld_key", "ld_text", "ld_body"), width)

@@ -520,9 +520,10 @@ def link_classes(
     bits.
 
     Copies collapse by a partial aggregation; the sets of a hub are split by salts; the sets of a head are cut into
-    blocks of members and of sets looked up, so that a cell's memory is bounded. No bucket, list or partner is capped.
+    blocks of members and of sets looked up, so that a cell's memory is bounded. No bucket, list or partner is capped. A column of a name that is
+    added is replaced.
     """
-    named = identified(docs, key, text)
+    named = identified(docs, key, text, "ng_size", "ng_class")
     least = F.when(F.col("least") != NULL_KEY, F.col("least"))
     return named.join(_classes(named, words, percent, block), ["id_a", "id_b"]).select("id_row.*", F.col("n").alias("ng_size"), least.alias("ng_class"))
 

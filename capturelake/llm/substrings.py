@@ -244,11 +244,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     Words are runs of anything but 0x20 and 0x09-0x0D, unchanged. Null, empty and short texts have no window; rows with
     equal keys do not remove one another; a null key sorts before all. ``docs`` must be read from files (or a checkpoint):
     the first pass addresses texts by task and place. No group of equal passages is collected: a bucket holds hashes
-    of an even share of all windows, and places return packed by groups of texts.
+    of an even share of all windows, and places return packed by groups of texts. A column of a name that is
+    added is replaced.
     """
     block = (window + 1) // 2
     buckets = bucket_count(docs, text)
-    named = identified(docs, key, text)
+    named = identified(docs, key, text, "sb_windows")
     probes = _probes(named, block, buckets)
     hits = stored(by_bucket(probes, "bucket", _hits, "batch long, head binary, places binary", buckets), "hits")
     places = stored(by_bucket(hits, "batch", _by_text, "id_a long, id_b long, hits binary", buckets), "places")

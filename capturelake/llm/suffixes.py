@@ -346,8 +346,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """``docs`` with a column sd_spans: merged [start, end) bytes that lie in a ``width``-byte string which also starts
     anywhere else, in this text or another. Texts are UTF-8; null or short ones have no spans; matches never cross
     texts. Rows that repeat a key and text count as two places each and share their result. Anchors with more than
-    ``many`` different strings are grown; results are the same for any."""
-    named = identified(docs, key, text)
+    ``many`` different strings are grown; results are the same for any.A column of a name that is added is replaced."""
+    named = identified(docs, key, text, "sd_spans")
     every = stored(_find_runs(named, width, gram), "runs")
     shared = stored(every.groupBy("anchor").agg(F.count("*").alias("t")).filter("t > 1").select("anchor"), "anchors")
     found = stored(every.join(shared, "anchor", "left_semi"), "shared")

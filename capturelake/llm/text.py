@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from capturelake.shared import shared_folder
+
 OUT_ROWS = 2000
 #: Bytes of text for which an operator that deals hashes into buckets makes one bucket at least.
 BUCKET_BYTES = 16 << 20
@@ -70,19 +73,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str | StructTy
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back, which cuts the lineage."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -292,11 +284,12 @@ def map_columns(df: DataFrame, make: Callable[[], Callable], schema: str | Struc
     return df.mapInArrow(run, kind)
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+def identified(docs: DataFrame, key: str, text: str, *replaced: str) -> DataFrame:
     """(id_row, id_a, id_b, id_text): a whole row as a struct, so that no column name of it can clash, its key as a long that
-    is never null, a hash of its text, and the text. Rows that repeat key and text are one document."""
+    is never null, a hash of its text, and the text. Rows that repeat key and text are one document. Columns named
+    ``replaced`` are left out, as the operator gives columns of these names itself."""
     return docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in replaced)).alias("id_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"),
         F.xxhash64(text).alias("id_b"), F.col(text).alias("id_text"),
     )
 

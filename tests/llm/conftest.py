@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that the operators use inside.
-CLASHING = ("id_a", "id_b", "bucket", "s", "n", "at", "low", "rank", "item_id", "one", "batch")
+CLASHING = ("id_a", "id_b", "bucket", "s", "n", "at", "low", "rank", "item_id", "one", "batch", "a.b", "sd_spans", "sb_windows", "ng_size", "ld_removed", "own_key", "words")
 
 
 def passage(rng: random.Random, n: int) -> str:
