@@ -154,11 +154,12 @@ class Encoder(Library):
         which, distinct = pd.factorize(h)
         place = np.empty(len(distinct), np.int64)
         place[which[::-1]] = np.arange(len(which))[::-1]
-        cut = [text[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
-        cut = [u.lower() if p else u for u, p in zip(cut, plain[place].tolist(), strict=True)]
+        lower = text.lower()
+        cut = [(lower if p else text)[a:b] for p, a, b in zip(plain[place].tolist(), starts[place].tolist(), ends[place].tolist(), strict=True)]
         i, known = self._find(distinct)
         own = np.flatnonzero(known)
-        if not known.all() and len(self.hashes) > UNITS_KEPT or any(self.known[s] != cut[k] for s, k in zip(self.slot[i[own]].tolist(), own.tolist(), strict=True)):
+        kept = list(map(self.known.__getitem__, self.slot[i[own]].tolist()))
+        if not known.all() and len(self.hashes) > UNITS_KEPT or kept != list(map(cut.__getitem__, own.tolist())):
             self._forget()
             known[:] = False
         if not known.all():
