@@ -464,7 +464,8 @@ NULL_KEY = -(2**63)
 
 
 def _members(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(id_a, id_b, n, component): the size of each document's set, and its class's number."""
+    """(id_a, id_b, n, component, least): the size of each document's set, its class's number and smallest key. What is gathered
+    by class is one row a set, not a document; documents without words have no class."""
     spark = named.sparkSession
     buckets = bucket_count(named, "id_text")
     common = spark.sparkContext.broadcast(common_shingles(named, "id_text", words))
@@ -496,17 +497,17 @@ def _members(named: DataFrame, words: int, percent: int, block: int) -> DataFram
 
     both = comps.join(more.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
     alone = more.join(comps, "node", "left_anti").select("node", "component")
-    ids = rows.filter("n > 0").groupBy("name").agg(F.min("rid").alias("node"))
-    of_name = ids.join(both.unionByName(alone), "node", "left").select("name", F.coalesce("component", "node").alias("component"))
-    return rows.select("id_a", "id_b", "n", "name").join(of_name, "name", "left").select("id_a", "id_b", "n", "component")
+    ids = rows.filter("n > 0").groupBy("name").agg(F.min("rid").alias("node"), F.min("id_a").alias("own"))
+    of_name = ids.join(both.unionByName(alone), "node", "left").select("name", "own", F.coalesce("component", "node").alias("component"))
+    least = stored(of_name.groupBy("component").agg(F.min("own").alias("least")), "least")
+    of_name = of_name.join(least, "component").select("name", "component", "least")
+    return rows.select("id_a", "id_b", "n", "name").join(of_name, "name", "left").select("id_a", "id_b", "n", "component", "least")
 
 
 def _classes(named: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """(id_a, id_b, n, least): the size of each document's set and the smallest key of its class."""
-    by_set = _members(named, words, percent, block)
-    least = by_set.filter("n > 0").groupBy("component").agg(F.min("id_a").alias("least"))
-    classes = by_set.join(least, "component", "left").select("id_a", "id_b", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id_a")).alias("least"))
-    return classes.dropDuplicates(["id_a", "id_b"])
+    found = _members(named, words, percent, block)
+    return found.select("id_a", "id_b", "n", F.coalesce("least", "id_a").alias("least")).dropDuplicates(["id_a", "id_b"])
 
 
 def link_classes(
@@ -531,9 +532,7 @@ def link_classes(
 def class_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Key, set size and class of every row, without the texts."""
     kind = docs.schema[key].dataType
-    by_set = _members(identified(docs.select(key, text), key, text), words, percent, block)
-    least = by_set.filter("n > 0").groupBy("component").agg(F.min("id_a").alias("least"))
-    found = by_set.join(least, "component", "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id_a")))
+    found = _members(identified(docs.select(key, text), key, text), words, percent, block).withColumn("least", F.coalesce("least", "id_a"))
     known = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c)).cast(kind)
     return found.select(known("id_a").alias(key), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
 
