@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "0" * 64
 
@@ -95,41 +95,52 @@ def prune_key(text: Column, key: str) -> Column:
     return F.when(strange, _pruned_udf(F.when(strange, text), F.lit(key))).otherwise(plain)
 
 
+#: SQL of the text of a double v whose Java text t has an exponent, step by step.
+_FAR_NUMBER = (
+    {"w": "substring_index(substring_index(s.t, 'E', 1), '.', 1)", "f": "substring_index(substring_index(s.t, 'E', 1), '.', -1)", "e": "cast(substring_index(s.t, 'E', -1) as int)"},
+    {"d": "regexp_replace(concat(s.w, s.f), '0+$', '')", "p": "length(s.w) + s.e"},
+    {"n": "length(s.d)"},
+    {
+        "out": """case when s.p > -6 and s.p <= 0 then concat('0.', repeat('0', -s.p), s.d) when s.p > 0 and s.p <= 21 and s.n <= s.p then concat(s.d, repeat('0', s.p - s.n))
+        when s.p > 0 and s.p <= 21 then concat(substring(s.d, 1, s.p), '.', substring(s.d, s.p + 1, s.n))
+        else concat(substring(s.d, 1, 1), case when s.n > 1 then concat('.', substring(s.d, 2, s.n)) else '' end, 'e', case when s.p > 1 then '+' else '-' end, abs(s.p - 1)) end"""
+    },
+)
+
+
+def _far_number(size: Column) -> Column:
+    out = F.transform(F.array(size.cast("string")), lambda t: F.struct(t.alias("t")))
+    known = ["t"]
+    for step in _FAR_NUMBER:
+        out = F.call_function("transform", out, F.expr(f"s -> named_struct({', '.join([*(f"'{n}', s.{n}" for n in known), *(f"'{n}', {e}" for n, e in step.items())])})"))
+        known += step
+    return F.get(out, F.lit(0))["out"]
+
+
 def number_text(x: Column) -> Column:
     """A double as JavaScript prints it: no point for whole numbers, plain digits from 1e-6 up to 1e21, else an exponent."""
-    parts = F.split(F.abs(x).cast("string"), "E")
-    mantissa = F.get(parts, F.lit(0))
-    whole, fraction = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
-    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, fraction), "^0+", ""), "0+$", "")
-    lead = F.length(whole) - F.when(whole == "0", F.length(F.regexp_extract(fraction, "^(0*)", 1)) + 1).otherwise(0)
-    point = lead + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
-    n = F.length(digits)
-    zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(n <= point, F.concat(digits, zeros(point - n)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    )
-    power = point - 1
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-    far = F.concat(F.substring(digits, F.lit(1), F.lit(1)), tail, F.lit("e"), F.when(power > 0, "+").otherwise("-"), F.abs(power).cast("string"))
-    sized = F.when((point > -6) & (point <= 21), plain).otherwise(far)
-    text = F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), sized))
-    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(text)
+    size = F.abs(x)
+    near = F.regexp_replace(size.cast("string"), r"\.0$", "")
+    text = F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when(size.between(1e-3, 9999999.0), near).otherwise(_far_number(size))))
+    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(text)
 
 
 def fixed_text(x: Column, places: int) -> Column:
     """A double to ``places`` digits after the point (at most 6), rounded by its exact binary value, halves away from zero:
     1.005 is under its half and gives 1.00. Numbers of 1e15 and more are printed as by ``number_text``."""
-    size, scale = F.abs(x), 10.0**places
-    split = F.lit(134217729.0) * size
-    high = split - (split - size)
-    product = size * scale
-    error = (high * scale - product) + (size - high) * scale
-    low = F.floor(product)
-    units = low + F.when((product - low - 0.5) + error >= 0, 1).otherwise(0)
-    digits = F.lpad(units.cast("string"), F.greatest(F.length(units.cast("string")), F.lit(places + 1)), F.lit("0"))
-    cut = F.length(digits) - places
-    text = F.concat(F.when(x < 0, "-").otherwise(""), F.substring(digits, F.lit(1), cut), *([F.lit("."), F.substring(digits, cut + 1, F.lit(places))] if places else []))
+    scale = f"{10.0**places!r}D"
+    steps = (
+        {"v": "s.v", "h": "134217729D * s.v - (134217729D * s.v - s.v)", "p": f"s.v * {scale}"},
+        {"l": "floor(s.p)", "p": "s.p", "r": f"(s.h * {scale} - s.p) + (s.v - s.h) * {scale}"},
+        {"u": "cast(s.l + case when (s.p - s.l - 0.5D) + s.r >= 0 then 1 else 0 end as string)"},
+        {"u": f"lpad(s.u, greatest(length(s.u), {places + 1}), '0')"},
+        {"out": f"concat(substring(s.u, 1, length(s.u) - {places}), '{'.' if places else ''}', substring(s.u, length(s.u) - {places - 1}, {places}))"},
+    )
+    size = F.abs(x)
+    out = F.transform(F.array(F.when(size < 1e15, size)), lambda v: F.struct(v.alias("v")))
+    for step in steps:
+        out = F.call_function("transform", out, F.expr(f"s -> named_struct({', '.join(f"'{n}', {e}" for n, e in step.items())})"))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.get(out, F.lit(0))["out"])
     return F.when(F.isnan(x) | (size >= 1e15), number_text(x)).otherwise(text)
 
 
@@ -170,6 +181,19 @@ def key_fingerprint(curve: Column, x: Column, y: Column) -> Column:
     return F.substring(sha256_hex(F.concat_ws(".", curve, x, y)), 1, 32)
 
 
+@F.pandas_udf(StructType([StructField("canonical", StringType()), StructField("core", StringType())]))
+def _both_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for t in texts:
+        yield pd.DataFrame({"canonical": t.map(lambda x: None if x is None else canonical_text(x)), "core": t.map(lambda x: None if x is None else pruned_text(x, "signature"))})
+
+
 def with_hashes(records: DataFrame, text: str = "record_json") -> DataFrame:
-    """Add canonical record and core texts' hashes; the texts themselves are not carried."""
-    return records.withColumns({"record_hash": record_hash(F.col(text)), "core_hash": core_hash(F.col(text))})
+    """Add canonical record and core texts' hashes; the texts themselves are not carried. Texts with odd numbers go through one
+    helper for both."""
+    own = F.col(text)
+    strange = _strange(own)
+    entries = F.map_filter(F.from_json(own, "map<string,variant>"), lambda k, _: k != "signature")
+    done = records.withColumn("ch_both", _both_udf(F.when(strange, own)))
+    whole = F.when(strange, F.col("ch_both.canonical")).otherwise(F.to_json(F.parse_json(own)))
+    core = F.when(strange, F.col("ch_both.core")).otherwise(F.to_json(F.parse_json(F.to_json(entries))))
+    return done.withColumns({"record_hash": sha256_hex(whole), "core_hash": sha256_hex(core)}).drop("ch_both")

@@ -162,17 +162,22 @@ def delta_e_94(reference: Triple, sample: Triple) -> Column:
 Step = Callable[[Callable[[str], str]], dict[str, str]]
 
 
-def each(items: str, *steps: Step) -> str:
-    """SQL of an array with further fields for every item, computed step by step: an array of struct<item, fields...>. A step
-    is given a function from the name of a field (of a step before it, or "item") to its SQL, and returns SQL by name; what
-    several later ones use is then evaluated once."""
-    known = ["item"]
-    out = f"transform({items}, x -> named_struct('item', x))"
+def each(items: str, *steps: Step, keep: tuple[str, ...]) -> str:
+    """SQL of an array with further fields for every item, computed step by step: an array of structs of the fields ``keep``.
+    A step is given a function from the name of a field (of a step before it, or "item") to its SQL, and returns SQL by name;
+    what several later ones use is then evaluated once. Fields are carried only as far as they are used."""
+    used: list[set[str]] = []
+    made: list[dict[str, str]] = []
     for step in steps:
-        made = step(lambda n: f"s.{n}")
-        fields = ", ".join([*(f"'{n}', s.{n}" for n in known), *(f"'{n}', {e}" for n, e in made.items())])
-        out = f"transform({out}, s -> named_struct({fields}))"
-        known += made
+        own: set[str] = set()
+        made.append(step(lambda n, own=own: own.add(n) or f"s.{n}"))
+        used.append(own)
+    out, known = f"transform({items}, x -> named_struct('item', x))", {"item"}
+    for i, fields in enumerate(made):
+        live = set(keep).union(*used[i + 1 :])
+        parts = [*(f"'{n}', s.{n}" for n in sorted(known & live)), *(f"'{n}', {e}" for n, e in fields.items())]
+        out = f"transform({out}, s -> named_struct({', '.join(parts)}))"
+        known = known & live | set(fields)
     return out
 
 

@@ -511,7 +511,7 @@ def append_batch(spark, sf_dir):
 
 
 @query("""
-with o as (select *, ['1e-7', '1e+21', '0.00001', '1234567890123456800', '5', '100000000000000000000'][event_id%6+1] as odd from events)
+with o as (select *, case when event_id%24 < 6 then ['1e-7', '1e+21', '0.00001', '1234567890123456800', '5', '100000000000000000000'][event_id%24+1] else '7.25' end as odd from events)
 select event_id, sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"o":' || odd || ',"t":"' || event_type || ' é"}') as core_hash,
        sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":' || user_id || '}],"o":' || odd || ',"signature":{"v":1},"t":"' || event_type || ' é"}') as record_hash,
        substring(sha256('P-256.x' || user_id || '.y' || event_id), 1, 32) as fingerprint from o
@@ -519,7 +519,7 @@ select event_id, sha256('{"a":null,"id":' || event_id || ',"n":[3,1,{"x":0,"y":'
 def record_hashes(spark, sf_dir):
     """Canonical hashes of JSON with unsorted keys, spaces, nulls, -0, odd numbers and a signature."""
     e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    text = F.concat(F.lit('{ "t" : "'), "event_type", F.lit(' é", "o": '), F.get(F.array(*(F.lit(x) for x in ("1e-7", "1E21", "0.00001", "1234567890123456789", "5.0", "1e20"))), (F.col("event_id") % 6).cast("int")), F.lit(', "signature":{"v":1.0}, "n":[3, 1, {"y":'), u, F.lit(',"x":-0}], "id":'), e, F.lit(', "a":null }'))
+    text = F.concat(F.lit('{ "t" : "'), "event_type", F.lit(' é", "o": '), F.coalesce(F.get(F.array(*(F.lit(x) for x in ("1e-7", "1E21", "0.00001", "1234567890123456789", "5.0", "1e20"))), (F.col("event_id") % 24).cast("int")), F.lit("7.25")), F.lit(', "signature":{"v":1.0}, "n":[3, 1, {"y":'), u, F.lit(',"x":-0}], "id":'), e, F.lit(', "a":null }'))
     rows = canonical.with_hashes(views.table(spark, sf_dir, "events").withColumn("record_json", text))
     finger = canonical.key_fingerprint(F.lit("P-256"), F.concat(F.lit("x"), u), F.concat(F.lit("y"), e))
     return rows.select("event_id", "core_hash", "record_hash", finger.alias("fingerprint"))
