@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -236,18 +236,61 @@ def blocks(raws: list[bytes], most: int = 1 << 20) -> Iterator[range]:
         yield range(first, len(raws))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of ``df`` but those named ``replaced``; as for Spark, case does not tell names apart."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Rows as one struct of numbered fields, so that no column's name matters on the way through Python."""
+    return df.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns))).alias("whole"))
+
+
+def _unfolded(df: DataFrame, names: list[str], use: list[str]) -> list[Column]:
+    return [F.col("whole")[f"c{names.index(c)}"].alias(c, metadata=df.schema[c].metadata) for c in use]
+
+
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
     """Rows of ``df``, all columns as they are, for which ``make()``'s function of a list of values says true."""
+    at = df.columns.index(column)
+    whole = _whole(df)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                mask = keep(part.column(part.schema.get_field_index(column)).to_pylist())
-                yield part.filter(pa.array(mask, pa.bool_()))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                yield part.filter(pa.array(keep(part.column(0).field(at).to_pylist()), pa.bool_()))
+
+    return whole.mapInArrow(run, whole.schema).select(*_unfolded(df, df.columns, df.columns))
+
+
+def add_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable], added: str) -> DataFrame:
+    """``df`` with columns ``added`` (a schema); those of these names are replaced. ``make()`` runs once a task and returns
+    a function that takes lists of the values of ``columns`` and yields one tuple a row."""
+    extra = _parse_datatype_string(added)
+    at = [df.columns.index(c) for c in columns]
+    whole = _whole(df)
+    kind = StructType([*whole.schema.fields, *extra.fields])
+    arrow = to_arrow_schema(extra)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                values = zip(*each(*(part.column(0).field(i).to_pylist() for i in at)), strict=True)
+                made = [pa.array(c, f.type) for c, f in zip(values, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["whole", *extra.names])
 
-    return df.mapInArrow(run, df.schema)
+    done = whole.mapInArrow(run, kind)
+    return done.select(*_unfolded(df, df.columns, others(df, *extra.names)), *extra.names)
 
 
 def joined_words(raws: list[bytes], fold: bool, separators: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -289,7 +332,7 @@ def identified(docs: DataFrame, key: str, text: str, *replaced: str) -> DataFram
     is never null, a hash of its text, and the text. Rows that repeat key and text are one document. Columns named
     ``replaced`` are left out, as the operator gives columns of these names itself."""
     return docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in replaced)).alias("id_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"),
+        F.struct(*(F.col(quoted(c)) for c in others(docs, *replaced))).alias("id_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id_a"),
         F.xxhash64(text).alias("id_b"), F.col(text).alias("id_text"),
     )
 

@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that the operators use inside.
-CLASHING = ("id_a", "id_b", "bucket", "s", "n", "at", "low", "rank", "item_id", "one", "batch", "a.b", "sd_spans", "sb_windows", "ng_size", "ld_removed", "own_key", "words")
+CLASHING = ("id_a", "id_b", "bucket", "s", "n", "at", "low", "rank", "item_id", "one", "batch", "a.b", "SD_SPANS", "ng_size", "LD_Removed", "own_key", "words", "SB_windows", "Ng_Class", "b`c", "PD_RUNS", "whole", "c0")
 
 
 def passage(rng: random.Random, n: int) -> str:
@@ -36,7 +36,7 @@ def docs(spark, rows, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
     df = spark.createDataFrame(rows, SCHEMA)
     for c in CLASHING:
-        df = df.withColumn(c, df["source"])
+        df = df.withColumns({c: df["source"]})
     df.repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 
