@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.llm import decontaminate, languages, lines, packing, similar
-from capturelake.llm.text import read, released, stored
+from capturelake.llm.text import quoted, read, released, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(docs).filter("ld_removed = 0 or length(trim(ld_kept)) > 0")
     new = {"text": F.col("ld_kept"), "n_chars": F.when(F.col("ld_removed") > 0, F.length("ld_kept")).otherwise(F.col("n_chars"))}
     kinds = dict(docs.dtypes)
-    return done.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    return done.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(quoted(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
