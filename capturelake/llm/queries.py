@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import decontaminate, languages, licenses, lines, media, packing, secrets, similar, substrings, suffixes
+from capturelake.llm import chat, codes, decontaminate, languages, licenses, lines, media, packing, periods, secrets, similar, substrings, suffixes
 from capturelake.llm.text import read
 
 
@@ -48,11 +48,24 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(read(spark, sf_dir, "documents")).drop("proportions")
 
 
+def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.find_runs(periods.planted(read(spark, sf_dir, "documents"))))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[native]"""
+    return chat.chat_digests(chat.read_chats(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations")))))
+
+
+def op13_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digests(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_groups, op2_licenses, op3_line_windows, op4_spaced_seeds, op5_secrets, op6_language_mixture, op7_block_anchors, op8_token_groups, op9_transport_streams,
-        op10_best_fit_packing,
+        op10_best_fit_packing, op11_diagonal_runs, op12_chat_format, op13_norm_of_sum_codes,
     )
 }
-ORACLES = {"op3_line_windows": lines.ORACLE}
+ORACLES = {"op3_line_windows": lines.ORACLE, "op12_chat_format": chat.ORACLE, "op13_norm_of_sum_codes": codes.ORACLE}

@@ -273,7 +273,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataF
 
 def add_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable], added: str) -> DataFrame:
     """``df`` with columns ``added`` (a schema); those of these names are replaced. ``make()`` runs once a task and returns
-    a function that takes lists of the values of ``columns`` and yields one tuple a row."""
+    a function that takes lists of the values of ``columns`` and returns a list of values for each column added."""
     extra = _parse_datatype_string(added)
     at = [df.columns.index(c) for c in columns]
     whole = _whole(df)
@@ -285,7 +285,7 @@ def add_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable],
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                values = zip(*each(*(part.column(0).field(i).to_pylist() for i in at)), strict=True)
+                values = each(*(part.column(0).field(i).to_pylist() for i in at))
                 made = [pa.array(c, f.type) for c, f in zip(values, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["whole", *extra.names])
 
