@@ -14,6 +14,9 @@ PATCH_WIDTH = (WIDTH - 2 * MARGIN - 5 * GAP) / 6
 ROW_Y = {"A": 11.5, "B": 34.0}
 MARKERS = ((6.5, 6.5), (82.4, 6.5), (82.4, 47.5), (6.5, 47.5))
 PATCH_INSET = 0.25
+#: The window for the sample (x, y, width, height), the share of it that is left out on every side, and its middle on the card.
+WINDOW, WINDOW_INSET = (14.0, 21.0, 60.9, 11.0), 0.2
+SAMPLE_U, SAMPLE_V = (WINDOW[0] + WINDOW[2] / 2) / WIDTH, (WINDOW[1] + WINDOW[3] / 2) / HEIGHT
 SLOTS = {
     "A": (("neutral-112", "#707070"), ("chroma-red", "#b5473c"), ("neutral-216", "#d8d8d8"), ("chroma-green", "#4f8f52"), ("neutral-81", "#515151"), ("chroma-blue", "#3f5f9e")),
     "B": (("chroma-orange", "#cf8b3f"), ("neutral-145", "#919191"), ("chroma-cyan", "#3f8f9e"), ("neutral-50", "#323232"), ("chroma-purple", "#7b4f8f"), ("neutral-180", "#b4b4b4")),
@@ -49,9 +52,18 @@ def card_patches(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(patch_rows(), schema)
 
 
+def _inner(x: float, y: float, width: float, height: float, inset: float) -> tuple[float, ...]:
+    return x + width * inset, y + height * inset, width * (1 - 2 * inset), height * (1 - 2 * inset)
+
+
 def sample_rows(inset: float = PATCH_INSET) -> list[tuple]:
     """(patch_id, x, y, width, height) of the inner part of each patch that is read."""
-    return [(p[0], p[5] + p[7] * inset, p[6] + p[8] * inset, p[7] * (1 - 2 * inset), p[8] * (1 - 2 * inset)) for p in patch_rows()]
+    return [(p[0], *_inner(*p[5:9], inset)) for p in patch_rows()]
+
+
+def window_row(inset: float = WINDOW_INSET) -> tuple:
+    """The same of the sample's window."""
+    return "sample", *_inner(*WINDOW, inset)
 
 
 def sample_rects(patches: DataFrame, inset: float = PATCH_INSET) -> DataFrame:

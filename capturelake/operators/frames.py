@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -23,10 +23,29 @@ KEY = "capture_id"
 WORKING_SIZE = 640
 RECTIFIED = (445, 270)
 WEIGHTS = np.array([0.2126, 0.7152, 0.0722])
+REGION = ", ".join(f"{n}{c} double" for n in ("", "raw_", "std_") for c in "rgb") + ", clipped_fraction double, out_fraction double, count long"
+
+
+def misfit(width: Column, height: Column, data: Column) -> Column:
+    """Why a frame cannot be read: null where its bytes are those of its size."""
+    return (
+        F.when(data.isNull(), "no-image-data").when(width.isNull() | height.isNull() | (F.least(width, height) <= 0), "image-size-invalid")
+        .when(F.octet_length(data) != 3 * width.cast("long") * height, "image-data-misfit")
+    )
+
+
+def sound(frames: DataFrame) -> DataFrame:
+    """The frames that can be read; ``quarantined`` has the others."""
+    return frames.filter(misfit(F.col("width"), F.col("height"), F.col("data")).isNull())
+
+
+def quarantined(frames: DataFrame) -> DataFrame:
+    """(capture_id, error) of the frames that cannot be read."""
+    return frames.select(KEY, misfit(F.col("width"), F.col("height"), F.col("data")).alias("error")).filter("error is not null")
 
 
 def _map_frames(df: DataFrame, each: Callable, schema: str) -> DataFrame:
-    """Rows that ``each(frame, *other columns)`` yields, frame by frame; a frame whose bytes do not fit its size is an error."""
+    """Rows that ``each(key, image, *other columns)`` yields, frame by frame; frames that cannot be read have none."""
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
@@ -34,13 +53,11 @@ def _map_frames(df: DataFrame, each: Callable, schema: str) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 key, width, height, data, *more = (c[at].as_py() for c in batch.columns)
-                if width <= 0 or height <= 0 or len(data) != 3 * width * height:
-                    raise ValueError(f"frame {key}: {len(data)} bytes for {width} x {height} pixels")
                 rows = list(each(key, np.frombuffer(data, np.uint8).reshape(height, width, 3), *more))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return sound(df).mapInArrow(run, kind)
 
 
 def downscaled(image: np.ndarray, most: int) -> tuple[np.ndarray, float]:
@@ -89,47 +106,61 @@ def mapped(h: list[float], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
+def _blobs(image: np.ndarray, most: int) -> tuple[dict[str, np.ndarray], float, tuple[int, int]]:
+    """Sums of an image's dark blobs at working size (area, box, means of x, y and their products), the scale, and that size."""
+    small, scale = downscaled(image, most)
+    luma = ((small @ WEIGHTS) / 255).astype(np.float32)
+    y, x = np.nonzero(luma <= otsu_threshold(luma))
+    if not len(x):
+        return {}, scale, small.shape[1::-1]
+    _, blob = np.unique(detect.labels(x, y), return_inverse=True)
+    area = np.bincount(blob)
+    out = {"area": area}
+    for name, at, start, v in (("min_x", np.minimum, 1 << 30, x), ("max_x", np.maximum, -1, x), ("min_y", np.minimum, 1 << 30, y), ("max_y", np.maximum, -1, y)):
+        out[name] = np.full(len(area), start)
+        at.at(out[name], blob, v)
+    for name, w in (("cx", x), ("cy", y), ("xx", x * x), ("yy", y * y), ("xy", x * y)):
+        out[name] = np.bincount(blob, weights=w) / area
+    return out, scale, small.shape[1::-1]
+
+
 def frame_blobs(frames: DataFrame, most: int = WORKING_SIZE) -> DataFrame:
     """Dark blobs of each frame at working size, with the measures of ``detect.blob_moments``, and the scale."""
 
     def each(key, image):
-        small, scale = downscaled(image, most)
-        luma = (small @ WEIGHTS) / 255
-        y, x = np.nonzero(luma.astype(np.float32) <= otsu_threshold(luma.astype(np.float32)))
-        if not len(x):
-            return
-        _, blob = np.unique(detect.labels(x, y), return_inverse=True)
-        sums = [np.bincount(blob, weights=w) for w in (None, x, y, x * x, y * y, x * y)]
-        edge = [np.full(len(sums[0]), v) for v in (1 << 30, -1, 1 << 30, -1)]
-        for out, at, v in zip(edge, (np.minimum, np.maximum) * 2, (x, x, y, y), strict=True):
-            at.at(out, blob, v)
-        n = sums[0]
-        for i in range(len(n)):
-            yield key, i, int(n[i]), *(int(e[i]) for e in edge), *(float(s[i] / n[i]) for s in sums[1:]), float(scale), small.shape[1], small.shape[0]
+        blobs, scale, size = _blobs(image, most)
+        columns = [c.tolist() for c in blobs.values()]
+        for i, row in enumerate(zip(*columns, strict=True)):
+            yield key, i, *row, float(scale), *size
 
     schema = f"{KEY} {frames.schema[KEY].dataType.simpleString()}, blob_id long, area long, min_x long, max_x long, min_y long, max_y long, cx double, cy double, xx double, yy double, xy double, scale double, working_width int, working_height int"
     found = _map_frames(frames.select(KEY, "width", "height", "data").filter(F.least("width", "height") >= detect.LEAST_FRAME), each, schema)
     return detect.moments(found, "scale", "working_width", "working_height")
 
 
+def _contrast(image: np.ndarray, x: float, y: float, w: float, h: float) -> float:
+    """Brightness of a blob's middle less that of four places round it; 0 where either cannot be read."""
+    grid = np.linspace(-1, 1, 5)
+    gx, gy = np.tile(grid, 5), np.repeat(grid, 5)
+    half = detect.KEY_INNER * 0.3
+    means = []
+    for dx, dy in ((0, 0), (-0.36, 0), (0.36, 0), (0, -0.36), (0, 0.36)):
+        luma = bilinear(image, x + dx * w + gx * half * w, y + dy * h + gy * half * h) @ WEIGHTS
+        luma = luma[~np.isnan(luma)]
+        means.append(luma.mean() if len(luma) else np.nan)
+    ring = [m for m in means[1:] if not np.isnan(m)]
+    return float(means[0] - np.mean(ring)) if ring and not np.isnan(means[0]) else 0.0
+
+
 def orientation_contrast(candidates: DataFrame, frames: DataFrame) -> DataFrame:
     """(capture_id, i, contrast): ``detect.orientation_contrast`` on frames, at full resolution. A frame's few candidates ride on
     its row."""
     box = F.struct("i", (F.col("cx") / F.col("scale")).alias("x"), (F.col("cy") / F.col("scale")).alias("y"), ((F.col("max_x") - F.col("min_x") + 1) / F.col("scale")).alias("w"), ((F.col("max_y") - F.col("min_y") + 1) / F.col("scale")).alias("h"))
     own = candidates.groupBy(KEY).agg(F.collect_list(box).alias("boxes"))
-    grid = np.linspace(-1, 1, 5)
-    gx, gy = np.tile(grid, 5), np.repeat(grid, 5)
-    half = detect.KEY_INNER * 0.3
 
     def each(key, image, boxes):
         for b in boxes:
-            means = []
-            for dx, dy in ((0, 0), (-0.36, 0), (0.36, 0), (0, -0.36), (0, 0.36)):
-                luma = bilinear(image, b["x"] + dx * b["w"] + gx * half * b["w"], b["y"] + dy * b["h"] + gy * half * b["h"]) @ WEIGHTS
-                luma = luma[~np.isnan(luma)]
-                means.append(luma.mean() if len(luma) else np.nan)
-            ring = [m for m in means[1:] if not np.isnan(m)]
-            yield key, b["i"], float(means[0] - np.mean(ring)) if ring and not np.isnan(means[0]) else 0.0
+            yield key, b["i"], _contrast(image, b["x"], b["y"], b["w"], b["h"])
 
     joined = frames.select(KEY, "width", "height", "data").join(own, KEY).select(KEY, "width", "height", "data", "boxes")
     return _map_frames(joined, each, f"{KEY} {frames.schema[KEY].dataType.simpleString()}, i int, contrast double")
@@ -143,42 +174,53 @@ def detect_frames(frames: DataFrame, most: int = WORKING_SIZE) -> DataFrame:
     return detect.judged(frames.select(KEY, "width", "height"), candidates, orientation_contrast(candidates, frames))
 
 
+def _regions(image: np.ndarray, h: list[float], rects: list[tuple], nx: int, ny: int, trim: float) -> Iterator[tuple]:
+    """(region, trimmed mean, raw mean and deviation of linear light, clipped and out-of-frame shares, count) of each region."""
+    u, v = np.tile((np.arange(nx) + 0.5) / nx, ny), np.repeat((np.arange(ny) + 0.5) / ny, nx)
+    for region, x, y, width, height in rects:
+        levels = bilinear(image, *mapped(h, x + u * width, y + v * height))
+        levels = levels[~np.isnan(levels[:, 0])]
+        n = len(levels)
+        if not n:
+            yield region, *([0.0] * 9), 1.0, 1.0, 0
+            continue
+        clipped = ((levels <= DARK_END) | (levels >= BRIGHT_END)).any(1).mean()
+        linear = np.where(levels <= 0.04045, levels / 12.92, ((levels + 0.055) / 1.055) ** 2.4)
+        cut = int(n * trim)
+        inner = np.sort(linear, axis=0)[cut : n - cut] if n > 2 * cut else linear
+        yield region, *inner.mean(0).tolist(), *linear.mean(0).tolist(), *linear.std(0).tolist(), float(clipped), 1 - n / (nx * ny), n
+
+
 def sample_regions(frames: DataFrame, rects: list[tuple], nx: int = 24, ny: int = 16, trim: float = TRIM) -> DataFrame:
     """Regions (region_id, x, y, width, height in card millimetres) of each frame, whose homography is column ``h``: trimmed
     mean, raw mean and deviation of linear light, clipped and out-of-frame shares, count. A region of which nothing is in the
     frame has zeroes, is all out, and counts as clipped."""
-    u, v = np.tile((np.arange(nx) + 0.5) / nx, ny), np.repeat((np.arange(ny) + 0.5) / ny, nx)
-    names = [f"{n}{c}" for n in ("", "raw_", "std_") for c in "rgb"]
 
     def each(key, image, h):
-        for region, x, y, width, height in rects:
-            levels = bilinear(image, *mapped(h, x + u * width, y + v * height))
-            levels = levels[~np.isnan(levels[:, 0])]
-            n = len(levels)
-            if not n:
-                yield key, region, *([0.0] * 9), 1.0, 1.0, 0
-                continue
-            clipped = ((levels <= DARK_END) | (levels >= BRIGHT_END)).any(1).mean()
-            linear = np.where(levels <= 0.04045, levels / 12.92, ((levels + 0.055) / 1.055) ** 2.4)
-            cut = int(n * trim)
-            inner = np.sort(linear, axis=0)[cut : n - cut] if n > 2 * cut else linear
-            yield key, region, *inner.mean(0).tolist(), *linear.mean(0).tolist(), *linear.std(0).tolist(), float(clipped), 1 - n / (nx * ny), n
-
-    schema = f"{KEY} {frames.schema[KEY].dataType.simpleString()}, region_id string, {', '.join(f'{n} double' for n in names)}, clipped_fraction double, out_fraction double, count long"
+        for row in _regions(image, h, rects, nx, ny, trim):
+            yield key, *row
+
+    schema = f"{KEY} {frames.schema[KEY].dataType.simpleString()}, region_id string, {REGION}"
     return _map_frames(frames.select(KEY, "width", "height", "data", "h").filter("h is not null"), each, schema)
 
 
-def rectify(frames: DataFrame, size: tuple[int, int] = RECTIFIED) -> DataFrame:
-    """(capture_id, width, height, data, inside): the card of each frame seen from the front, as 8-bit levels, read by the
-    inverse map of column ``h``; black outside the frame, of which ``inside`` is the share of places that are not."""
+def _flat(image: np.ndarray, h: list[float], size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The card from the front as 8-bit levels, black outside the frame, and where it is inside."""
     width, height = size
     x = np.tile((np.arange(width) + 0.5) / width * card.WIDTH, height)
     y = np.repeat((np.arange(height) + 0.5) / height * card.HEIGHT, width)
+    levels = bilinear(image, *mapped(h, x, y))
+    there = ~np.isnan(levels[:, 0])
+    return np.rint(np.where(there[:, None], levels, 0) * 255).astype(np.uint8).reshape(height, width, 3), there
+
+
+def rectify(frames: DataFrame, size: tuple[int, int] = RECTIFIED) -> DataFrame:
+    """(capture_id, width, height, data, inside): the card of each frame seen from the front, as 8-bit levels, read by the
+    inverse map of column ``h``; black outside the frame, of which ``inside`` is the share of places that are not."""
 
     def each(key, image, h):
-        levels = bilinear(image, *mapped(h, x, y))
-        there = ~np.isnan(levels[:, 0])
-        yield key, width, height, np.rint(np.where(there[:, None], levels, 0) * 255).astype(np.uint8).tobytes(), float(there.mean())
+        flat, there = _flat(image, h, size)
+        yield key, *size, flat.tobytes(), float(there.mean())
 
     schema = f"{KEY} {frames.schema[KEY].dataType.simpleString()}, width int, height int, data binary, inside double"
     return _map_frames(frames.select(KEY, "width", "height", "data", "h").filter("h is not null"), each, schema)

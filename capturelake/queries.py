@@ -177,8 +177,8 @@ def _fit_sql() -> str:
 fsum as (select capture_id, count(*) filter (where {neutral}) as fn, count(*) filter (where {USABLE}) as usable, {field} from readings group by 1), {fs},
 fc as (select *, fsx0_0+0.5*fsx0_1+0.5*fsx0_2 as centre from {fdone}),
 fields as (select capture_id, usable, fsx0_0 as c0, fsx0_1 as cu, fsx0_2 as cv, centre, (abs(fsx0_1)+abs(fsx0_2))/centre as strength,
-    coalesce(fn >= 4 and centre > 1e-6 and (abs(fsx0_1)+abs(fsx0_2))/centre >= 0.04, false) as has_field from fc),
-rows1 as (select r.*, f.usable, f.strength, f.has_field, case when f.has_field and f.strength <= 1 then least(3, greatest(0.33, (c0+cu*u+cv*v)/centre)) else 1.0 end as gain
+    coalesce(fn >= 4 and centre > 1e-6 and (abs(fsx0_1)+abs(fsx0_2))/centre >= 0.04, false) as has_field, least(3, greatest(0.33, (fsx0_0+0.5*fsx0_1+26.5/54::double*fsx0_2)/centre)) as window_gain from fc),
+rows1 as (select r.*, f.usable, f.strength, f.has_field, f.window_gain, case when f.has_field and f.strength <= 1 then least(3, greatest(0.33, (c0+cu*u+cv*v)/centre)) else 1.0 end as gain
     from readings r join fields f using (capture_id)),
 psum as (select capture_id, {_sums("p", "1.0")} from rows1 group by 1), {ps},
 ssum as (select capture_id, {_sums("s", "gain")} from rows1 group by 1), {ss},
@@ -269,9 +269,9 @@ def quality_gates(spark, sf_dir):
 
 PANELS_OF = f"(select distinct panel_id, panel_name from (values {', '.join(f'({sql.text(o[0])}, {sql.text(o[1])})' for o in dict.fromkeys((x[0], x[1]) for x in panels.OUTCOMES))}) t(panel_id, panel_name))"
 ANALYSED = f"""{FITS}, {QUALITY}, {sql.SAMPLES},
-mats as (select capture_id, {", ".join(f"any_value(m{k}{i}) as m{k}{i}" for k in range(3) for i in range(4))} from fits group by 1),
+mats as (select capture_id, any_value(case when used then window_gain else 1.0 end) as wg, {", ".join(f"any_value(m{k}{i}) as m{k}{i}" for k in range(3) for i in range(4))} from fits group by 1),
 light as (select event_id, user_id, case when event_id%89=0 then 'no-such-panel' else panel_id end as panel_id, {sql.linear_of_lab("l", "a", "b", "q")} from samples),
-seen as (select e.*, {", ".join(f"m{k}0*qr*{sql.GAIN(0, views.GAINS)}+m{k}1*qg*{sql.GAIN(1, views.GAINS)}+m{k}2*qb*{sql.GAIN(2, views.GAINS)}+m{k}3 as s{c}" for k, c in enumerate("rgb"))} from light e join mats m on m.capture_id = e.event_id),
+seen as (select e.*, {", ".join(f"(m{k}0*qr*{sql.GAIN(0, views.GAINS)}+m{k}1*qg*{sql.GAIN(1, views.GAINS)}+m{k}2*qb*{sql.GAIN(2, views.GAINS)})/wg+m{k}3 as s{c}" for k, c in enumerate("rgb"))} from light e join mats m on m.capture_id = e.event_id),
 labs0 as (select event_id, user_id, panel_id, {sql.xyz_of("sr", "sg", "sb", "v")} from seen), labs as (select *, {sql.lab_of("vx", "vy", "vz", "z")} from labs0),
 near0 as (select s.event_id, o.outcome_id, o.outcome_pos, o.label, o.category, o.max_match, o.min_separation, {sql.de2000("o.l", "o.a", "o.b", "s.zl", "s.za", "s.zb", "nd")} from labs s join outcomes o using (panel_id)),
 near as (select *, row_number() over (partition by event_id order by nd, outcome_pos) as nth from near0),

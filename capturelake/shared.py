@@ -1,8 +1,10 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables kept in it."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     root = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
     spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is dear to compute and used several times."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
