@@ -187,13 +187,20 @@ def _both_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"canonical": t.map(lambda x: None if x is None else canonical_text(x)), "core": t.map(lambda x: None if x is None else pruned_text(x, "signature"))})
 
 
-def with_hashes(records: DataFrame, text: str = "record_json") -> DataFrame:
-    """Add canonical record and core texts' hashes; the texts themselves are not carried. Texts with odd numbers go through one
-    helper for both."""
-    own = F.col(text)
+def sound_text(text: Column) -> Column:
+    """The text where it is one JSON object, else null: a key given twice, text after its end and the like make it none."""
+    value = F.try_parse_json(text)
+    return F.when(F.substring(F.schema_of_variant(value), 1, 6) == "OBJECT", text)
+
+
+def with_hashes(records: DataFrame, text: str = "record_json", core_text: str = "") -> DataFrame:
+    """Add record_hash and core_hash, of the canonical record and core texts; the texts themselves are not carried, but for the
+    core's where a name for it is given. Texts with odd numbers go through one helper for both. A text that is no JSON object has nulls."""
+    own = sound_text(F.col(text))
     strange = _strange(own)
     entries = F.map_filter(F.from_json(own, "map<string,variant>"), lambda k, _: k != "signature")
     done = records.withColumn("ch_both", _both_udf(F.when(strange, own)))
     whole = F.when(strange, F.col("ch_both.canonical")).otherwise(F.to_json(F.parse_json(own)))
     core = F.when(strange, F.col("ch_both.core")).otherwise(F.to_json(F.parse_json(F.to_json(entries))))
-    return done.withColumns({"record_hash": sha256_hex(whole), "core_hash": sha256_hex(core)}).drop("ch_both")
+    done = done.withColumn("ch_core", core).withColumns({"record_hash": sha256_hex(whole), "core_hash": sha256_hex(F.col("ch_core"))})
+    return done.withColumnRenamed("ch_core", core_text).drop("ch_both") if core_text else done.drop("ch_both", "ch_core")

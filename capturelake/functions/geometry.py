@@ -89,7 +89,7 @@ def reprojection_error(pairs: DataFrame, fits: DataFrame, key: str = "set_id") -
 
 def polygon_signed_area(points: Column) -> Column:
     """Half the sum of cross products of an array of struct<x,y>."""
-    after = F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1))
+    after = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))
     cross = F.zip_with(points, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.aggregate(cross, F.lit(0.0), lambda s, c: s + c) / 2
 

@@ -44,6 +44,11 @@ def panel_outcomes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(outcome_rows(), schema)
 
 
+def find_panel(outcomes: DataFrame, panel_id: str) -> DataFrame:
+    """A panel's outcomes in its order; of an unknown panel no rows."""
+    return outcomes.filter(F.col("panel_id") == panel_id).orderBy("outcome_pos")
+
+
 def panel_provenance(outcomes: DataFrame) -> DataFrame:
     """(panel_id, provenance, needs_verification): a panel is as good as its weakest reference."""
     rank = F.array_position(F.array(*map(F.lit, PROVENANCE_RANK)), F.col("provenance"))

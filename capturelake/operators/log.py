@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from capturelake.functions.canonical import fixed_text, number_text
@@ -21,8 +20,14 @@ def search(
     text: str = "", include_rejected: bool = False,
 ) -> DataFrame:
     """Records that meet every filter given (empty: no filter), newest chain index first. Times are ISO strings, bounds
-    included. ``text`` is looked for in seven fields joined by a space. Equalities come first, so they reach the scan."""
+    included. ``text`` is looked for in seven fields joined by a space. Equalities come first, so they reach the scan; of a log
+    that is stored by days (``sources.io.write_records``) only those that time bounds allow are read."""
     c = F.col
+    if "capture_date" in records.columns:
+        if since:
+            records = records.filter(c("capture_date") >= since[:10])
+        if until:
+            records = records.filter(c("capture_date") <= until[:10])
     for name, value in (("category", category), ("panel_id", panel_id), ("operator_id", operator_id), ("sync_state", sync_state)):
         if value:
             records = records.filter(c(name) == value)
@@ -50,24 +55,58 @@ def get(records: DataFrame, record_id: str) -> DataFrame:
     return records.filter(F.col("record_id") == record_id)
 
 
+def all_records(records: DataFrame) -> DataFrame:
+    """The whole log in the order of its chains."""
+    return records.orderBy("device_id", "chain_index", "record_id")
+
+
+def count(records: DataFrame) -> DataFrame:
+    """(device_id, records) of each device."""
+    return records.groupBy("device_id").agg(F.count("*").alias("records"))
+
+
 def latest(records: DataFrame) -> DataFrame:
-    """The head record of each device."""
-    return records.withColumn("lg_n", F.row_number().over(W.partitionBy("device_id").orderBy(F.desc("chain_index"), F.desc("record_id")))).filter("lg_n = 1").drop("lg_n")
+    """The head record of each device. Tasks keep one row of each device before anything is shuffled."""
+    heads = records.groupBy(F.col("device_id").alias("lg_device")).agg(F.max_by(F.struct(*records.columns), F.struct("chain_index", "record_id")).alias("lg_row"))
+    return heads.select("lg_row.*")
+
+
+def newest(records: DataFrame, version: str) -> DataFrame:
+    """One row of each record_id: that with the greatest ``version``, of equal ones the one with the greatest hash of its row."""
+    columns = records.columns
+    rank = F.struct(version, F.xxhash64(*columns))
+    rows = records.groupBy(F.col("record_id").alias("lg_id")).agg(F.max_by(F.struct(*columns), rank).alias("lg_row"))
+    return rows.select("lg_row.*")
 
 
 def upsert(records: DataFrame, updates: DataFrame, version: str) -> DataFrame:
-    """Both tables' records by record_id; of several the newest ``version`` stays."""
-    both = records.unionByName(updates)
-    columns = both.columns
-    newest = both.groupBy("record_id").agg(F.max_by(F.struct(*columns), version).alias("row"))
-    return newest.select("row.*")
-
-
-def update_sync_state(records: DataFrame, updates: DataFrame) -> DataFrame:
-    """Records with the last state given for each (update_pos); nothing else changes."""
-    last = updates.groupBy("record_id").agg(F.max_by("sync_state", "update_pos").alias("new_state"))
-    changed = records.join(last, "record_id", "left")
-    return changed.select(*(F.coalesce("new_state", c).alias(c) if c == "sync_state" else F.col(c) for c in records.columns))
+    """Both tables' records by record_id; of several the newest ``version`` stays. ``sources.io.upsert_records`` does this to a stored
+    log."""
+    return newest(records.unionByName(updates), version)
+
+
+def unknown_updates(records: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates of records that the log does not have."""
+    return updates.join(records.select("record_id"), "record_id", "left_anti")
+
+
+def update_sync_state(records: DataFrame, updates: DataFrame, unknown: str = "fail") -> DataFrame:
+    """Records with the last state given for each (update_pos); nothing else changes.
+
+    An update of an unknown record fails the job when the result is read; with ``unknown="ignore"`` it has no effect, for
+    callers that handle ``unknown_updates`` themselves. Both sides are joined once, by record_id."""
+    if unknown not in ("fail", "ignore"):
+        raise ValueError(f"unknown is fail or ignore, not {unknown}")
+    last = updates.groupBy(F.col("record_id").alias("lg_id")).agg(F.max_by("sync_state", "update_pos").alias("lg_state"))
+    there = records.withColumn("lg_there", F.lit(True))
+    if unknown == "ignore":
+        joined = there.join(last, F.col("record_id") == F.col("lg_id"), "left")
+    else:
+        joined = there.join(last, F.col("record_id") == F.col("lg_id"), "full")
+        stray = F.col("lg_there").isNull()
+        state = F.when(stray, F.raise_error(F.concat(F.lit("no record "), F.coalesce("lg_id", F.lit("null")))).cast("string")).otherwise(F.col("lg_state"))
+        joined = joined.withColumn("lg_state", state).filter("lg_there or lg_state is not null")
+    return joined.select(*(F.coalesce("lg_state", c).alias(c) if c == "sync_state" else F.col(c) for c in records.columns))
 
 
 def pending_sync(records: DataFrame) -> DataFrame:

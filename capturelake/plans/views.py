@@ -183,30 +183,73 @@ def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECRETS = 16
 
 
-def v_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, record_json, x, y, sig): a record of each event with a signature by one of a few keys over its canonical core
-    text. By the event's number modulo 10 the record is edited, the key or the signature spoilt."""
+def signer():
+    """(keys as (number, secret, x, y), a function that signs a text by one of them): keys and one nonce made up for these views."""
     import base64
+    import hashlib
 
-    import pandas as pd
-
-    text = lambda n: base64.urlsafe_b64encode(n.to_bytes(32, "big")).decode().rstrip("=")
+    text = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
     nonce = 123456789
     r = signature.point_times([(nonce, signature.G)])[0] % signature.N
-    keys = []
+    inverse, keys = pow(nonce, -1, signature.N), []
     for i in range(SECRETS):
         secret = 987654321 + 1000003 * i
-        keys.append((i, secret, *map(text, signature.point_times([(secret, signature.G)]))))
+        keys.append((i, secret, *(text(n.to_bytes(32, "big")) for n in signature.point_times([(secret, signature.G)]))))
+
+    def sign(core: str, key: int) -> str:
+        e = int.from_bytes(hashlib.sha256(core.encode()).digest(), "big")
+        s = inverse * (e + r * keys[key][1]) % signature.N
+        return text(r.to_bytes(32, "big") + s.to_bytes(32, "big"))
+
+    return keys, sign
+
+
+def v_signed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, device_id, record_id, chain_index, record_json, image_path): every device's signed and chained log as it is found.
+    By the event's number some records are gone, edited, cut short, or have another algorithm, signature or key; a record names
+    a document as its image, by a right or a wrong digest, that may be missing."""
+    import hashlib
+
+    from capturelake.functions.canonical import key_fingerprint
+    from capturelake.operators.chain import _folded
+
+    keys, sign = signer()
+
+    def linked(index, head, prefix, suffix, key):
+        core = f'{prefix}"chain":{{"index":{index},"previousRecordHash":"{head}"}}{suffix}'
+        digest = hashlib.sha256(core.encode()).hexdigest()
+        own = f'{core[:-1]},"signature":{{"algorithm":"ECDSA-P256-SHA256","coreHash":"{digest}","publicKeyJwk":{{"crv":"P-256","kty":"EC","x":"{keys[key][2]}","y":"{keys[key][3]}"}},"value":"{sign(core, key)}"}}}}'
+        return index + 1, hashlib.sha256(own.encode()).hexdigest(), (index, own)
+
+    e = F.col("event_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    rows = table(spark, sf_dir, "events").select(e, "ts", F.col("user_id").alias("device_id"), "event_type", (e % 1500).alias("doc_id"), (F.col("user_id") % SECRETS).cast("int").alias("key"))
+    rows = rows.join(docs, "doc_id", "left")
+    finger = [key_fingerprint(F.lit("P-256"), F.lit(k[2]), F.lit(k[3])) for k in keys]
+    claimed = F.when(F.col("device_id") % 7 == 3, "other").otherwise(F.get(F.array(*finger), "key"))
+    digest = F.when(e % 17 == 0, "wrong").otherwise(F.coalesce("digest", F.lit("none")))
+    prefix = F.concat(F.lit('{"category":"'), "event_type", F.lit('",'))
+    suffix = F.concat(F.lit(',"device":{"publicKeyFingerprint":"'), claimed, F.lit('"},"image":{"sha256":"'), digest, F.lit('"},"recordId":"rec-'), e.cast("string"), F.lit('"}'))
+    made = _folded(rows.withColumns({"prefix": prefix, "suffix": suffix}), None, ["ts", "event_id"], ["prefix", "suffix", "key"], linked, "chain_index long, record_json string")
+    swap = lambda a, b: F.replace("record_json", F.lit(a), F.lit(b))
+    found = (
+        F.when(e % 97 == 0, swap('"category":"', '"category":"not ')).when(e % 89 == 0, swap("ECDSA-P256-SHA256", "RSA")).when(e % 83 == 0, F.expr("left(record_json, length(record_json) - 2)"))
+        .when(e % 79 == 0, F.regexp_replace("record_json", '"value":"....', '"value":"')).when(e % 73 == 0, F.regexp_replace("record_json", '"x":"[^"]*"', '"x":"AAAA"'))
+        .otherwise(F.col("record_json"))
+    )
+    image = F.when(e % 19 != 0, F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    return made.filter(e % 131 != 0).select(e, "device_id", F.concat(F.lit("rec-"), e.cast("string")).alias("record_id"), "chain_index", found.alias("record_json"), image.alias("image_path"))
+
+
+def v_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, record_json, x, y, sig): a record of each event with a signature by one of a few keys over its canonical core
+    text. By the event's number modulo 10 the record is edited, the key or the signature spoilt."""
+    import pandas as pd
+
+    keys, one = signer()
 
     def sign(core, key):
-        import hashlib
-
-        inverse, out = pow(nonce, -1, signature.N), []
-        for c, k in zip(core, key, strict=True):
-            e = int.from_bytes(hashlib.sha256(c.encode()).digest(), "big")
-            s = inverse * (e + r * keys[k][1]) % signature.N
-            out.append(base64.urlsafe_b64encode(r.to_bytes(32, "big") + s.to_bytes(32, "big")).decode().rstrip("="))
-        return pd.Series(out)
+        return pd.Series([one(c, k) for c, k in zip(core, key, strict=True)])
 
     sign = F.pandas_udf(sign, "string", F.PandasUDFType.SCALAR)
     e, kind = F.col("event_id"), F.col("event_id") % 10

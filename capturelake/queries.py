@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions import canonical, card, colour, geometry, panels, signature
-from capturelake.operators import analyse, calibrate, chain, classify, correction, detect, frames, log, pixels, quality
+from capturelake.operators import analyse, audit, calibrate, chain, classify, correction, detect, frames, log, pixels, quality
 from capturelake.plans import sql, views
 from capturelake.shared import shared_folder
+from capturelake.sources import io
 from capturelake.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,10 +420,9 @@ def _chained(records: DataFrame) -> DataFrame:
     """Records of ``v_records`` with their links: previous_hash, record_hash and the canonical record text."""
     head = F.concat(F.lit('{"capturedAt":"'), "captured_at", F.lit('","category":"'), "category", F.lit('","chain":{"index":{index},"previousRecordHash":"'))
     tail = F.concat(F.lit('"},"operator":{"id":"'), "operator_id", F.lit('"},"recordId":"'), "record_id", F.lit('"}'))
-    cores = records.select("device_id", F.col("chain_index").alias("pos"), "record_id", head.alias("prefix"), tail.alias("suffix"))
-    links = chain.chain_cores(cores).select("record_id", "previous_hash", "record_hash")
+    done = chain.chain_cores(records.withColumns({"pos": F.col("chain_index"), "prefix": head, "suffix": tail}))
     text = F.replace(F.concat(head, F.col("previous_hash"), tail), F.lit("{index}"), F.col("chain_index").cast("string"))
-    return records.join(links, "record_id").withColumn("record_json", text)
+    return done.withColumn("record_json", text)
 
 
 def _tampered(records: DataFrame) -> DataFrame:
@@ -555,6 +555,57 @@ def verify_records(spark, sf_dir):
     return done.select("event_id", F.array_join("failures", ",").alias("failures"), "attributed")
 
 
+@query(f"""
+with recursive {ANALYSED}, cores as (select user_id as device_id, 'rec-' || event_id as record_id, row_number() over (partition by user_id order by event_id) - 1 as chain_index, {_CORE} as core from analysed left join {PANELS_OF} using (panel_id)),
+parts as (select *, split_part(core, '"chain":{{"index":0', 1) as head, split_part(core, '"chain":{{"index":0,"previousRecordHash":"' || repeat('0', 64) || '"}}', 2) as tail from cores),
+links as (
+    select device_id, record_id, chain_index, repeat('0', 64) as previous_hash, sha256(core) as record_hash from parts where chain_index = 0
+    union all
+    select p.device_id, p.record_id, p.chain_index, l.record_hash, sha256(p.head || '"chain":{{"index":' || p.chain_index || ',"previousRecordHash":"' || l.record_hash || '"}}' || p.tail)
+    from links l join parts p on p.device_id = l.device_id and p.chain_index = l.chain_index + 1)
+select device_id, record_id, chain_index, previous_hash, record_hash from links
+""")
+def chain_records(spark, sf_dir):
+    """Record cores of analysed captures, chained by device, with the finished text's hash taken from the text."""
+    cores = analyse.build_record_cores(analyse.analyse_captures(_quality_readings(spark, sf_dir), _captures(spark, sf_dir)))
+    done = chain.chain_records(cores, order=("capture_id",)).drop("record_hash")
+    return done.select("device_id", "record_id", "chain_index", "previous_hash", canonical.record_hash(F.col("record_json")).alias("record_hash"))
+
+
+AUDITED = """log as (
+    select event_id, user_id as device_id, 'rec-' || event_id as record_id, row_number() over (partition by user_id order by ts, event_id) - 1 as chain_index, event_id % 1500 as doc_id,
+        case when event_id%97=0 then 'edit' when event_id%89=0 then 'algorithm' when event_id%83=0 then 'cut' when event_id%79=0 then 'signature' when event_id%73=0 then 'key' end as kind from events),
+near as (
+    select *, row_number() over w - 1 as pos, lag(chain_index) over w as before, lag(kind) over w as broken from log where event_id%131 <> 0 window w as (partition by device_id order by chain_index)),
+facts as (
+    select n.*, n.event_id%17=0 and n.event_id%19<>0 and d.doc_id is not null as image, case when pos = 0 then chain_index <> 0 else before <> chain_index - 1 or broken is not null end as unlinked,
+        case when pos = 0 then chain_index <> 0 else before <> chain_index - 1 or coalesce(broken = 'cut', false) end as misplaced
+    from near n left join documents d on d.doc_id = n.doc_id),
+audited as (
+    select device_id, record_id, pos, chain_index, case when kind = 'cut' then 'malformed-record' when kind = 'algorithm' then 'unsupported-algorithm' else array_to_string(list_filter([
+        case when kind = 'edit' then 'core-hash-mismatch' end, case when kind = 'key' then 'malformed-public-key' end, case when kind in ('edit', 'signature') then 'bad-signature' end,
+        case when image then 'image-hash-mismatch' end, case when unlinked then 'chain-broken' end, case when misplaced then 'chain-index-mismatch' end], lambda x: x is not null), ',') end as failures,
+        device_id%7 <> 3 and coalesce(kind not in ('cut', 'key'), true) as attributed from facts)"""
+
+
+def _audited(spark, sf_dir, long_chains: bool):
+    docs = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), canonical.sha256_hex(F.coalesce("text", F.lit(""))).alias("sha256"))
+    return audit.verify_log(views.v_signed_log(spark, sf_dir), docs, long_chains)
+
+
+@query(f"with {AUDITED} select * from audited")
+def audit_log(spark, sf_dir):
+    """Every record of the signed logs: all that fails, by its text, signature, image and link."""
+    done = _audited(spark, sf_dir, False)
+    return done.select("device_id", "record_id", "pos", "chain_index", F.array_join("failures", ",").alias("failures"), "attributed")
+
+
+@query(f"with {AUDITED} select device_id, count(*) filter (where failures <> '') = 0 as valid, coalesce(min(pos) filter (where failures <> ''), -1) as first_invalid, count(*) as records, count(*) filter (where failures <> '') as failed from audited group by 1")
+def audit_verdicts(spark, sf_dir):
+    """The logs' verdicts, their chains checked in ranges."""
+    return audit.log_verdicts(_audited(spark, sf_dir, True))
+
+
 # The log
 
 
@@ -614,6 +665,24 @@ def upsert_and_pending(spark, sf_dir):
     return log.pending_sync(done).select("record_id", "sync_state").unionByName(done.filter("sync_state = 'new'").select("record_id", "sync_state"))
 
 
+@query(f"""
+with {NUMBERED}, mixed as (select *, case when event_id%5=0 then 'synced' else sync_state end as last_state from numbered)
+select device_id, chain_index, record_id, last_state as sync_state, substring(captured_at, 1, 10) as capture_date from mixed
+where accepted and captured_at >= '2024-01-03T12' and captured_at <= '2024-01-09T23:59:59.999Z' and last_state = 'synced'
+""")
+def stored_log(spark, sf_dir):
+    """A log stored by days in two batches, updated in place, and searched by time and state."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    records = _log(spark, sf_dir).select("device_id", "chain_index", "record_id", "captured_at", "capture_accepted", "sync_state", "event_id", F.lit(1).alias("version"))
+    io.upsert_records(records.filter("event_id % 2 = 0"), at)
+    io.upsert_records(records.filter("event_id % 2 = 1"), at)
+    io.upsert_records(records.filter("event_id % 5 = 0").withColumns({"sync_state": F.lit("synced"), "version": F.lit(2)}), at)
+    found = log.search(io.read_log(spark, at), sync_state="synced", since="2024-01-03T12", until="2024-01-09T23:59:59.999Z")
+    return found.select("device_id", "chain_index", "record_id", "sync_state", "capture_date")
+
+
 @query("""
 with d as (select distinct cast(ts as date) as day from events)
 select strftime(day, '%Y-%m-%d') as day, strftime(day + interval 5 hour, '%Y-%m-%dT%H:%M:%S.000Z') as since, strftime(day + interval 29 hour - interval 1 second, '%Y-%m-%dT%H:%M:%S') || '.999Z' as until from d
@@ -839,6 +908,23 @@ def stream_append(spark, sf_dir):
     return _streamed(spark, records, stream.stream_append).select("device_id", "record_id", "chain_index", "accepted")
 
 
+@query(f"""
+with recursive {LINKS}, gap as (select device_id, min(chain_index) as g from links where event_id%53=0 group by 1)
+select l.device_id, l.record_id, l.chain_index, l.chain_index < coalesce(g.g, 1000000000) as accepted, case when l.chain_index < coalesce(g.g, 1000000000) then 'pending' end as sync_state
+from links l left join gap g using (device_id) where l.event_id%53 <> 0
+""")
+def append_stream(spark, sf_dir):
+    """The same stream by sorted micro-batches, a day's records in each file, several files at a time."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    records = _chained(views.v_records(spark, sf_dir)).filter("event_id % 53 != 0").select("device_id", "chain_index", "captured_at", "record_id", "previous_hash", "record_hash")
+    records.repartitionByRange(3, "chain_index").write.parquet(f"{at}/in")
+    source = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
+    stream.append_stream(source, f"{at}/log").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.appended(spark, f"{at}/log").select("device_id", "record_id", "chain_index", "accepted", "sync_state")
+
+
 @query(f"with {sql.RANKED} select event_id, case when reason is null then c1 else 'inconclusive' end as category, {sql.r6('match_delta_e', 'match_delta_e')} from verdicts")
 def stream_classify(spark, sf_dir):
     outcomes = panels.panel_outcomes(spark)

@@ -299,7 +299,8 @@ def test_photographs_and_exports_come_back(spark, tmp_path):
     (tmp_path / "photos" / "b.png").write_bytes(b"no photograph")
     found = io.read_frames(spark, str(tmp_path / "photos"))
     assert sorted((r.width, r.height) for r in found.collect()) == [(-1, -1), (4, 2)]
-    assert bytes(io.rgb_frames(found).first().data) == image.tobytes()
+    rgb = {r.error: r for r in io.rgb_frames(found).collect()}
+    assert bytes(rgb[None].data) == image.tobytes() and rgb["image-size-invalid"].data is None and len(rgb) == 2
     assert sorted(r.length for r in io.read_image_bytes(spark, str(tmp_path / "photos")).collect()) == sorted(f.stat().st_size for f in (tmp_path / "photos").iterdir())
     records = spark.createDataFrame([(1, i, f'{{"b":{i},"a":"x"}}', f"2026-01-0{i + 1}T00:00:00.000Z", f"r{i}", i * 0.5) for i in range(5)], "device_id long, chain_index long, record_json string, captured_at string, record_id string, match_delta_e double")
     io.export_json(records, str(tmp_path / "json"), "now", "a note")
@@ -324,7 +325,7 @@ def test_bad_frames_and_exports(spark, tmp_path):
     frames = spark.createDataFrame([("a", 2, 1, 3, bytearray([1, 2, 3, 4, 5, 6])), ("b", 2, 2, 3, bytearray([1]))], "origin string, width int, height int, channels int, data binary")
     got = [tuple(r) for r in io.frames_to_pixels(frames).orderBy("origin", "x").collect()]
     assert got[:2] == [("a", 0, 0, 3, 2, 1, None), ("a", 1, 0, 6, 5, 4, None)]
-    assert got[2][-1] == "buffer does not fit the size"
+    assert got[2][-1] == "image-data-misfit"
     (tmp_path / "x.json").write_text('{"exportedAt":"now","records":[{"b":1,"a":null},{"c":2}]}')
     assert [r.record_json for r in io.read_records(spark, str(tmp_path / "x.json")).orderBy("pos").collect()] == ['{"a":null,"b":1}', '{"c":2}']
 
