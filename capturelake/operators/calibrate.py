@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from capturelake.functions.card import ALL_PATCHES
@@ -14,16 +15,17 @@ MOST_DISAGREEMENT = 6.0
 
 def patch_agreements(readings: DataFrame) -> DataFrame:
     """(card_serial, patch_id, slot, L, a, b, frames, agreement): component medians over frames, and the mean Delta E of
-    the frames to them. Of several readings of a patch in a frame the first counts (reading_pos); one without a colour is none."""
-    readings = readings.filter("r is not null and g is not null and b is not null")
+    the frames to them. Of several readings of a patch in a frame the first counts (reading_pos); one without a colour is none.
+
+    Readings are dealt once, by card and patch; frames, medians and agreement are all taken where they lie."""
+    key = ["card_serial", "patch_id"]
+    readings = readings.filter("r is not null and g is not null and b is not null").repartition(*key)
     lab = linear_rgb_to_lab((F.col("r"), F.col("g"), F.col("b")))
     first = readings.groupBy("card_serial", "frame_id", "patch_id").agg(F.min_by(F.struct("slot", "r", "g", "b"), "reading_pos").alias("x"))
-    rows = first.select("card_serial", "frame_id", "patch_id", "x.*")
-    rows = rows.select("card_serial", "patch_id", "slot", lab[0].alias("L"), lab[1].alias("a"), lab[2].alias("b"))
-    key = ["card_serial", "patch_id"]
-    medians = rows.groupBy(*key).agg(*(F.median(c).alias(f"m_{c}") for c in "Lab"))
-    both = rows.join(medians, key)
-    both = with_delta_e_2000(both, tuple(F.col(f"m_{c}") for c in "Lab"), tuple(F.col(c) for c in "Lab"), "d")
+    rows = first.select(*key, "x.*")
+    rows = rows.select(*key, "slot", lab[0].alias("L"), lab[1].alias("a"), lab[2].alias("b"))
+    rows = rows.withColumns({f"m_{c}": F.median(c).over(W.partitionBy(*key)) for c in "Lab"})
+    both = with_delta_e_2000(rows, tuple(F.col(f"m_{c}") for c in "Lab"), tuple(F.col(c) for c in "Lab"), "d")
     return both.groupBy(*key).agg(F.first("slot").alias("slot"), *(F.first(f"m_{c}").alias(c) for c in "Lab"), F.count("*").alias("frames"), F.avg("d").alias("agreement"))
 
 
