@@ -4,6 +4,10 @@ Fixed masks pick some words of a window and ignore the others. Hashes of the pic
 training texts are joined; each hit names a diagonal on which item and text are compared word by word, so passages
 with substituted words are found and chance hits are not. A bitmap of the benchmark's hashes keeps all other training
 hashes out of the join.
+
+The masks are lossless: every run that keeps the rule of overlaps holds one of them untouched. (A longer run holds one of 13 to
+25 words that keeps it, and for these a test goes through all patterns.) Items under 13 words are cut in one part more
+than the rule allows substitutions, so one part is untouched; the parts are seeds of their own.
 """
 
 from __future__ import annotations
@@ -15,18 +19,21 @@ from pyspark.sql import functions as F
 from capturelake.llm.text import blocks, cut_by, identified, joined_words, map_columns, map_rows, mix, stored, text_bytes, window_hashes, word_factors
 
 #: The picked places of each seed.
-MASKS = ("1110111011", "110110011011", "1011010110101")
-SHORTEST = min(map(len, MASKS))
+MASKS = ("11101011", "101001111", "111111", "11011101")
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
+#: Shorter items are found only as a whole text: a few words stand in texts that have nothing to do with them.
+SHORTEST = 5
 #: Against +1 for an equal word: a run has a sum of at least 0 if at least LEAST_SHARE of it are equal.
 MISMATCH = -4
 #: Of bits in the bitmap, as a power of two: what the driver and each task hold is at most 8 MB.
 LEAST_BITS, MOST_BITS = 16, 26
 #: Bits of the bitmap for each seed, as far as it may grow, and the places at which a seed is marked.
 BITS_A_SEED, PROBES = 64, 4
-#: Leaking rows up to which they are sent to every task.
+#: Leaking rows, or seeds of the benchmark, up to which they are sent to every task.
 FEW_ROWS = 100_000
+#: Beyond that, seeds of the benchmark are repeated so many times, so that the texts of a hot one meet it in as many tasks.
+SALTS = 16
 #: What parts words: everything in ASCII but letters and digits.
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[48:58] = SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
@@ -45,20 +52,43 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
-def all_seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place) of every seed of some texts, whose words begin at ``first``. A text that is shorter than every
-    mask has one seed, all its words."""
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(start, words) of the parts of an item of n words, SHORTEST to LEAST_WORDS - 1: one more than it may have substitutions."""
+    cuts = np.linspace(0, n, int(n * (1 - LEAST_SHARE) + 1e-9) + 2).round().astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _windows(words: np.ndarray, texts: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = window_hashes(words, width)
+    at = np.flatnonzero(texts[: len(h)] == texts[width - 1 :]) if len(h) else np.zeros(0, np.int64)
+    return mix(h[at] + np.uint64(len(MASKS) + width)), texts[at], at - first[texts[at]]
+
+
+def all_seeds(words: np.ndarray, first: np.ndarray, parts: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every seed of some texts, whose words begin at ``first``: each mask, and each window of ``parts`` words. A
+    text under SHORTEST words has one seed, all its words."""
     texts, out = np.repeat(np.arange(len(first) - 1), np.diff(first)), []
     for k, mask in enumerate(MASKS):
         h = seeds(words, mask)
         at = np.flatnonzero(texts[: len(h)] == texts[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
         out.append((mix(h[at] + np.uint64(k)), texts[at], at - first[texts[at]]))
+    out += [_windows(words, texts, first, width) for width in parts]
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHORTEST))
     whole = [int(window_hashes(words[first[t] : first[t + 1]], int(first[t + 1] - first[t]))[0]) for t in short.tolist()]
     out.append((mix(np.array(whole, np.uint64) + np.uint64(len(MASKS))), short, np.zeros(len(short), np.int64)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
+def item_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the seeds of one item."""
+    n, first = len(words), np.array([0, len(words)])
+    if not SHORTEST <= n < LEAST_WORDS:
+        h, _, at = all_seeds(words, first)
+        return h, at
+    found = [(_windows(words[a : a + m], np.zeros(m, np.int64), first[:1], m)[0], a) for a, m in parts_of(n)]
+    return np.concatenate([h for h, _ in found]), np.array([a for _, a in found])
+
+
 def overlaps(same: np.ndarray, need: int) -> list[tuple[int, int]]:
     """Disjoint runs (from, to) of at least ``need`` places of which at least LEAST_SHARE are equal: the longest first,
     then those beside it. Unequal places at the ends are cut off as far as ``need`` lets."""
@@ -83,13 +113,26 @@ def overlaps(same: np.ndarray, need: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def diagonals(hits: list[tuple[np.ndarray, np.ndarray]], text: int, item: int) -> list[int]:
+    """Differences of the places of all hits, in order. Memory grows with the lengths, not with the pairs of places."""
+    seen = np.zeros(text + item + 1, bool)
+    for p, q in hits:
+        if len(p) < len(q):
+            for x in p.tolist():
+                seen[x - q + item] = True
+        else:
+            for x in q.tolist():
+                seen[p - x + item] = True
+    return (np.flatnonzero(seen) - item).tolist()
+
+
 def matches(text: np.ndarray, item: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
     """(start in text, start in item, words, equal words) of each overlap of a text and an item, given as hashes of their
     words; ``hits`` are places in both that share a seed."""
     need, out = min(LEAST_WORDS, len(item)), []
     if len(item) < SHORTEST:
         return [(0, 0, len(item), len(item))] if np.array_equal(text, item) else []
-    for shift in np.unique(np.concatenate([np.unique(np.subtract.outer(p, q)) for p, q in hits])).tolist():
+    for shift in diagonals(hits, len(text), len(item)):
         a, b = max(0, -shift), min(len(item), len(text) - shift)
         same = item[a:b] == text[a + shift : b + shift]
         out += [(a + i + shift, a + i, j - i, int(same[i:j].sum())) for i, j in overlaps(same, need)]
@@ -97,18 +140,19 @@ def matches(text: np.ndarray, item: np.ndarray, hits: list[tuple[np.ndarray, np.
 
 
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(n, item, words, seeds, places): every item, and its different seeds with their places."""
+    """(n, item, size, words, seeds, places): every item, and its different seeds with their places."""
+
     def make():
         def each(keys, texts):
             for k, t in zip(keys, texts, strict=True):
-                words, _, first = joined_words([text_bytes(t)], True, SEPARATORS)
-                h, _, at = all_seeds(words, first)
-                yield k, words.tobytes(), h.tobytes(), at.astype("<u4").tobytes()
+                words, _, _ = joined_words([text_bytes(t)], True, SEPARATORS)
+                h, at = item_seeds(words)
+                yield k, len(words), words.tobytes(), h.tobytes(), at.astype("<u4").tobytes()
 
         return each
 
     kind = benchmark.schema[key].dataType.simpleString()
-    found = map_rows(benchmark.select(key, text), make, f"item {kind}, words binary, seeds binary, places binary")
+    found = map_rows(benchmark.select(key, text), make, f"item {kind}, size long, words binary, seeds binary, places binary")
     return stored(found.withColumn("n", F.monotonically_increasing_id()), "items")
 
 
@@ -170,7 +214,7 @@ def _bitmap(seeds_of: DataFrame) -> tuple[int, np.ndarray]:
     return bits, words
 
 
-def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap) -> DataFrame:
+def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap, parts: tuple[int, ...]) -> DataFrame:
     """(n, own_key, id_a, id_b, words, seeds, places) of the texts with a seed that the bitmap lets pass."""
 
     def make():
@@ -180,7 +224,7 @@ def _near(docs: DataFrame, key: str, text: str, bits: int, bitmap) -> DataFrame:
             raws = [text_bytes(t) for t in texts]
             for block in blocks(raws):
                 words, _, first = joined_words([raws[i] for i in block], True, SEPARATORS)
-                h, whose, at = all_seeds(words, first)
+                h, whose, at = all_seeds(words, first, parts)
                 near = _marked(seen, h, bits)
                 near = near[np.argsort(whose[near], kind="stable")]
                 for d, a, b in cut_by(whose[near]):
@@ -200,8 +244,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     items = _items(benchmark, item, item_text)
     known = stored(_by_seed(items), "seeds")
     bits, bitmap = _bitmap(known)
-    near = _near(docs, key, text, bits, docs.sparkSession.sparkContext.broadcast(bitmap))
-    hits = _by_seed(near).join(known.select("h", F.col("n").alias("i"), F.col("at").alias("item_at")), "h")
+    sizes = items.filter(F.col("size").between(SHORTEST, LEAST_WORDS - 1)).select("size").distinct().collect()
+    parts = tuple(sorted({m for r in sizes for _, m in parts_of(r["size"])}))
+    near = _near(docs, key, text, bits, docs.sparkSession.sparkContext.broadcast(bitmap), parts)
+    found, known = _by_seed(near), known.select("h", F.col("n").alias("i"), F.col("at").alias("item_at"))
+    if known.count() <= FEW_ROWS:
+        hits = found.join(F.broadcast(known), "h")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = found.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
     pairs = hits.groupBy("n", "i").agg(F.collect_list(F.struct("at", "item_at")).alias("hits"))
     both = pairs.join(near.select("n", "own_key", "id_a", "id_b", "words"), "n").join(items.select(F.col("n").alias("i"), "item", F.col("words").alias("item_words")), "i")
 
@@ -222,10 +273,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, doc_start, item_start, n_words, n_equal) for each overlap of a text with a benchmark item.
 
-    An overlap is a run on one diagonal of at least 13 words (or the whole item, if shorter and as long as a seed), of
-    which at least 0.8 are equal, A-Z folded and signs ignored; every diagonal that a seed hits is judged by this rule
-    alone, and its disjoint overlaps are all given, the longest first. A diagonal that no seed hits is not looked at. An
-    item that is shorter than every seed overlaps only with a text of just its words.
+    An overlap is a run on one diagonal of at least 13 words (or the whole item, if it has 5 to 12), of which at least 0.8 are
+    equal, A-Z folded and signs ignored. Every run that keeps this rule is hit by a seed; every diagonal that a seed hits is
+    judged by the rule alone, and its disjoint overlaps are all given, the longest first. An item under 5 words
+    overlaps only with a text of just its words.
 
     Both whole tables are used, and neither goes to the driver or to every task: only a bitmap of the benchmark's seeds
     does. Null and empty texts match nothing; repeated rows are matched alike; an empty benchmark gives no rows.

@@ -32,23 +32,23 @@ def brute_lines(rows):
 
 
 def brute_leaking(text, items):
-    """Whether a text overlaps an item: every diagonal that a seed fits, on the matrix of equal words."""
+    """Whether a text overlaps an item: the rule on every diagonal of the matrix of equal words."""
     cut = lambda t: "".join(c if c.isalnum() and c.isascii() or c > "\x7f" else " " for c in t).translate({i: i + 32 for i in range(65, 91)}).split()
     a = np.array(cut(text or ""), object)
     for item in items:
         b = np.array(cut(item or ""), object)
         if not len(a) or not len(b):
             continue
-        if len(b) < 10:
+        if len(b) < 5:
             if a.tolist() == b.tolist():
                 return True
             continue
         equal = a[:, None] == b[None, :]
+        need = min(13, len(b))
         for k in range(-len(a) + 1, len(b)):
             same = np.diagonal(equal, k)
-            if same.sum() >= 7 and any(all(same[i + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(len(same) - len(m) + 1)):
+            if same.sum() >= 0.8 * need:
                 sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-                need = min(13, len(b))
                 if any(sums[j] >= sums[i] for i in range(len(same)) for j in range(i + need, len(same) + 1)):
                     return True
     return False
