@@ -180,6 +180,38 @@ def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, FRAME_SCHEMA)
 
 
+def v_order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of each customer's orders (capture_id, width, height, data): one dark rectangle an order, placed by its key and sized
+    by its price, six to a row. A customer without orders has no picture."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("capture_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for customer, orders in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                height = max(120, 40 * -(-len(orders or ()) // 6))
+                image = np.full((height, 240, 3), 220, np.uint8)
+                for r, o in enumerate(orders or ()):
+                    x, y = 40 * (r % 6) + 4 + o["key"] % 5, 40 * (r // 6) + 4 + o["key"] % 7
+                    image[y : y + 9 + 2 * (o["price"] // 10 % 10), x : x + 9 + 2 * (o["price"] % 10)] = 30
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((customer, 240, height, image.tobytes() if orders else None), schema, strict=True)], schema=schema)
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("price")))).alias("orders"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+    return rows.mapInArrow(run, "capture_id long, width int, height int, data binary")
+
+
+def v_small_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as grey photographs of 8 x 8 pixels, with a homography by their number: (capture_id, width, height, data, h)."""
+    v = F.col("vec_id")
+    level = lambda e: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + e.cast("double"))) * 255 + 0.5).cast("int")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda e: F.repeat(F.lpad(F.hex(level(e)), 2, "0"), F.lit(3))), ""))
+    h = F.array(0.07 + 0.005 * (v % 4), F.lit(0.001), 0.1 * (v % 5), F.lit(0.0), F.lit(0.13), 0.05 * (v % 3), 0.0005 * (v % 4), F.lit(0.0), F.lit(1.0))
+    return table(spark, sf_dir, "embeddings").select(v.alias("capture_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), data.alias("data"), h.alias("h"))
+
+
 SECRETS = 16
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions import canonical, card, colour, geometry, panels, signature
-from capturelake.operators import analyse, audit, calibrate, chain, classify, correction, detect, frames, log, pixels, quality
+from capturelake.operators import analyse, audit, calibrate, chain, classify, correction, detect, frames, log, photos, pixels, quality
 from capturelake.plans import sql, views
 from capturelake.shared import shared_folder
 from capturelake.sources import io
@@ -824,6 +824,95 @@ def rectified_cards(spark, sf_dir):
     return rows.select("capture_id", "s.patch_id", F.concat(F.lit("#"), level).alias("hex"), "inside")
 
 
+ORDER_SQUARES = """squares as (
+    select o_custkey as capture_id, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) - 1 as r, count(*) over (partition by o_custkey) as n, floor(o_totalprice)::bigint as p from orders),
+blobs as (select capture_id, 40*(r%6)+4+k%5 as x, 40*(r//6)+4+k%7 as y, 9+2*(p%10) as w, 9+2*((p//10)%10) as h, 240*greatest(120, 40*((n+5)//6)) as frame from squares),
+marks as (
+    select capture_id, x+(w-1)/2.0::double as x, y+(h-1)/2.0::double as y, (w*h)::double as area, row_number() over (partition by capture_id order by w*h desc, y, x) as i
+    from blobs where w*h >= 0.0002*frame and w*h <= 0.06*frame and greatest(w, h) < 1.5*least(w, h) qualify i <= 14),
+fours as (
+    select a.capture_id, (a.x+b.x+c.x+d.x)/4 as mx, (a.y+b.y+c.y+d.y)/4 as my, a.x as xa, a.y as ya, a.area as aa, a.i as ia, b.x as xb, b.y as yb, b.area as ab, b.i as ib, c.x as xc, c.y as yc, c.area as ac, c.i as ic, d.x as xd, d.y as yd, d.area as ad, d.i as id
+    from marks a join marks b on b.capture_id=a.capture_id and b.i>a.i join marks c on c.capture_id=a.capture_id and c.i>b.i join marks d on d.capture_id=a.capture_id and d.i>c.i),
+rings as (
+    select capture_id, greatest(aa, ab, ac, ad)/least(aa, ab, ac, ad) as ratio, list_sort([{'t': atan2(ya-my, xa-mx), 'x': xa, 'y': ya, 'i': ia}, {'t': atan2(yb-my, xb-mx), 'x': xb, 'y': yb, 'i': ib},
+        {'t': atan2(yc-my, xc-mx), 'x': xc, 'y': yc, 'i': ic}, {'t': atan2(yd-my, xd-mx), 'x': xd, 'y': yd, 'i': id}]) as q from fours),
+turned as (
+    select *, list_transform([0, 1, 2, 3], lambda n: sqrt(pow(q[(n+1)%4+1].x-q[n+1].x, 2)+pow(q[(n+1)%4+1].y-q[n+1].y, 2))) as s,
+        list_transform([0, 1, 2, 3], lambda n: (q[(n+1)%4+1].x-q[n+1].x)*(q[(n+2)%4+1].y-q[(n+1)%4+1].y)-(q[(n+1)%4+1].y-q[n+1].y)*(q[(n+2)%4+1].x-q[(n+1)%4+1].x)) as turns from rings),
+sided as (select *, greatest(s[1]+s[3], s[2]+s[4])/2 as far, least(s[1]+s[3], s[2]+s[4])/2 as near from turned where ratio <= 4 and (list_max(turns) >= 1e-9) <> (list_min(turns) <= -1e-9)),
+scored as (
+    select *, 3*abs(ln(far/near/(75.9/41::double))) + 2*(abs(s[1]-s[3])+abs(s[2]-s[4]))/far + ln(ratio) - 0.35*ln(far*near) as score from sided where near > 0 and far/near <= 3.6),
+best as (select *, row_number() over (partition by capture_id order by score, list_transform(q, lambda c: c.i)) as nth from scored qualify nth <= 40)"""
+
+
+@query(f"with {ORDER_SQUARES} select capture_id, count(*)::int as quads, {sql.r6('min(score)', 'best_score')}, {sql.r6('max(score)', 'last_score')}, {sql.r6('avg(score)', 'mean_score')} from best group by 1")
+def order_quads(spark, sf_dir):
+    """The best fours among the rectangles of each customer's picture, found in its pixels."""
+    quads = detect.candidate_quads(detect.best_markers(frames.frame_blobs(views.v_order_frames(spark, sf_dir))))
+    return quads.groupBy("capture_id").agg(F.count("*").cast("int").alias("quads"), *(r6(f("score"), n) for f, n in ((F.min, "best_score"), (F.max, "last_score"), (F.avg, "mean_score"))))
+
+
+@query(f"""
+with {ORDER_SQUARES}, counted as (select capture_id, count(*) as n from marks group by 1)
+select c.c_custkey as capture_id, case when o.o_custkey is null then 'no-image-data' when coalesce(m.n, 0) < 4 then 'too-few-marker-candidates' when b.capture_id is null then 'no-plausible-quad' else 'orientation-key-not-found' end as reason,
+    case when o.o_custkey is not null then coalesce(m.n, 0)::int end as candidates
+from customer c left join (select distinct o_custkey from orders) o on o.o_custkey = c.c_custkey left join counted m on m.capture_id = c.c_custkey left join (select distinct capture_id from best) b on b.capture_id = c.c_custkey
+""")
+def order_cards(spark, sf_dir):
+    """Every customer's picture read in one pass: none shows a card, and why; without a picture, that."""
+    done = photos.read_cards(views.v_order_frames(spark, sf_dir))
+    return done.select("capture_id", F.col("detection_reason").alias("reason"), "candidates")
+
+
+@query("""
+select e.event_id as capture_id, case when c.c_custkey is null then 'no-photograph' when c.n = 0 then 'no-image-data' end as missing, 'detection' as stage, false as accepted, 'inconclusive' as category
+from (select event_id, user_id from events) e left join (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1) c on c.c_custkey = e.event_id
+""")
+def photographed_captures(spark, sf_dir):
+    """Events as captures, with the customers' pictures as their photographs: none has a card, so each keeps its row as refused."""
+    samples = views.v_samples(spark, sf_dir)
+    captures = samples.select(F.col("event_id").alias("capture_id"), "panel_id", F.col("user_id").alias("card_serial"))
+    done = photos.analyse_frames(views.v_order_frames(spark, sf_dir), captures)
+    reason = F.when(F.col("rejection_reason").isin("no-photograph", "no-image-data"), F.col("rejection_reason"))
+    return done.select("capture_id", reason.alias("missing"), "stage", "accepted", "category")
+
+
+SMALL_PHOTOS = f"""levels as (select capture_id, x, y, floor(luma*255+0.5)::int as level from frames),
+places as (
+    select *, sx*(0.07::double+0.005*(v%4)) + 0.001*sy + 0.1*(v%5) as nx, 0.13*sy + 0.05*(v%3) as ny, 1 + 0.0005*(v%4)*sx as w from spots),
+probes as (select *, nx/w as px, ny/w as py, floor(nx/w)::int as x0, floor(ny/w)::int as y0, nx/w >= 0 and ny/w >= 0 and nx/w <= 7 and ny/w <= 7 as inside from places),
+lit as (
+    select q.*, case when inside then (a.level*(1-(px-x0))*(1-(py-y0)) + coalesce(b.level, 0)*(px-x0)*(1-(py-y0)) + coalesce(c.level, 0)*(1-(px-x0))*(py-y0) + coalesce(d.level, 0)*(px-x0)*(py-y0))/255 end as e
+    from probes q left join levels a on inside and a.capture_id=v and a.x=x0 and a.y=y0 left join levels b on inside and b.capture_id=v and b.x=x0+1 and b.y=y0
+    left join levels c on inside and c.capture_id=v and c.x=x0 and c.y=y0+1 left join levels d on inside and d.capture_id=v and d.x=x0+1 and d.y=y0+1)"""
+
+
+@query(f"""
+with {FRAMES}, rects as (select * from (values {", ".join(str(r) for r in [*card.sample_rows(), card.window_row()])}) t(region_id, rx, ry, rw, rh)),
+spots as (select vec_id as v, region_id, rx+(i+0.5)/6*rw as sx, ry+(j+0.5)/4*rh as sy from embeddings cross join rects cross join range(6) t(i) cross join range(4) u(j)), {SMALL_PHOTOS},
+ranked as (select *, {sql.linear_of("e")} as light, row_number() over (partition by v, region_id order by e) as nth, count(*) over (partition by v, region_id) as n from lit where e is not null),
+found as (select v, region_id, count(*) as count, avg(light) filter (where nth > floor(n*0.1) and nth <= n - floor(n*0.1)) as g, avg(light) as raw_g, stddev_pop(light) as std_g, avg((e <= 0.5/255 or e >= 254.5/255)::int) as clipped from ranked group by 1, 2)
+select s.vec_id as capture_id, r.region_id, {sql.r6("coalesce(g, 0)", "g")}, {sql.r6("coalesce(raw_g, 0)", "raw_g")}, {sql.r6("coalesce(std_g, 0)", "std_g")}, {sql.r6("coalesce(clipped, 1)", "clipped_fraction")},
+    {sql.r6("1 - coalesce(count, 0)/24::double", "out_fraction")}, coalesce(count, 0) as count from embeddings s cross join rects r left join found f on f.v = s.vec_id and f.region_id = r.region_id
+""")
+def small_regions(spark, sf_dir):
+    """The regions of the card read off photographs made of the embeddings' values, partly outside of them."""
+    done = frames.sample_regions(views.v_small_photos(spark, sf_dir), [*card.sample_rows(), card.window_row()], 6, 4)
+    return done.select("capture_id", "region_id", *(r6(F.col(c), c) for c in ("g", "raw_g", "std_g", "clipped_fraction", "out_fraction")), "count")
+
+
+@query(f"""
+with {FRAMES}, spots as (select vec_id as v, (i+0.5)/20*88.9 as sx, (j+0.5)/12*54.0 as sy from embeddings cross join range(20) t(i) cross join range(12) u(j)), {SMALL_PHOTOS}
+select v as capture_id, sum(round(coalesce(e, 0)*255))::bigint as level_sum, max(round(coalesce(e, 0)*255))::int as level_max, {sql.r6("avg((e is not null)::int)", "inside")} from lit group by 1
+""")
+def small_cards(spark, sf_dir):
+    """The same photographs flattened to 20 x 12, by the sum and the greatest of their levels."""
+    done = frames.rectify(views.v_small_photos(spark, sf_dir), (20, 12))
+    cells = done.select("capture_id", "inside", F.explode(F.sequence(F.lit(1), F.lit(240))).alias("n"), "data")
+    level = F.conv(F.hex(F.substring("data", F.col("n") * 3, F.lit(1))), 16, 10).cast("int")
+    return cells.groupBy("capture_id").agg(F.sum(level).alias("level_sum"), F.max(level).alias("level_max"), r6(F.first("inside"), "inside"))
+
+
 # Geometry
 
 QUADS = """quads as (select l_orderkey*8+l_linenumber as quad_id, l_partkey as part, (5.0+l_partkey%7)::double as a, (0.1*(l_partkey%5))::double as b, (20.0+l_partkey%11)::double as c, (0.05*(l_partkey%3))::double as d, (5.5+l_partkey%5)::double as e,
