@@ -263,18 +263,19 @@ def _pack(length: int):
 def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL) -> DataFrame:
     """Add sequence_id and offset to ``parts`` (any rows with a long column ``length`` in 1..``length``).
 
-    A partition gets about ``pool`` pieces by a hash of the whole row, so hot keys and very long documents spread evenly
-    and its memory does not grow with the table. Every round has fewer sequences than the one before it, or is the last.
-    An empty table stays empty. Ties go to the first row.
+    Rows are numbered once, where they are stored; a partition gets about ``pool`` pieces by a hash of their number, so
+    repeated rows, hot keys and very long documents spread evenly and its memory does not grow with the table. Every
+    round has fewer sequences than the one before it, or is the last. An empty table stays empty. Ties go to the first row.
     """
-    columns = parts.columns
-    left, done, before, r = parts, None, None, 0
+    rows = parts if "pk_id" in parts.columns else stored(parts.withColumn("pk_id", F.monotonically_increasing_id()), "numbered")
+    columns = rows.columns
+    left, done, before, r = rows, None, None, 0
     while True:
         counts = np.zeros(length + 1, np.int64)
         for x in left.groupBy("length").count().collect():  # at most ``length`` rows
             counts[x["length"]] = x["count"]
         groups = max(1, -(-int(counts.sum()) // pool))
-        dealt = left.withColumn("pk_deal", F.pmod(F.xxhash64(*columns, F.lit(r)), F.lit(groups)))
+        dealt = left.withColumn("pk_deal", F.pmod(F.xxhash64("pk_id", F.lit(r)), F.lit(groups)))
         schema = StructType([*dealt.schema, *(StructField(f"pk_{c}", LongType()) for c in ("bin", "offset", "filled", "gap"))])
         packed = stored(
             dealt.repartition(max(1, min(groups, 4096)), "pk_deal").groupBy("pk_deal").applyInPandas(_pack(length), schema), "packed"
@@ -282,7 +283,7 @@ def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL) -> DataFrame:
         bins = packed.filter("pk_offset = 0").count()
         if before is not None and bins >= before.filter("offset = 0").count():
             released(packed)
-            return done.unionByName(before)
+            return done.unionByName(before).drop("pk_id")
         number = (F.lit(r).cast("long") * (1 << 28) + F.col("pk_deal")) * (1 << 24) + F.col("pk_bin")
         now = packed.select(*columns, number.alias("sequence_id"), F.col("pk_offset").alias("offset"), ((F.col("pk_gap") > 0) & (F.col("pk_filled") < length)).alias("pk_open"))
         final = groups == 1 or bins <= lower_bound(counts)
@@ -290,7 +291,7 @@ def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL) -> DataFrame:
         done = closed if done is None else done.unionByName(closed)
         before = now.filter("pk_open").drop("pk_open")
         if final or before.isEmpty():
-            return done
+            return done.drop("pk_id")
         left, r = before.select(*columns), r + 1
 
 
@@ -303,4 +304,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(stored(pieces(docs, tokenizer, length, key, text), "pieces"), length)
+    return pack(stored(pieces(docs, tokenizer, length, key, text).withColumn("pk_id", F.monotonically_increasing_id()), "pieces"), length)

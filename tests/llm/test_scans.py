@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from capturelake.llm import decontaminate, languages, licenses, media, packing, secrets
@@ -423,3 +424,15 @@ def test_many_benchmark_seeds_are_salted(spark, monkeypatch):
     want = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "FEW_ROWS", 1)
     assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == want and len(want) == 120
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    """Rows that are all the same fill every partition's pool, and each keeps its own place."""
+    rows = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(700).cast("long").alias("length"))
+    numbered = rows.withColumn("pk_id", F.monotonically_increasing_id())
+    groups = numbered.groupBy(F.pmod(F.xxhash64("pk_id", F.lit(0)), F.lit(8))).count().collect()
+    assert len(groups) == 8 and max(g["count"] for g in groups) < 700
+    done = packing.pack(rows, pool=500)
+    assert done.columns == ["doc_id", "length", "sequence_id", "offset"] and done.count() == 4000
+    per = done.groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("last")).collect()
+    assert all(r["n"] <= 2 and r["last"] in (0, 700) for r in per) and len(per) <= 2008
