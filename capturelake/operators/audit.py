@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.canonical import key_fingerprint, sound_text, with_hashes
 from capturelake.functions.signature import verify_signature
 from capturelake.operators import chain
+from capturelake.shared import kept
 
 #: Where the checked members stand in a record.
 MEMBERS = {
@@ -44,7 +45,8 @@ def verify_log(records: DataFrame, images: DataFrame | None = None, long_chains:
 
     ``records`` have device_id, record_id, chain_index (their place in the log) and record_json, and image_path where ``images`` are
     to be compared. Everything that is checked comes from the text. A text that is no record fails as malformed-record, alone,
-    and breaks the link of the record after it. With ``long_chains`` a device's log is sorted by many tasks."""
+    and breaks the link of the record after it. With ``long_chains`` a device's log is sorted by many tasks; what was found of each
+    record by itself is then kept first, as sorting in ranges reads its input twice."""
     hashed = with_members(with_hashes(records, core_text="vl_core"))
     known = (F.col("vl_kind") == "EC") & (F.col("vl_curve") == "P-256")
     checked = hashed.withColumn("vl_signed", verify_signature(F.when(known, F.col("vl_x")), F.col("vl_y"), F.col("vl_core"), F.col("vl_value")))
@@ -56,7 +58,7 @@ def verify_log(records: DataFrame, images: DataFrame | None = None, long_chains:
         F.col("vl_signed.signature_ok").alias("signature_ok"), signer.alias("signer_fingerprint"),
     )
     rows = rows.withColumn("image_hash", F.lit(None).cast("string")) if images is None else verify_image_hash(rows, images)
-    linked = (chain.verify_long_chains if long_chains else chain.verify_chains)(rows, "own_index")
+    linked = chain.verify_long_chains(kept(rows, "checked-records"), "own_index") if long_chains else chain.verify_chains(rows, "own_index")
     done = chain.attribution_check(chain.verify_records(linked))
     return done.select("device_id", "record_id", F.col("pos").cast("long").alias("pos"), "chain_index", "failures", (F.size("failures") == 0).alias("valid"), "signer_fingerprint", "attributed", "record_hash")
 
