@@ -19,6 +19,17 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
+#: License identifiers of file headers (as words, after "SPDX license identifier"), and names by which notices call
+#: licenses. They give labels of their own, not base ones.
+IDENTIFIERS = {
+    "mit": ("mit",), "apache-2": ("apache 2 0",), "bsd": ("bsd 2 clause", "bsd 3 clause"), "gpl": ("gpl 2 0", "gpl 3 0"), "lgpl": ("lgpl 2 1", "lgpl 3 0"), "agpl": ("agpl 3 0",), "mpl-2": ("mpl 2 0",),
+    "isc": ("isc",), "zlib": ("zlib",), "unlicense": ("unlicense",), "cc0": ("cc0 1 0",), "cc-by": ("cc by 4 0",), "cc-by-sa": ("cc by sa 4 0",), "cc-by-nd": ("cc by nd 4 0",), "cc-by-nc": ("cc by nc 4 0",),
+    "cc-by-nc-sa": ("cc by nc sa 4 0",), "epl-2": ("epl 2 0",), "bsl-1": ("bsl 1 0",),
+}
+NAMES = {f"spdx license identifier {name}": label for label, names in IDENTIFIERS.items() for name in names} | {
+    "gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "gnu library general public license": "lgpl", "gnu affero general public license": "agpl",
+    "mozilla public license": "mpl-2", "eclipse public license": "epl-2", "boost software license": "bsl-1",
+}
 #: Opening passages of public license texts and notices.
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -82,13 +93,15 @@ def words(text: str | None) -> list[bytes]:
 
 class Automaton:
     """Suffix automaton of several word sequences, kept apart by their numbers. ``places`` of a state are all
-    (template, words before its end) where the state's words occur."""
+    (template, words before its end) where the state's words occur. ``names`` are found like phrases, after whose numbers
+    theirs follow."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], names: dict[str, str] | None = None):
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.longest, self.places = [-1], [0], [set()]
-        self.phrases = [(words(p), label) for p, label in phrases.items()]
+        self.phrases = [(words(p), label) for p, label in [*phrases.items(), *(names or {}).items()]]
+        self.base = len(phrases)
         self.labels = list(templates)
         self.sizes = [len(words(t)) for t in templates.values()]
         for number, source in enumerate([*(words(t) for t in templates.values()), *(p for p, _ in self.phrases)]):
@@ -204,26 +217,29 @@ class Automaton:
 
 
 def scan_licenses(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict | None = None, templates: dict | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict | None = None, templates: dict | None = None, names: dict | None = None
 ) -> DataFrame:
     """(key, n_words, places array<struct<start,label>>, spans array<struct<start,end,label,covered,share>>) of each
-    whole text, in words from 0. ``share`` is the part of the template that the span covers. Null or empty texts have
-    no words; repeated rows are scanned alike; no row is dropped."""
+    whole text, in words from 0. ``share`` is the part of the template that the span covers; an identifier or name is a
+    span of its own, wholly covered. Null or empty texts have no words; repeated rows are scanned alike; no row is dropped."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
+    names = NAMES if names is None else names
 
     def make():
-        known = Automaton(phrases, templates)
-        labels = list(phrases.values())
+        known = Automaton(phrases, templates, names)
+        labels = [label for _, label in known.phrases]
         get = known.vocabulary.get
 
         def each(keys, texts):
             for k, t in zip(keys, texts, strict=True):
                 found = words(t)
                 places, spans = known.scan(list(map(get, found)))
-                yield (
-                    k, len(found), [{"start": a, "label": labels[w]} for a, w in places],
-                    [{"start": a, "end": b, "label": known.labels[n], "covered": c, "share": min(1.0, c / known.sizes[n])} for a, b, n, c in spans],
-                )
+                made = [{"start": a, "end": b, "label": known.labels[n], "covered": c, "share": min(1.0, c / known.sizes[n])} for a, b, n, c in spans]
+                for a, w in places:
+                    if w >= known.base:
+                        n = len(known.phrases[w][0])
+                        made.append({"start": a, "end": a + n, "label": labels[w], "covered": n, "share": 1.0})
+                yield k, len(found), [{"start": a, "label": labels[w]} for a, w in places if w < known.base], sorted(made, key=lambda x: (x["start"], x["end"], x["label"]))
 
         return each
 

@@ -75,6 +75,20 @@ def test_license_neighbours(spark):
     ) == ["cc-by-sa", "", "isc", "isc,mit", ""]
 
 
+def test_identifiers_and_names(spark):
+    """Headers and notices that name a license have its label, but no base label; of an identifier all words must stand."""
+    assert licensed(
+        spark, "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "see the GNU Lesser General Public License version 2.1",
+        "the GNU General Public License and the Mozilla Public License", "SPDX-License-Identifier: BSD-3-Clause OR ISC", "license identifier mit", "spdx license identifier", "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+        "a general public license", None,
+    ) == ["mit", "apache-2", "gpl", "lgpl", "gpl,mpl-2", "bsd", "", "", "cc-by-nc,cc-by-nc-sa", "", ""]
+    df = spark.createDataFrame([(1, "x SPDX-License-Identifier: MIT")], "doc_id long, text string")
+    got = licenses.license_digests(licenses.scan_licenses(df)).first()
+    assert (got.n_base, got.base_labels, got.first_word, got.score) == (0, "", None, 1.0)
+    span = licenses.scan_licenses(df).first().spans[0]
+    assert (span.start, span.end, span.label) == (1, 5, "mit")
+
+
 def test_every_place_of_a_state():
     """A run that several templates share counts for each of them."""
     known = licenses.Automaton({}, {"a": "one two three four five six seven eight nine", "b": "zero two three four five six seven eight ten"})
