@@ -384,3 +384,35 @@ def test_record_cores_leave_absent_members_out(spark):
     core = json.loads(analyse.build_record_cores(rich).first().record_json)
     assert len(core["operatorNotes"]) == 1_200_000 and core["location"]["longitude"] == -2 and "locationUnavailableReason" not in core
     assert core["rectifiedImage"] == {"byteLength": 3, "height": None, "mimeType": None, "sha256": "s", "width": None} and core["chain"] == {"index": 7, "previousRecordHash": "h"}
+
+
+def test_signatures_together(monkeypatch):
+    """Both ways of checking many signatures against one at a time, and how many points one of many costs."""
+    text = lambda *n: base64.urlsafe_b64encode(b"".join(x.to_bytes(32, "big") for x in n)).decode().rstrip("=")
+    made = []
+
+    def signed(secret, nonce, message):
+        r = signature.point_times([(nonce, signature.G)])[0] % signature.N
+        e = int.from_bytes(hashlib.sha256(message).digest(), "big")
+        return r, pow(nonce, -1, signature.N) * (e + r * secret) % signature.N
+
+    for secret, times in ((1, 3), (2, 30), (77777, 3), (signature.N - 1, 30), (5, 1)):  # the generator and its neighbours meet equal and opposite points
+        key = signature.point_times([(secret, signature.G)])
+        for i in range(times):
+            message = f"{secret}-{i}".encode()
+            r, s = signed(secret, 3 + i * i * 10**40 % signature.N, message)
+            made += [(key, message, text(r, s)), (key, message + b"x", text(r, s)), (key, message, text(r, signature.N - s)), (signature.G, message, text(r, s))]
+            made += [(key, message, x) for x in (text(s, r), text(0, s), text(r, signature.N), text(r + 1, s), text(r, s)[:80], "!", "é")]
+    want = [signature.verify(*row) for row in made[::7]]
+    assert any(want) and not all(want)
+    assert signature.verify_many(made)[::7] == want
+    monkeypatch.setattr(signature, "_library", lambda: None)
+    assert signature.verify_many(made) == signature.verify_together(made)
+    assert signature.verify_together(made)[::7] == want
+    key, sums, plain = signature.point_times([(99, signature.G)]), [], signature.added
+    rows = [(key, b"%d" % i, text(i + 1, i + 2)) for i in range(3000)]
+    signature.verify_together(rows[:30])
+    monkeypatch.setattr(signature, "added", lambda a, b: (sums.append(len(a)), plain(a, b))[1])
+    signature.verify_together(rows)
+    assert sum(sums) < 60 * len(rows)
+    assert signature.verify_many([]) == []
