@@ -416,3 +416,10 @@ def test_signatures_together(monkeypatch):
     signature.verify_together(rows)
     assert sum(sums) < 60 * len(rows)
     assert signature.verify_many([]) == []
+
+
+def test_hashed_text_is_read_once(spark):
+    """The sound text is a column of its own: its check stands once in the plan of the hashes."""
+    df = spark.createDataFrame([("{",), ('{"a":1}',)], "record_json string")
+    plan = canonical.with_hashes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SchemaOfVariant") == 1
