@@ -423,3 +423,15 @@ def test_hashed_text_is_read_once(spark):
     df = spark.createDataFrame([("{",), ('{"a":1}',)], "record_json string")
     plan = canonical.with_hashes(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SchemaOfVariant") == 1
+
+
+def test_backgrounds_make_no_marks():
+    """Pictures without a card have no candidates, whatever their values; those of row 6354 of a larger table once made fourteen."""
+    from capturelake.operators import photos
+    from capturelake.plans import views
+
+    real = [170, 170, 169, 170, 170, 170, 170, 169, 170, 169, 170, 170, 170, 169, 169, 169, 169, 170, 170, 170, 171, 170, 169, 170, 170, 170, 170, 170, 170, 170, 170, 169]
+    real += [171, 170, 170, 171, 170, 170, 171, 171, 170, 170, 170, 170, 169, 170, 170, 171, 170, 169, 171, 170, 170, 170, 170, 170, 170, 170, 170, 170, 169, 170, 169, 170]
+    rng = np.random.default_rng(5)
+    for values in ([(x - 170) / 4 for x in real], *(rng.normal(0, s, 64).tolist() for s in (0.05, 0.13, 0.3, 1.0))):
+        assert photos.find_card(views._draw(6354, values)[2])[:2] == ("too-few-marker-candidates", 0)
