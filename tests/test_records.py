@@ -425,6 +425,15 @@ def test_hashed_text_is_read_once(spark):
     assert plan.count("SchemaOfVariant") == 1
 
 
+def test_halves_of_levels_round_up():
+    from capturelake.operators import frames
+
+    middle = [0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    for low in (0, 2, 100, 253):
+        flat, there = frames._flat(np.array([[[low] * 3, [low + 1] * 3]], np.uint8), middle, (1, 1))
+        assert flat.tolist() == [[[low + 1] * 3]] and there.all()
+
+
 def test_backgrounds_make_no_marks():
     """Pictures without a card have no candidates, whatever their values; those of row 6354 of a larger table once made fourteen."""
     from capturelake.operators import photos
