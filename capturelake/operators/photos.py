@@ -7,8 +7,6 @@ neither shuffled nor kept.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,42 +26,6 @@ READ = (
 REGION_NAMES = [x.split()[0] for x in frames.REGION.split(", ")]
 
 
-def _candidates(blobs: dict[str, np.ndarray], size: tuple[int, int]) -> dict[str, np.ndarray]:
-    """The blobs that may be markers, largest first (of equal ones the first)."""
-    cx, cy = blobs["cx"], blobs["cy"]
-    m20, m02, m11 = blobs["xx"] - cx * cx + 1 / 12, blobs["yy"] - cy * cy + 1 / 12, blobs["xy"] - cx * cy
-    mid, off = (m20 + m02) / 2, np.sqrt(((m20 - m02) / 2) ** 2 + m11 * m11)
-    small = mid - off
-    aspect = np.where(small > 1e-9, np.sqrt((mid + off) / np.where(small > 1e-9, small, 1)), np.inf)
-    solidity = blobs["area"] / (12 * np.sqrt(np.maximum((mid + off) * small, 1e-12)))
-    share = blobs["area"] / (size[0] * size[1])
-    inside = lambda x, ends: (x >= ends[0]) & (x <= ends[1])
-    good = np.flatnonzero(inside(share, detect.AREA_SHARE) & (aspect <= detect.MOST_ASPECT) & inside(solidity, detect.SOLIDITY))
-    order = good[np.argsort(-blobs["area"][good], kind="stable")][: detect.CANDIDATES]
-    return {k: v[order] for k, v in blobs.items()}
-
-
-def _quads(x: np.ndarray, y: np.ndarray, area: np.ndarray) -> np.ndarray:
-    """Candidates' numbers of the best convex fours, each in order round its middle, best first."""
-    fours = np.array(list(combinations(range(len(x)), 4)))
-    angle = np.arctan2(y[fours] - y[fours].mean(1, keepdims=True), x[fours] - x[fours].mean(1, keepdims=True))
-    fours = np.take_along_axis(fours, np.argsort(angle, axis=1, kind="stable"), axis=1)
-    dx, dy = (np.roll(c[fours], -1, axis=1) - c[fours] for c in (x, y))
-    turn = dx * np.roll(dy, -1, axis=1) - dy * np.roll(dx, -1, axis=1)
-    side = np.hypot(dx, dy)
-    one, two = (side[:, 0] + side[:, 2]) / 2, (side[:, 1] + side[:, 3]) / 2
-    long, short = np.maximum(one, two), np.minimum(one, two)
-    ratio = area[fours].max(1) / area[fours].min(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        aspect = long / short
-        uneven = (np.abs(side[:, 0] - side[:, 2]) + np.abs(side[:, 1] - side[:, 3])) / long
-        score = 3 * np.abs(np.log(aspect / detect.MARKER_ASPECT)) + 2 * uneven + np.log(ratio) - 0.35 * np.log(long * short)
-    convex = (turn.max(1) >= 1e-9) != (turn.min(1) <= -1e-9)
-    good = np.flatnonzero(convex & (ratio <= detect.MOST_AREA_RATIO) & (short > 0) & (aspect >= detect.QUAD_ASPECT[0]) & (aspect <= detect.QUAD_ASPECT[1]))
-    order = np.lexsort((*(fours[good, k] for k in (3, 2, 1, 0)), score[good]))
-    return fours[good[order[: detect.QUADS]]]
-
-
 def _area(points: np.ndarray) -> float:
     x, y = points.T
     return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
@@ -99,14 +61,13 @@ def find_card(image: np.ndarray, most: int = frames.WORKING_SIZE) -> tuple[str |
     if min(image.shape[:2]) < detect.LEAST_FRAME:
         return "image-too-small", 0, {}
     blobs, scale, size = frames._blobs(image, most)
-    if not blobs or len((found := _candidates(blobs, size))["area"]) < 4:
+    if not blobs or len((found := frames._candidates(blobs, size))["area"]) < 4:
         return "too-few-marker-candidates", len(found["area"]) if blobs else 0, {}
     x, y, area = found["cx"] / scale, found["cy"] / scale, found["area"] / (scale * scale)
-    quads = _quads(x, y, area)
+    quads = detect.best_fours(x[None], y[None], area[None])[3]
     if not len(quads):
         return "no-plausible-quad", len(x), {}
-    wide, high = ((found[f"max_{c}"] - found[f"min_{c}"] + 1) / scale for c in "xy")
-    contrast = np.array([frames._contrast(image, *box) for box in zip(x, y, wide, high, strict=True)])
+    contrast = frames._marks(image, found, scale)
     first = None
     for q in quads:
         reason, seen = _fitted(np.column_stack([x[q], y[q]]), area[q], contrast[q])

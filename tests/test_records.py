@@ -444,3 +444,63 @@ def test_backgrounds_make_no_marks():
     rng = np.random.default_rng(5)
     for values in ([(x - 170) / 4 for x in real], *(rng.normal(0, s, 64).tolist() for s in (0.05, 0.13, 0.3, 1.0))):
         assert photos.find_card(views._draw(6354, values)[2])[:2] == ("too-few-marker-candidates", 0)
+
+
+def test_fours_and_labels_against_plain_versions(spark):
+    """Best fours of captures of 0 to 9 candidates against each four by itself, without joins; labels against flood fill."""
+    import math
+    from itertools import combinations
+
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for capture in range(60):
+        own = [(capture, i + 1, int(a), float(x), float(y), 0.5) for i, (a, x, y) in enumerate(zip(*(rng.integers(lo, hi, capture % 10) for lo, hi in ((20, 60), (0, 60), (0, 40))), strict=True))]
+        rows += own
+        for four in combinations(own, 4):
+            p = [(x * 2, y * 2, i, a * 4.0) for _, i, a, x, y, _ in four]
+            mx, my = sum(c[0] for c in p) / 4, sum(c[1] for c in p) / 4
+            p.sort(key=lambda c: (math.atan2(c[1] - my, c[0] - mx), c[0], c[1], c[2]))
+            d = [(p[(k + 1) % 4][0] - p[k][0], p[(k + 1) % 4][1] - p[k][1]) for k in range(4)]
+            turn = [d[k][0] * d[(k + 1) % 4][1] - d[k][1] * d[(k + 1) % 4][0] for k in range(4)]
+            s, areas = [math.hypot(*x) for x in d], [c[3] for c in p]
+            far, near = max(s[0] + s[2], s[1] + s[3]) / 2, min(s[0] + s[2], s[1] + s[3]) / 2
+            if (max(turn) >= 1e-9) != (min(turn) <= -1e-9) and max(areas) <= 4 * min(areas) and near > 0 and 0.9 <= far / near <= 3.6:
+                score = 3 * abs(math.log(far / near / detect.MARKER_ASPECT)) + 2 * (abs(s[0] - s[2]) + abs(s[1] - s[3])) / far + math.log(max(areas) / min(areas)) - 0.35 * math.log(far * near)
+                want.setdefault(capture, []).append((score, [c[2] for c in p]))
+    df = spark.createDataFrame(rows, "capture_id long, i int, area long, cx double, cy double, scale double").repartition(3)
+    done = detect.candidate_quads(df)
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(done.collect()):
+        got.setdefault(r.capture_id, []).append((r.score, [c.i for c in r.corners]))
+    assert got.keys() == want.keys() and max(map(len, want.values())) > 40
+    for capture, fours in want.items():
+        fours = sorted(fours)[:40]
+        assert [s for s, _ in got[capture]] == pytest.approx([s for s, _ in fours]) and got[capture][0][1] == fours[0][1]
+    for k in range(60):
+        mask = rng.random(rng.integers(1, 25, 2)) < k / 60
+        y, x = np.nonzero(mask)
+        label = dict(zip(zip(y.tolist(), x.tolist(), strict=True), detect.labels(x, y).tolist(), strict=True))
+        seen, parts = set(), []
+        for start in label:
+            stack = [] if start in seen else [start]
+            seen.update(stack)
+            parts += [label[start]] if stack else []
+            while stack:
+                a, b = stack.pop()
+                assert label[a, b] == label[start]
+                more = [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (a + i, b + j) in label and (a + i, b + j) not in seen]
+                seen.update(more)
+                stack += more
+        assert parts == sorted(set(parts))
+
+
+def test_pictures_are_made_by_many_tasks(spark):
+    from capturelake.plans import views
+    from tests.conftest import SF
+
+    for frames in (views.v_frames(spark, SF), views.v_order_frames(spark, SF)):
+        assert frames.select(F.spark_partition_id()).distinct().count() > 1
+    places = {r.capture_id: r for r in views.v_places(spark, SF).collect()}
+    drawn = views.v_frames(spark, SF).drop("data").collect()
+    assert len(drawn) == len(places) and all(r == places[r.capture_id] for r in drawn)
