@@ -504,3 +504,14 @@ def test_pictures_are_made_by_many_tasks(spark):
     places = {r.capture_id: r for r in views.v_places(spark, SF).collect()}
     drawn = views.v_frames(spark, SF).drop("data").collect()
     assert len(drawn) == len(places) and all(r == places[r.capture_id] for r in drawn)
+
+
+def test_readings_are_made_by_many_tasks(spark):
+    """Readings lie by capture where they are made: they are dealt once, as events, and the fit aggregates them there."""
+    from capturelake.plans import views
+    from tests.conftest import SF
+
+    readings = views.v_readings(spark, SF)
+    assert readings.select(F.spark_partition_id()).distinct().count() > 1
+    plan = correction.fit_corrections(readings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(event_id" in plan
